@@ -68,8 +68,8 @@ def _ranked(docs: DataFrame, wins: DataFrame) -> DataFrame:
 def phrase_matches(docs: DataFrame, wins: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, win, begin, end)`` of every exact occurrence of a window in a document; ``end`` is exclusive."""
     found = postings(docs, _ranked(docs, wins), keys).withColumn("begin", F.col("pos") - F.col("off"))
-    found = found.where((F.col("begin") >= 0) & (F.col("begin") + F.size("terms") <= F.size("words")))
-    found = found.where(F.expr("words[begin + off2] = term2")).where(F.expr("slice(words, begin + 1, size(terms)) = terms"))
+    inside = "begin >= 0 and begin + size(terms) <= size(words)"
+    found = found.where(F.expr(f"if({inside}, get(words, begin + off2) = term2 and slice(words, greatest(begin, 0) + 1, size(terms)) = terms, false)"))
     return found.select(*keys, "win", "begin", (F.col("begin") + F.size("terms")).alias("end"))
 
 
