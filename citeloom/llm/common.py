@@ -80,9 +80,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     # a is always the larger end
     e = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(e)
     for _ in range(max_rounds):
-        if mark[0] == 0:
+        if _settled(e):
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -90,18 +89,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialize(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        new = _mark(e)
-        if new == mark:
-            break
-        mark = new
     else:
         raise RuntimeError("connected components did not settle")
     # settled: every node points straight at the smallest of its component
-    return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(
-        e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _mark(e: DataFrame) -> tuple:
-    row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _settled(e: DataFrame) -> bool:
+    """Whether every larger end has one link only and is nobody's smaller end."""
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per_node.where("up > 1 or (up > 0 and down > 0)").isEmpty()

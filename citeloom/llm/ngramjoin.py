@@ -224,37 +224,43 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     tokens = classes.select(F.explode("prefix").alias("token"), "id", "n")
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     shared = common.materialize(tokens.join(often, "token"))  # classes that share a prefix shingle with another one
-    links = _links(docs, key, text, classes, shared, percent)
-
-    comps = common.connected_components(links)
+    comps = _components(docs, key, text, classes, shared, percent)
     members = classes.select("n", "k1", "k2", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("component_id"))
     joined = full.select("doc", "n", "k1", "k2").join(members, ["n", "k1", "k2"], "left").select("doc", "n", "component_id")
     alone = sigs.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"))
     return joined.unionByName(alone).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _links(docs: DataFrame, key: str, text: str, classes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """Verified pairs of classes that connect whatever the threshold connects."""
+def _components(docs: DataFrame, key: str, text: str, classes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """``(node, component)`` of all classes that link with another class."""
     spark = docs.sparkSession
+    comps = spark.createDataFrame([], "node long, component long")
     sets = common.materialize(_sets(docs, key, text, shared.select("id").distinct()))
-    links = spark.createDataFrame([], "a long, b long")
     open_rows = shared.withColumn("comp", F.col("id"))
-    size_ok = F.col("n") * 100 >= F.col("pn") * percent
-    size_ok = size_ok & (F.col("pn") * 100 >= F.col("n") * percent)
+    size_ok = (F.col("n") * 100 >= F.col("pn") * percent) & (F.col("pn") * 100 >= F.col("n") * percent)
     for r in range(STARS):
         centre = open_rows.groupBy("token").agg(F.min_by(F.struct("id", "n", "comp"), F.xxhash64(F.lit(r), "id")).alias("c")).select("token", F.col("c.id").alias("pid"), F.col("c.n").alias("pn"), F.col("c.comp").alias("pc"))
         pairs = open_rows.join(centre, "token").where(F.col("comp") != F.col("pc")).where(size_ok).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
-        links = common.materialize(links.unionByName(_verified(pairs, sets, percent)))
-        comps = common.connected_components(links).withColumnRenamed("node", "id")
-        rows = shared.join(comps, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
+        comps = _joined(comps, _verified(pairs, sets, percent))
+        rows = shared.join(comps.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
         # a shingle all of whose classes are connected asks for nothing more
         split = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("token", "c")
         open_rows = common.materialize(rows.join(split, "token"))
+        if open_rows.isEmpty():
+            return comps
     blocks = F.ceil(F.col("c") / BLOCK)
     dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     tiles = dealt.select("token", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "block", "id", "n", "comp").join(classes.select("id", "bits"), "id")
     found = tiles.groupBy("token", "t1", "t2").applyInPandas(_tile_pairs(percent), "a long, b long").distinct()
-    return links.unionByName(_verified(found, sets, percent))
+    return _joined(comps, _verified(found, sets, percent))
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links; the earlier ones are stars already."""
+    new = common.materialize(links)
+    if new.isEmpty():
+        return comps
+    return common.materialize(common.connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)))
 
 
 def keep_one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
