@@ -23,12 +23,13 @@ UNITS = {
 }
 _NAMES = {name.lower(): unit for unit, names in UNITS.items() for name in names}
 _UNIT = "|".join(re.escape(n) for n in sorted(_NAMES, key=len, reverse=True))
+_INNER = "|".join(re.escape(n) for n in sorted(_NAMES, key=len, reverse=True) if _NAMES[n] not in ("§", "Art"))
 _VALUE = r"(?:\d+[a-z]{0,2}|[a-z]{1,2}|[IVX]+)(?![\w])"
 _LINK = r"(?:\s*,\s*|\s+(?:und|oder|bis|sowie|i\.\s?V\.\s?m\.|in\s+Verbindung\s+mit)\s+)"
 _STEP = rf"(?:(?:{_UNIT}|S(?=\s*\d))\s*)?{_VALUE}"
-MAIN = re.compile(rf"(?:§§?|\b(?:Artikel[ns]?|Art\.))\s*\d+[a-z]?(?![\w])(?:(?:{_LINK}|\s+)(?:(?:{_UNIT}|S(?=\s*\d))\s*{_VALUE}|\d+[a-z]?(?![\w])|(?<=[,\s])[a-z]{{1,2}}(?![\w])))*(?:{_LINK}S(?!\w))?", re.I)
+MAIN = re.compile(rf"(?:§§?|\b(?:Artikel[ns]?|Art\.))\s*\d+[a-z]?(?![\w])(?:(?:{_LINK}|\s+)(?:(?:{_INNER}|S(?=\s*\d))\s*{_VALUE}|\d+[a-z]?(?![\w])|(?<=[,\s])[a-z]{{1,2}}(?![\w])))*(?:{_LINK}S(?!\w))?", re.I)
 _SUFFIX = re.compile(r"\s*(?:des|der|dieses|dieser)?\s+", re.I)
-_STEP_RE = re.compile(rf"\s*,\s*S(?!\w|\s*\d)|\s*(?P<link>,|und\b|oder\b|bis\b|sowie\b)?\s*(?:(?P<unit>{_UNIT}|S(?=\s*\d))\s*)?(?P<value>{_VALUE})", re.I)
+_STEP_RE = re.compile(rf"\s*,\s*(?-i:S)(?!\w|\s*\d)|\s*(?P<link>,|und\b|oder\b|bis\b|sowie\b)?\s*(?:(?P<unit>{_UNIT}|S(?=\s*\d))\s*)?(?P<value>{_VALUE})", re.I)
 _ORDER = list(UNITS)
 
 
