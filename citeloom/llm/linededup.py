@@ -44,10 +44,11 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 
     ``begin`` counts lines that aren't blank, from 0. A line longer than ``min_words`` is a run of its own.
     """
-    seqs = _sequences(docs, key, text)
-    lines = seqs.select("doc", "h", F.posexplode("lines").alias("pos", "x")).select(*_POS, F.col("x.a").alias("p"), F.col("x.b").alias("q"))
-    runs = seqs.select("doc", "h", F.expr("transform(lines, x -> cast(x.w as long))").alias("ws")).select("doc", "h", F.explode(F.expr(_least_runs(min_words))).alias("r")).select("doc", "h", "r.begin", "r.len")
-    runs = common.materialize(runs)
+    # texts are cut into lines once; what the rounds read is written
+    seqs = _sequences(docs, key, text).withColumn("ws", F.expr("transform(lines, x -> cast(x.w as long))"))
+    seqs = common.materialize(seqs.select("doc", "h", F.expr("transform(lines, x -> struct(x.a as a, x.b as b))").alias("ids"), F.expr(_least_runs(min_words)).alias("runs")))
+    lines = seqs.select("doc", "h", F.posexplode("ids").alias("pos", "x")).select(*_POS, F.col("x.a").alias("p"), F.col("x.b").alias("q"))
+    runs = seqs.select("doc", "h", F.explode("runs").alias("r")).select("doc", "h", "r.begin", "r.len")
     longest = runs.agg(F.max("len")).first()[0]
     ranks, level, found = _rank(lines), 0, []
     while longest and (1 << level) <= longest:
