@@ -106,7 +106,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     cut = common.materialize(runs.groupBy("doc", "h").agg(F.collect_set(F.struct("begin", "len")).alias("runs")))  # bounded by the lines of a document
     src = docs.withColumn("_h", F.xxhash64(F.lit(1), F.col(text)))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_cut")]
-    out = src.join(cut, src[key].eqNullSafe(cut["doc"]) & (src["_h"] == cut["h"]), "left")
+    # texts are dealt out by key once, at every size alike; the list of cuts grows with the input
+    out = src.join(cut.hint("merge"), src[key].eqNullSafe(cut["doc"]) & (src["_h"] == cut["h"]), "left")
     lines = F.split(F.col(text), "\n", -1)
     out = out.withColumn("_ls", lines).withColumn("_real", F.expr(r"filter(transform(_ls, (x, i) -> struct(i as i, x as x)), y -> y.x rlike '\\S').i"))
     gone = F.expr("flatten(transform(runs, r -> slice(_real, r.begin + 1, r.len)))")
