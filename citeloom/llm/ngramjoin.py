@@ -1,6 +1,6 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, and the groups that such links make.
 
-A set is a sorted array of 64-bit shingle hashes. Equal sets fall into one class first, so copies cost nothing more.
+A set is a sorted array of 48-bit shingle hashes. Equal sets fall into one class first, so copies cost nothing more.
 Candidates share a shingle of their prefixes (AllPairs: with any one order of all shingles, two sets of the wanted
 similarity share one of their first ``n - ceil(t n) + 1``); the order puts shingles that many documents have last.
 Where many classes share a shingle, they are dealt into tiles: blocks of classes, ordered by size so that a band of
@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,18 +27,39 @@ from citeloom.llm import common
 SHINGLE, PERCENT = 5, 80
 #: Classes of a block of a tile; rounds of stars; bits of the table of common shingles; occurrences in a batch from which one counts as common.
 BLOCK, STARS, ORDER_BITS, COMMON = 512, 2, 18, 8
+#: Classes of a shingle from which stars come first; rows of a packed tile.
+CROWD, PACK = 32, 8192
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+_HIGH = np.uint64(0xFFFFFFFFFFFF0000)
+_BASE = 0x9FB21C651E98DF25  # odd, so that its powers have inverses
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
-_words = _Words()
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """A random value for every byte, capital ASCII letters like small ones; and which bytes are ASCII white space."""
+    values = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
+    values[65:91] = values[97:123]
+    space = np.zeros(256, dtype=bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    return values, space
+
+
+_VALUES, _SPACE = _tables()
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of every word: its bytes' values weighted by powers of the base, from sums over the whole text."""
+    b = np.frombuffer(data, dtype=np.uint8)
+    if len(_powers[0]) <= len(b):
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            _powers[k] = np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(2 * len(b), base, dtype=np.uint64))])
+    edges = np.flatnonzero(np.diff(_SPACE[b], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(_VALUES[b] * _powers[0][: len(b)], out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * _powers[1][starts])
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -47,17 +67,27 @@ def shingles(text: str | None) -> np.ndarray:
 
     A text of fewer than five words has one shingle, all of its words; one without words has none.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
+    h = word_hashes(text.encode("utf-8", "surrogatepass")) if text else ()
+    if not len(h):
         return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
     n = min(SHINGLE, len(h))
     size = len(h) - n + 1
     out = np.full(size, np.uint64(n), dtype=np.uint64)
     for k in range(n):
         out += h[k : k + size] * _MULT[k]
         out ^= out >> np.uint64(31)
-    return np.unique(_mix(out))
+    return np.unique(_mix(out) & _HIGH)
+
+
+def packed(h: np.ndarray) -> bytes:
+    """Six bytes a hash; the two lowest are zero."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, 2:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,7 +109,7 @@ def bitmap(h: np.ndarray) -> bytes:
     """A bit for every shingle, in twice as many bits as shingles, rounded up to a power of two."""
     bits = max(64, 1 << int(2 * len(h) - 1).bit_length())
     out = np.zeros(bits, dtype=np.uint8)
-    out[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
+    out[(h >> np.uint64(16) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
 
 
@@ -93,7 +123,23 @@ def folded(bitmaps: list[bytes]) -> np.ndarray:
     return out
 
 
-def _common_shingles(docs: DataFrame, text: str) -> np.ndarray:
+def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(doc, n, k1, k2, set)`` per row: the sorted array of its shingles, and (n, k1, k2), which names the set.
+
+    Texts are read once; all later steps read this table, in which six bytes a shingle are about as much as the text.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingles(t) for t in batch["t"]]
+            k1 = np.array([h.sum(dtype=np.uint64) for h in found], dtype=np.uint64).view(np.int64)
+            k2 = np.array([np.bitwise_xor.reduce(_mix(h + np.uint64(1))) for h in found], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc": batch["doc"], "n": [len(h) for h in found], "k1": k1, "k2": k2, "set": [packed(h) for h in found]})
+
+    return common.materialize(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).mapInPandas(run, "doc long, n long, k1 long, k2 long, set binary"))
+
+
+def _common_shingles(sets: DataFrame) -> np.ndarray:
     """A table of fixed size: for the highest bits of a shingle's hash, how often shingles there occur (a logarithm).
 
     It only orders prefixes, and any order gives all candidates, so counts are rough: different sets of a batch that
@@ -103,105 +149,109 @@ def _common_shingles(docs: DataFrame, text: str) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen, rows = set(), []
-            for t in batch["t"]:
-                h = shingles(t)
-                key = h.tobytes() if len(h) < 8 else (len(h), h[:4].tobytes(), int(h.sum()))
-                if len(h) and key not in seen:
-                    seen.add(key)
-                    rows.append(h)
-            if rows:
-                values, n = np.unique(np.concatenate(rows), return_counts=True)
-                often = n >= COMMON
-                at = (values[often] >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
-                if len(at):
-                    most = np.zeros(1 << ORDER_BITS, dtype=np.int64)
-                    np.maximum.at(most, at, n[often])
-                    at = np.flatnonzero(most)
-                    yield pd.DataFrame({"at": at, "n": most[at]})
-
-    found = docs.select(F.col(text).alias("t")).mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+            values, n = np.unique(unpacked(b"".join(set(batch["set"]))), return_counts=True)
+            often = n >= COMMON
+            at = (values[often] >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+            most = np.zeros(1 << ORDER_BITS, dtype=np.int64)
+            np.maximum.at(most, at, n[often])
+            at = np.flatnonzero(most)
+            if len(at):
+                yield pd.DataFrame({"at": at, "n": most[at]})
+
+    found = sets.select("set").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(1 << ORDER_BITS, dtype=np.uint8)
-    table[found["at"].to_numpy(dtype=np.int64)] = np.log2(found["n"].to_numpy(dtype=np.float64)).astype(np.uint8) if len(found) else 0
+    if len(found):
+        table[found["at"].to_numpy(dtype=np.int64)] = np.log2(found["n"].to_numpy(dtype=np.float64)).astype(np.uint8)
     return table
 
 
-def _signatures(docs: DataFrame, key: str, text: str, order: np.ndarray, percent: int) -> DataFrame:
-    """``(doc, n, k1, k2, bits, prefix)`` per row; (n, k1, k2) names the set."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+def _classes(sets: DataFrame, order: np.ndarray, percent: int) -> DataFrame:
+    """``(n, k1, k2, id, bits, prefix)`` of every different set with shingles; ``id`` is the smallest key that has it."""
+    shared = sets.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
         for batch in batches:
-            rows = []
-            for doc, text_ in zip(batch["doc"].tolist(), batch["t"], strict=True):
-                h = shingles(text_)
-                if not len(h):
-                    rows.append((doc, 0, 0, 0, b"", []))
-                    continue
-                size = prefix_size(len(h), percent)
-                ranked = h[np.lexsort((h, table[h >> np.uint64(64 - ORDER_BITS)]))][:size]
-                k1, k2 = h.sum(), np.bitwise_xor.reduce(_mix(h + np.uint64(1)))
-                rows.append((doc, len(h), k1.astype(np.int64), k2.astype(np.int64), bitmap(h), ranked.view(np.int64)))
-            out = pd.DataFrame(rows, columns=["doc", "n", "k1", "k2", "bits", "prefix"])
-            out["doc"] = out["doc"].astype("Int64")
-            yield out
-
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).mapInPandas(run, "doc long, n long, k1 long, k2 long, bits binary, prefix array<long>")
-
-
-def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """``(id, n, set)`` of the documents ``wanted(id)``: their sorted arrays of shingles."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingles(t) for t in batch["t"]]
-            yield pd.DataFrame({"id": batch["id"], "n": [len(h) for h in found], "set": [h.tobytes() for h in found]})
+            bits, prefixes = [], []
+            for data in batch["set"]:
+                h = unpacked(data)
+                bits.append(bitmap(h))
+                prefixes.append(h[np.argsort(table[h >> np.uint64(64 - ORDER_BITS)], kind="stable")][: prefix_size(len(h), percent)].view(np.int64))
+            yield batch.drop(columns="set").assign(bits=bits, prefix=prefixes)
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(common.bounded_broadcast(wanted), "id", "left_semi")
-    return rows.mapInPandas(run, "id long, n long, set binary")
+    signed = sets.where("n > 0 and doc is not null").mapInPandas(run, "doc long, n long, k1 long, k2 long, bits binary, prefix array<long>")
+    return common.materialize(signed.groupBy("n", "k1", "k2").agg(F.min("doc").alias("id"), F.min_by("bits", "k1").alias("bits"), F.min_by("prefix", "k1").alias("prefix")))
 
 
 def overlap(a: bytes, b: bytes) -> int:
     """Size of the intersection of two sorted arrays without repeats."""
-    both = np.concatenate([np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)])
+    both = np.concatenate([unpacked(a), unpacked(b)])
     both.sort(kind="stable")
     return int((both[1:] == both[:-1]).sum())
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that sizes and bitmaps don't rule out."""
+
+    @F.pandas_udf("boolean")
+    def may(na: pd.Series, nb: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(n: int, m: int, p: bytes, q: bytes) -> bool:
+            if percent * max(n, m) > 100 * min(n, m):
+                return False
+            bits = folded([p, q])
+            return (n + m - int(np.bitwise_count(bits[0] ^ bits[1]).sum())) // 2 >= least_overlap(n, m, percent)
+
+        return pd.Series([one(*row) for row in zip(na.tolist(), nb.tolist(), x, y, strict=True)], dtype=bool)
+
+    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    return pairs.join(left, "a").join(right, "b").where(may("na", "nb", "xa", "xb")).select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are as similar as wanted."""
+    """Those of ``pairs(a, b)`` that are as similar as wanted. Only the sets of keys that occur in a pair are shuffled."""
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([100 * (o := overlap(x, y)) >= percent * ((len(x) + len(y)) // 8 - o) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([100 * (o := overlap(x, y)) >= percent * ((len(x) + len(y)) // 6 - o) for x, y in zip(a, b, strict=True)], dtype=bool)
 
+    pairs = common.materialize(pairs)
+    ids = common.bounded_broadcast(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct())
+    sets = sets.where("n > 0").join(ids, "doc", "left_semi").select(F.col("doc").alias("id"), "set")
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     return pairs.join(left, "a").join(right, "b").where(alike("sa", "sb")).select("a", "b").distinct()
 
 
 def _tile_pairs(percent: int):
-    """Pairs of a tile of one or two blocks that belong to different groups and whose bitmaps don't rule them out."""
+    """Pairs of a tile that belong to different groups and whose bitmaps don't rule them out.
+
+    A tile has the blocks of one shingle, or the classes of many shingles that few have; rows meet under their shingle only.
+    """
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values(["n", "id"], kind="stable").reset_index(drop=True)
-        n, group, block = tile["n"].to_numpy(), tile["comp"].to_numpy(), tile["block"].to_numpy()
-        ids, two, found = tile["id"].to_numpy(), tile["t1"].iloc[0] != tile["t2"].iloc[0], []
-        start = 0
-        while start < len(n):  # a band of sizes, and all larger ones that the threshold allows beside it
-            end = int(np.searchsorted(n, n[start] * 5 // 4, side="right"))
-            last = int(np.searchsorted(n, n[end - 1] * 100 // percent, side="right"))
-            bits = folded(tile["bits"].iloc[start:last].tolist())
-            for i in range(start, end):
-                j = np.arange(i + 1, min(last, int(np.searchsorted(n, n[i] * 100 // percent, side="right"))))
-                j = j[(group[j] != group[i]) & ((block[j] != block[i]) if two else True)]
-                if not len(j):
-                    continue
-                apart = np.bitwise_count(bits[j - start] ^ bits[i - start]).sum(axis=1, dtype=np.int64)
-                j = j[(n[j] + n[i] - apart) // 2 >= least_overlap(n[j], n[i], percent)]
-                found.append(np.column_stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])]))
-            start = end
+        tile = tile.sort_values(["token", "n", "id"], kind="stable")
+        token, n, group, block, ids = (tile[c].to_numpy() for c in ("token", "n", "comp", "block", "id"))
+        bitmaps, two, found = tile["bits"].tolist(), tile["t1"].iloc[0] != tile["t2"].iloc[0], []
+        cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]]).tolist()
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            while start < stop - 1:  # a band of sizes, and all larger ones that the threshold allows beside it
+                sizes = n[start:stop]
+                end = start + int(np.searchsorted(sizes, n[start] * 5 // 4, side="right"))
+                last = start + int(np.searchsorted(sizes, n[end - 1] * 100 // percent, side="right"))
+                if last - start > 1:
+                    bits = folded(bitmaps[start:last])
+                    ends = start + np.searchsorted(sizes, n[start:end] * 100 // percent, side="right")
+                    for i in range(start, end):
+                        j = slice(i + 1, int(ends[i - start]))
+                        apart = np.bitwise_count(bits[j.start - start : j.stop - start] ^ bits[i - start]).sum(axis=1, dtype=np.int64)
+                        fit = ((n[j] + n[i] - apart) // 2 >= least_overlap(n[j], n[i], percent)) & (group[j] != group[i])
+                        if two:
+                            fit &= block[j] != block[i]
+                        if fit.any():
+                            other = ids[j][fit]
+                            found.append(np.column_stack([np.minimum(other, ids[i]), np.maximum(other, ids[i])]))
+                start = end
         pairs = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
         return pd.DataFrame(np.unique(pairs, axis=0), columns=["a", "b"])
 
@@ -216,55 +266,65 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     alone. Keys are whole numbers; a null key has a null component unless its set occurs with another key, and then
     that one's; rows that share a key count as one document in links. An empty table gives no rows.
     """
-    order = _common_shingles(docs, text)
-    sigs = common.materialize(_signatures(docs, key, text, order, percent))
-    full = sigs.where("n > 0")
-    classes = common.materialize(full.groupBy("n", "k1", "k2").agg(F.min("doc").alias("id"), F.min_by("bits", "k1").alias("bits"), F.min_by("prefix", "k1").alias("prefix")).where("id is not null"))
-
-    tokens = classes.select(F.explode("prefix").alias("token"), "id", "n")
+    sets = _sets(docs, key, text)
+    full = sets.where("n > 0")
+    classes = _classes(sets, _common_shingles(sets), percent)
+    tokens = classes.select(F.explode("prefix").alias("token"), "id")
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    shared = common.materialize(tokens.join(often, "token"))  # classes that share a prefix shingle with another one
-    comps = _components(docs, key, text, classes, shared, percent)
+    shared = _different_groups(tokens.join(often, "token"))  # classes that share a prefix shingle with another one
+    comps = _components(sets, classes, shared, percent)
     members = classes.select("n", "k1", "k2", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("component_id"))
     joined = full.select("doc", "n", "k1", "k2").join(members, ["n", "k1", "k2"], "left").select("doc", "n", "component_id")
-    alone = sigs.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"))
+    alone = sets.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"))
     return joined.unionByName(alone).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _components(docs: DataFrame, key: str, text: str, classes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """``(node, component)`` of all classes that link with another class."""
-    spark = docs.sparkSession
-    comps = spark.createDataFrame([], "node long, component long")
-    sets = common.materialize(_sets(docs, key, text, shared.select("id").distinct()))
-    open_rows = shared.withColumn("comp", F.col("id"))
-    size_ok = (F.col("n") * 100 >= F.col("pn") * percent) & (F.col("pn") * 100 >= F.col("n") * percent)
+def _different_groups(rows: DataFrame) -> DataFrame:
+    """``rows(token, id)`` of one token for every different set of ids, with its size ``c``: alike classes share many shingles, and one says it all.
+
+    Sets are named by their size and two hashes that are combined without order, so no set is ever gathered.
+    """
+    rows = common.materialize(rows)
+    named = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x2"))
+    return common.materialize(rows.join(named.groupBy("c", "x1", "x2").agg(F.min("token").alias("token")).select("token", "c"), "token"))
+
+
+def _components(sets: DataFrame, classes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """``(node, component)`` of all classes that link with another class; ``shared`` has ``token, id, c``."""
+    left, comps = shared.withColumn("comp", F.col("id")), None
+    crowded = left.where(F.col("c") > CROWD)
     for r in range(STARS):
-        centre = open_rows.groupBy("token").agg(F.min_by(F.struct("id", "n", "comp"), F.xxhash64(F.lit(r), "id")).alias("c")).select("token", F.col("c.id").alias("pid"), F.col("c.n").alias("pn"), F.col("c.comp").alias("pc"))
-        pairs = open_rows.join(centre, "token").where(F.col("comp") != F.col("pc")).where(size_ok).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
-        comps = _joined(comps, _verified(pairs, sets, percent))
-        rows = shared.join(comps.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
-        # a shingle all of whose classes are connected asks for nothing more
-        split = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("token", "c")
-        open_rows = common.materialize(rows.join(split, "token"))
-        if open_rows.isEmpty():
-            return comps
+        if crowded.isEmpty():
+            break
+        centre = crowded.groupBy("token").agg(F.min_by(F.struct("id", "comp"), F.xxhash64(F.lit(r), "id")).alias("c")).select("token", F.col("c.id").alias("pid"), F.col("c.comp").alias("pc"))
+        pairs = crowded.join(centre, "token").where(F.col("comp") != F.col("pc")).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
+        comps = _joined(comps, _verified(_possible(pairs, classes, percent), sets, percent))
+        left = _open(left.drop("comp"), comps)
+        crowded = left.where(F.col("c") > CROWD)
     blocks = F.ceil(F.col("c") / BLOCK)
-    dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    tiles = dealt.select("token", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "block", "id", "n", "comp").join(classes.select("id", "bits"), "id")
-    found = tiles.groupBy("token", "t1", "t2").applyInPandas(_tile_pairs(percent), "a long, b long").distinct()
+    dealt = left.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    # shingles of one block are packed, some thousands of rows to a tile; those of more have tiles of their own
+    packs = max(1, left.count() // PACK)
+    tile = F.when(blocks > 1, F.concat(F.lit("t"), F.col("token").cast("string"))).otherwise(F.concat(F.lit("p"), F.pmod(F.xxhash64("token"), F.lit(packs)).cast("string")))
+    tiles = dealt.select(tile.alias("tile"), "token", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "block", "id", "comp").join(classes.select("id", "n", "bits"), "id")
+    found = tiles.groupBy("tile", "t1", "t2").applyInPandas(_tile_pairs(percent), "a long, b long").distinct()
     return _joined(comps, _verified(found, sets, percent))
 
 
-def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """``rows(token, id, c)`` with their groups, of the shingles whose classes aren't all in one group yet."""
+    named = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "c", F.coalesce("component", "id").alias("comp"))
+    split = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return common.materialize(named.join(split, "token"))
+
+
+def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after more links; the earlier ones are stars already."""
-    new = common.materialize(links)
-    if new.isEmpty():
-        return comps
-    return common.materialize(common.connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)))
+    return common.connected_components(links if comps is None else comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
 
 def keep_one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of their group; rows with a null key stay."""
     groups = similar_groups(docs, key, text, percent)
     gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[key] == gone["_gone"], "left_anti")  # one plan for every size

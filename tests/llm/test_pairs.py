@@ -64,10 +64,11 @@ def test_ngram_bounds():
         for m in range(n, 400):
             o = ngramjoin.least_overlap(n, m)
             assert 100 * o >= 80 * (n + m - o) and 100 * (o - 1) < 80 * (n + m - o + 1)
-    h = np.unique(np.random.default_rng(1).integers(0, 2**63, 500, dtype=np.uint64))
+    h = np.unique(np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64) & ngramjoin._HIGH)
+    assert (ngramjoin.unpacked(ngramjoin.packed(h)) == h).all()
     a, b = h[:300], h[100:]
     bits = ngramjoin.folded([ngramjoin.bitmap(a), ngramjoin.bitmap(b)])
-    assert (len(a) + len(b) - int(np.bitwise_count(bits[0] ^ bits[1]).sum())) // 2 >= ngramjoin.overlap(a.tobytes(), b.tobytes()) == 200 - (500 - len(h))
+    assert (len(a) + len(b) - int(np.bitwise_count(bits[0] ^ bits[1]).sum())) // 2 >= ngramjoin.overlap(ngramjoin.packed(a), ngramjoin.packed(b)) == 200 - (500 - len(h))
 
 
 def test_keep_one(spark):
