@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast up to this many rows; beyond that the join shuffles.
 MAX_BROADCAST_ROWS = 200_000
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, str]] = []
+_scope: list[str] = [""]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,16 +35,37 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written.append((spark, path, _scope[-1]))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables that are cut inside belong to ``name`` and go with ``release(name)``."""
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
+def release(name: str) -> None:
+    """Remove the tables of a scope. Only for results that have been written: what still reads them fails."""
+    for entry in [x for x in _written if x[2] == name]:
+        _written.remove(entry)
+        _delete(*entry[:2])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _written:
+    for spark, path, _ in _written:
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: nothing can be asked of it any more
             return
 

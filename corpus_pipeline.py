@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +44,26 @@ def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece.encode_texts(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "lang", "source", "token_ids", "n_tokens", "round_trip")
 
 
+
+
+def _stage(run: Callable) -> Callable:
+    """``run`` after the tables of the stage before are removed: its result is written by now, and nothing else reads them."""
+
+    @functools.wraps(run)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release("corpus_pipeline")
+        with common.scope("corpus_pipeline"):
+            return run(spark, docs, sf_dir)
+
+    return staged
+
+
 STAGES = [
-    ("language_id", language_stage),
-    ("line_dedup", line_stage),
-    ("ngram_join", similar_stage),
-    ("decontamination", benchmark_stage),
-    ("sentencepiece", piece_stage),
+    ("language_id", _stage(language_stage)),
+    ("line_dedup", _stage(line_stage)),
+    ("ngram_join", _stage(similar_stage)),
+    ("decontamination", _stage(benchmark_stage)),
+    ("sentencepiece", _stage(piece_stage)),
 ]
 
 #: SQL expresses neither the language model nor the tokenizer; tests hold the stages against brute force.
