@@ -91,11 +91,11 @@ class TokenCounter:
 
 
 def _counter(path: str, shared) -> TokenCounter:
-    key = (path, shared.id if hasattr(shared, "id") else id(shared))
-    if key not in _state:
+    """One per worker process and tokenizer file, kept from task to task."""
+    if path not in _state:
         _state.clear()
-        _state[key] = TokenCounter(path, shared.value)
-    return _state[key]
+        _state[path] = TokenCounter(path, shared.value)
+    return _state[path]
 
 
 def frequent_lengths(df: DataFrame, path: str, text: str = "text", seed_rows: int = SEED_ROWS, entries: int = TABLE_ENTRIES) -> dict[str, int]:
