@@ -11,8 +11,8 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words that a worker keeps, with their ids; beyond that it starts anew.
-MAX_KNOWN_WORDS = 400_000
+MAX_KNOWN_WORDS = 200_000
+#: Words that the library encodes at once.
+NEW_WORDS = 10_000
 # Piece types and model types of the SentencePiece model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -169,33 +171,35 @@ class Codec:
         self.tokenizer = build(self.model)
         #: Words are independent of each other if the tokenizer splits text into them.
         self.words = type(self.tokenizer)(self.tokenizer.model) if self.tokenizer.pre_tokenizer else None
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
         plain = (NORMAL, USER_DEFINED, UNUSED)
         self.surface = [p if kind in plain else _ascii_byte(p) if kind == BYTE else None for p, _, kind in self.model.pieces]
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text. Where words are independent, each different word is encoded once, all new ones in one batch."""
         if self.words is None:
-            return [x.ids for x in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            return [np.array(x.ids, dtype=np.int32) for x in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         split = [_WORDS.findall(self.normalised(t)) for t in texts]
         if len(self.known) > MAX_KNOWN_WORDS:
             self.known.clear()
         known = self.known
         new = list({w for words in split for w in words if w not in known})
-        known.update(zip(new, (x.ids for x in self.words.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+        for i in range(0, len(new), NEW_WORDS):  # the library's results are large objects, so they are kept for a part only
+            part = new[i : i + NEW_WORDS]
+            known.update((w, np.array(x.ids, dtype=np.int32).tobytes()) for w, x in zip(part, self.words.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32) for words in split]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def decode(self, ids: list) -> list[str]:
         """Lists of plain pieces are joined here; those with other byte, control or unknown pieces go to the library's decoder."""
         out: list[str | None] = []
         for one in ids:
             try:
-                text = "".join(map(self.surface.__getitem__, one)).replace(MARK, " ")
+                text = "".join(map(self.surface.__getitem__, one.tolist() if isinstance(one, np.ndarray) else one)).replace(MARK, " ")
             except TypeError:
                 text = None
             out.append(text if text is None or not self.model.add_dummy_prefix else text[1:] if text[:1] == " " else text)
         rest = [i for i, t in enumerate(out) if t is None]
-        for i, t in zip(rest, self.tokenizer.decode_batch([ids[i] for i in rest], skip_special_tokens=False), strict=True):
+        for i, t in zip(rest, self.tokenizer.decode_batch([[int(k) for k in ids[i]] for i in rest], skip_special_tokens=False), strict=True):
             out[i] = t
         return out
 
@@ -231,7 +235,7 @@ def verify_parity(path: str, texts: list[str]) -> list[int]:
     ids = mine.encode(texts)
     theirs = other.encode(texts, num_threads=1)
     back, back_too = mine.decode(ids), other.decode(theirs)
-    return [i for i in range(len(texts)) if ids[i] != theirs[i] or back[i] != back_too[i]]
+    return [i for i in range(len(texts)) if ids[i].tolist() != theirs[i] or back[i] != back_too[i]]
 
 
 def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", n_tokens: str = "n_tokens", round_trip: str = "round_trip") -> DataFrame:
@@ -270,7 +274,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", text: str = "de
     return df.withColumn(text, run(F.col(f"`{ids}`")))
 
 
-def _cut(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[str | None]]:
+def _cut(texts: list[str | None], chars: int = 500_000) -> Iterator[list[str | None]]:
     part, size = [], 0
     for t in texts:
         part.append(t)

@@ -26,7 +26,7 @@ def test_pipeline(spark, tmp_path):
     left = dict(docs) | {13: "\n".join(docs[9][1].split("\n")[::2])}
     c = piece.codec(tokenizer_path("piece_bpe_32k.model"))
     for i, r in found.items():
-        assert r["token_ids"] == c.encode([left[i]])[0] and r["round_trip"] and r["n_tokens"] == len(r["token_ids"])
+        assert r["token_ids"] == c.encode([left[i]])[0].tolist() and r["round_trip"] and r["n_tokens"] == len(r["token_ids"])
 
 
 def test_stages_keep_columns(spark, sf):

@@ -76,7 +76,7 @@ def test_pieces_parity_and_round_trip(spark, sf):
     c = piece.codec(path)
     assert [c.normal(t) for t in texts] == c.decode(c.encode(texts))
     whole = [x.ids for x in c.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert whole == c.encode(texts)
+    assert whole == [x.tolist() for x in c.encode(texts)]
 
 
 def test_piece_columns(spark):
