@@ -207,24 +207,18 @@ def extract_text(page: str | None) -> str:
         if n.tag in ("article", "main"):
             return "\n".join(_blocks([n]))
     least = min(n.density for n in path)
-    chosen: list[Node] = []
-
-    def walk(node: Node, depth: int) -> None:
-        """Along the path down to the best subtree; siblings that are as dense as the threshold join."""
-        if depth == 0:
-            chosen.append(node)
-            return
-        below = path[depth - 1]
+    # siblings along the path that are as dense as the threshold join the best subtree, in page order
+    ahead: list[Node] = []
+    behind: list[Node] = []
+    for node, below in zip(reversed(path), reversed(path[:-1]), strict=False):
+        passed, after = False, []
         for c in node.children():
             if c is below:
-                walk(c, depth - 1)
+                passed = True
             elif not c.skip and c.chars and c.density >= least:
-                chosen.append(c)
-
-    if best.total <= 0:
-        chosen = [body]
-    else:
-        walk(body, len(path) - 1)
+                (after if passed else ahead).append(c)
+        behind = after + behind
+    chosen = [body] if best.total <= 0 else [*ahead, best, *behind]
     return "\n".join(_blocks(chosen))
 
 
