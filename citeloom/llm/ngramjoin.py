@@ -25,10 +25,10 @@ from citeloom.llm import common
 
 #: Shingle size in words; similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
-#: Classes of a block of a tile; rounds of stars; bits of the table of common shingles; occurrences in a batch from which one counts as common.
-BLOCK, STARS, ORDER_BITS, COMMON = 512, 2, 18, 8
+#: Classes of a block of a tile; most rounds of stars; bits of the table of common shingles; occurrences in a batch from which one counts as common.
+BLOCK, STARS, ORDER_BITS, COMMON = 512, 6, 18, 8
 #: Classes of a shingle from which stars come first; rows of a packed tile.
-CROWD, PACK = 32, 8192
+CROWD, PACK = 8, 8192
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -106,8 +106,8 @@ def least_overlap(a, b, percent: int = PERCENT):
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """A bit for every shingle, in twice as many bits as shingles, rounded up to a power of two."""
-    bits = max(64, 1 << int(2 * len(h) - 1).bit_length())
+    """A bit for every shingle, in four times as many bits as shingles, rounded up to a power of two."""
+    bits = max(64, 1 << int(4 * len(h) - 1).bit_length())
     out = np.zeros(bits, dtype=np.uint8)
     out[(h >> np.uint64(16) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -293,10 +293,15 @@ def _components(sets: DataFrame, classes: DataFrame, shared: DataFrame, percent:
     """``(node, component)`` of all classes that link with another class; ``shared`` has ``token, id, c``."""
     left, comps = shared.withColumn("comp", F.col("id")), None
     crowded = left.where(F.col("c") > CROWD)
+    before = None
     for r in range(STARS):
-        if crowded.isEmpty():
+        now = crowded.select("token", "comp").distinct().count()
+        if not now or (before is not None and now > 0.9 * before):  # rounds that connect little more are left to the tiles
             break
-        centre = crowded.groupBy("token").agg(F.min_by(F.struct("id", "comp"), F.xxhash64(F.lit(r), "id")).alias("c")).select("token", F.col("c.id").alias("pid"), F.col("c.comp").alias("pc"))
+        before = now
+        # the smallest key first, from which copies are often made, then others
+        order = F.col("id") if r == 0 else F.xxhash64(F.lit(r), "id")
+        centre = crowded.groupBy("token").agg(F.min_by(F.struct("id", "comp"), order).alias("c")).select("token", F.col("c.id").alias("pid"), F.col("c.comp").alias("pc"))
         pairs = crowded.join(centre, "token").where(F.col("comp") != F.col("pc")).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
         comps = _joined(comps, _verified(_possible(pairs, classes, percent), sets, percent))
         left = _open(left.drop("comp"), comps)
