@@ -53,7 +53,7 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN s
 EMBEDDING_NEARDUP = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
-), ok AS MATERIALIZED (SELECT vec_id, label, e FROM v WHERE CASE WHEN len(e) = 0 OR len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN false ELSE list_dot_product(e, e) > 0 END),
+), ok AS MATERIALIZED (SELECT vec_id, label, e FROM v WHERE CASE WHEN len(e) = 0 OR len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN false ELSE len(list_filter(e, lambda x: x <> 0)) > 0 END),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
 reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT m.vec_id, coalesce(k.n, 0) AS n_links, c.component_id, m.vec_id = c.component_id AS kept FROM embeddings m
