@@ -176,3 +176,19 @@ def test_embeddings(compare, spark, tmp_path, monkeypatch, cell):
 def test_embeddings_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert neardup.near_duplicates(spark.createDataFrame([(1, [1.0, 2.0], 5), (2, [2.0, 4.0], 5), (3, [1.0, 2.0], None)], "vec_id long, embedding array<double>, label int").withColumn("size", F.lit(1))).where("n_links = 1").count() == 2
+
+
+def planted(n, dims, low, high, seed=11):
+    """``n`` pairs of vectors with cosines from ``low`` to ``high``, far from all others."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x, y, c = unit(rng.standard_normal((n, dims))), rng.standard_normal((n, dims)), rng.uniform(low, high, (n, 1))
+    return np.stack([x, c * x + np.sqrt(1 - c * c) * unit(y - (x * y).sum(axis=1, keepdims=True) * x)], axis=1).reshape(2 * n, dims)
+
+
+def test_embeddings_recall_of_windows(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 1 << 20)
+    x = planted(2000, 64, 0.98, 0.985)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = int(((x[::2] * x[1::2]).sum(axis=1) >= 0.98).sum())
+    assert neardup.near_duplicates(df).agg(F.sum("n_links")).first()[0] >= 2 * 0.999 * want
