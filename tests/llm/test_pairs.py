@@ -192,3 +192,19 @@ def test_embeddings_recall_of_windows(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     want = int(((x[::2] * x[1::2]).sum(axis=1) >= 0.98).sum())
     assert neardup.near_duplicates(df).agg(F.sum("n_links")).first()[0] >= 2 * 0.999 * want
+
+
+def test_embeddings_of_several_lengths(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 1 << 20)
+    x, schema = planted(1000, 64, 0.98, 0.985), "vec_id long, embedding array<double>, label int"
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(-1, [1.0] * 512, 1)]
+    want = int(((x[::2] * x[1::2]).sum(axis=1) >= 0.98).sum())
+    assert neardup.near_duplicates(spark.createDataFrame(rows, schema)).agg(F.sum("n_links")).first()[0] >= 2 * 0.999 * want
+
+
+def test_embeddings_beside_a_larger_label(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 600)
+    monkeypatch.setattr(neardup, "STRONGEST", 1)
+    few, many, schema = planted(250, 16, 0.981, 0.985), planted(500, 16, 0.981, 0.985, 12), "vec_id long, embedding array<double>, label int"
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(few)] + [(1000 + i, v.tolist(), 2) for i, v in enumerate(many)]
+    assert neardup.near_duplicates(spark.createDataFrame(rows, schema)).where("vec_id < 1000").agg(F.sum("n_links")).first()[0] >= 500
