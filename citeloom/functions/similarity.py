@@ -47,6 +47,13 @@ def jaro_winkler(a: str, b: str, scale: float = 0.1, prefix: int = 4, boost: flo
     return jaro + same * scale * (1 - jaro)
 
 
+def least_length_ratio(least: float, scale: float = 0.1, prefix: int = 4, boost: float = 0.7) -> float:
+    """The shorter length over the longer one below which no pair of texts reaches a Jaro-Winkler similarity of ``least``."""
+    # at most all of the shorter text matches in order, (ratio + 2) / 3, and the whole prefix is common
+    jaro = max((least - prefix * scale) / (1 - prefix * scale), boost) if least > boost else least
+    return max(3 * jaro - 2 - 1e-9, 0.0)
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_column(a: pd.Series, b: pd.Series) -> pd.Series:
     """Null if either text is null. Pairs that repeat in a batch are computed once."""

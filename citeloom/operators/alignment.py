@@ -82,35 +82,40 @@ def _left(df: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
     return df.join(mapping.select(F.col(key).alias("key")), "key", "left_anti")
 
 
-def by_neighbours(one: DataFrame, two: DataFrame, mapping: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD, max_rounds: int = 50) -> DataFrame:
+def by_neighbours(one: DataFrame, two: DataFrame, mapping: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
     """Texts near the partner of a neighbour and more alike than ``threshold``, in rounds until none is found.
 
     A candidate lies within ``radius`` places of the image of a mapped neighbour and has the same key prefix. A round
     takes every text's best candidate (by similarity, then places) and, where several want one text, the best of those.
+    Only the pairs of the round before ask for candidates; those of earlier rounds that are alike and still free wait.
     """
     prefix = F.substring_index("key", "_", 1)
     a = one.select("pos", "key", prefix.alias("prefix"), "text")
     b = two.select("pos", "key", prefix.alias("prefix"), "text")
     near = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
-    known, found, score = mapping.select("key1", "key2", "stage"), None, None
-    for _ in range(max_rounds):
-        placed = known.join(a.select(F.col("key").alias("key1"), F.col("pos").alias("p1"), F.col("prefix").alias("x1")), "key1").join(b.select(F.col("key").alias("key2"), F.col("pos").alias("p2"), F.col("prefix").alias("x2")), "key2")
+    ratio = similarity.least_length_ratio(threshold)
+    known = new = mapping.select("key1", "key2", "stage")
+    waiting = None
+    while True:
+        placed = new.join(a.select(F.col("key").alias("key1"), F.col("pos").alias("p1"), F.col("prefix").alias("x1")), "key1").join(b.select(F.col("key").alias("key2"), F.col("pos").alias("p2"), F.col("prefix").alias("x2")), "key2")
         left_a, left_b = _left(a, known, "key1"), _left(b, known, "key2")
         asks = placed.select("p1", "x1", "p2", "x2", near.alias("d")).select((F.col("p1") + F.col("d")).alias("pos"), F.col("x1").alias("prefix"), "p2", "x2")
         asks = asks.join(left_a.select("pos", "prefix", F.col("key").alias("key1"), F.col("text").alias("t1")), ["pos", "prefix"]).select("key1", "t1", F.col("pos").alias("at1"), "p2", F.col("x2").alias("prefix"))
         asks = asks.select("key1", "t1", "at1", "prefix", near.alias("d"), "p2").select("key1", "t1", "at1", "prefix", (F.col("p2") + F.col("d")).alias("pos")).distinct()
         pairs = asks.join(left_b.select("pos", "prefix", F.col("key").alias("key2"), F.col("text").alias("t2")), ["pos", "prefix"]).where("t2 <> ''").select("key1", "at1", "key2", F.col("pos").alias("at2"), "t1", "t2").distinct()
-        # a similarity can't pass the threshold when the lengths are too far apart, which spares most comparisons
-        pairs = pairs.where(F.least(F.length("t1"), F.length("t2")) * 3 >= F.greatest(F.length("t1"), F.length("t2")))
+        # a similarity can't pass the threshold when the lengths are too far apart, which spares many comparisons
+        pairs = pairs.where(F.least(F.length("t1"), F.length("t2")) >= F.greatest(F.length("t1"), F.length("t2")) * ratio)
         scored = pairs.withColumn("sim", similarity.jaro_winkler_column("t1", "t2")).where(F.col("sim") > threshold).select("key1", "at1", "key2", "at2", "sim")
-        best = scored.groupBy("key1").agg(F.max_by(F.struct("key2", "at1", "at2", "sim"), F.struct("sim", -F.col("at2"))).alias("x")).select("key1", "x.*")
+        if waiting is not None:
+            free = waiting.join(new.select("key1"), "key1", "left_anti").join(new.select("key2"), "key2", "left_anti")
+            scored = scored.unionByName(free).distinct()
+        waiting = cut(scored)
+        best = waiting.groupBy("key1").agg(F.max_by(F.struct("key2", "at1", "at2", "sim"), F.struct("sim", -F.col("at2"))).alias("x")).select("key1", "x.*")
         new = best.groupBy("key2").agg(F.max_by("key1", F.struct("sim", -F.col("at1"))).alias("key1")).select("key1", "key2", F.lit("neighbours").alias("stage"))
         new = cut(new)
         if new.isEmpty():
-            break
+            return known.join(mapping.select("key1"), "key1", "left_anti")
         known = cut(known.unionByName(new))
-        found = new if found is None else found.unionByName(new)
-    return found if found is not None else mapping.where(F.lit(False)).select("key1", "key2", F.lit("neighbours").alias("stage"))
 
 
 def align(one: DataFrame, two: DataFrame, min_length: int = MIN_LENGTH, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import duckdb
 import pytest
 
+from citeloom.functions import similarity
 from citeloom.operators import alignment
 from citeloom.plans import registry
 
@@ -56,6 +57,29 @@ def test_alignment_is_one_to_one(spark):
     assert {(r["key1"], r["key2"]) for r in same} == {(f"l0_{i:03d}",) * 2 for i in range(40)}
 
 
+def test_alignment_of_long_runs(spark):
+    rnd = random.Random(3)
+    n, words = 56, [f"{rnd.randrange(36**6):x}" for _ in range(400)]
+    old = [" ".join(rnd.choice(words) for _ in range(20)) for _ in range(n)]
+    new = [old[0]] + [t + " changed" for t in old[1:]]
+    frame = lambda ts: spark.createDataFrame([(i, f"l_{i:03d}", "", t) for i, t in enumerate(ts)], "pos long, key string, citekey string, text string")
+    anchor = spark.createDataFrame([("l_000", "l_000", "text")], alignment.MAPPING)
+    found = alignment.by_neighbours(frame(old), frame(new), anchor, radius=1).collect()
+    assert sorted((r["key1"], r["key2"], r["stage"]) for r in found) == [(f"l_{i:03d}",) * 2 + ("neighbours",) for i in range(1, n)]
+
+
+def test_alignment_of_unequal_lengths(spark):
+    long = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(40))
+    short = long[: len(long) * 3 // 10]
+    for a, b in ((long, short), ("abcd" + "x" * 6, "abcd"), ("a" * 100, "a" * 33), ("a" * 9, "a")):
+        sim = similarity.jaro_winkler(a, b)
+        assert similarity.least_length_ratio(sim) <= len(b) / len(a)
+    assert similarity.least_length_ratio(0.9) == pytest.approx(0.5)
+    frame = lambda t: spark.createDataFrame([(0, "l_0", "", "same"), (1, "l_1", "", t)], "pos long, key string, citekey string, text string")
+    anchor = spark.createDataFrame([("l_0", "l_0", "text")], alignment.MAPPING)
+    assert [tuple(r) for r in alignment.by_neighbours(frame(long), frame(short), anchor, threshold=0.8).collect()] == [("l_1", "l_1", "neighbours")]
+
+
 def test_entry(spark):
     import __spark_entry__
 
