@@ -3,7 +3,10 @@
 Follows Sun, Song and Liao, "DOM based content extraction via text density" (SIGIR 2011): every node gets a composite
 density of characters per tag, lowered by the share of link characters; the sum of its children's densities ranks
 subtrees; the least density on the path from ``body`` to the best subtree is the threshold for what joins it.
-Elements that hold no article by their kind (menus, forms, adverts, ...) are left out of the tree before that.
+Elements that hold no article by their kind (menus, forms, adverts, ...) are left out of the tree before that. Names in
+classes and ids leave out no headings and paragraphs, and within an article only containers; whole names of menus,
+adverts, notices and comments do. Ambiguous names (search, related, ...) count outside of articles only: what has one
+doesn't join the best subtree, and stays in it if it is as dense as the threshold.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 # HTML's void, raw-text and block elements, and the kinds that aren't article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
-SKIP = RAW | frozenset("head nav aside form footer button select option datalist menu dialog svg math canvas audio video object figure map".split())
+SKIP = RAW | frozenset("head nav aside form footer select option datalist menu svg math canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -28,20 +31,33 @@ SCOPE = frozenset("article body html table td th tr caption div section main li
 CLOSES_P = BLOCK - {"tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "caption", "option", "optgroup", "legend"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-BOILERPLATE = re.compile(
+#: Left out outside of an article only: in one they hold its title or the titles of its folded parts.
+OUTSIDE = frozenset("header button dialog".split())
+#: What a class or id never leaves out: headings and single paragraphs, and the article itself.
+KEPT = frozenset("body html article main h1 h2 h3 h4 h5 h6 p".split())
+#: What a class or id can leave out within an article.
+CONTAINERS = frozenset("div section ul ol dl table center details fieldset ins".split())
+#: Words that may name what isn't article text, as parts of a name and outside of an article only.
+PART = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|adbox|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disqus|feedback|footer|footnav|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|overlay|pager|pagination|popup|promo|promotion|recommended|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|tags|toolbar|topbar|widget|widgets)(?:$|[\s_\d-])",
     re.I,
 )
+#: Names of menus, adverts, notices and comments; the whole name must fit.
+WHOLE = re.compile(
+    r"(?:ads?|adv|adverts?|advertisements?|adbox|adsense|sponsored|navbar|nav|menu|breadcrumbs?|footnav|pager|pagination|sidebar|comments?|commentlist)(?:[_-](?:area|banner|bar|block|bottom|box|container|footer|inline|left|list|main|right|section|slot|top|unit|wrap|wrapper|\d+))*"
+    r"|(?:comment|disqus)[_-](?:area|form|list|section|thread)|(?:cookies?|gdpr|consent)[_-](?:banner|bar|box|consent|message|notice|overlay|popup)",
+    re.I,
+)
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "skip", "maybe", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool):
-        self.tag, self.parent, self.items, self.skip = tag, parent, [], skip
+    def __init__(self, tag: str, parent: Node | None, skip: bool, maybe: bool = False):
+        self.tag, self.parent, self.items, self.skip, self.maybe = tag, parent, [], skip, maybe
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -49,18 +65,27 @@ class Node:
         return (x for x in self.items if not isinstance(x, str))
 
 
-def _left_out(tag: str, attrs: str, inside_article: bool) -> bool:
-    if tag in SKIP or (tag == "header" and not inside_article):
-        return True
-    if not attrs.strip() or tag in ("body", "html", "article", "main"):
-        return False
+def _left_out(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element goes, and whether it may go by an ambiguous name, which its density decides."""
+    if tag in SKIP or (tag in OUTSIDE and not inside_article):
+        return True, False
+    if tag in ("body", "html", "article", "main") or not attrs.strip():
+        return tag == "dialog", False
+    maybe, opened = False, tag != "dialog"
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), html_lib.unescape(m[2] or m[3] or m[4] or "")
-        if name in ("class", "id") and BOILERPLATE.search(value) or name == "role" and value.strip().lower() in ROLES:
-            return True
+        opened = opened or name == "open"
+        if name == "role" and value.strip().lower() in ROLES:
+            return True, False
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, False
+        if name not in ("class", "id") or tag in KEPT:
+            continue
+        anchor = name == "id" and tag == "section"  # the place of a heading
+        if (tag in CONTAINERS or not inside_article) and not anchor and any(WHOLE.fullmatch(x) for x in value.split()):
+            return True, False
+        maybe = maybe or not inside_article and bool(PART.search(value))
+    return not opened, maybe
 
 
 def parse(page: str) -> Node:
@@ -105,7 +130,7 @@ def parse(page: str) -> Node:
                         break
                 elif stack[i].tag in bounds:
                     break
-        node = Node(tag, stack[-1], stack[-1].skip or _left_out(tag, m["attrs"], articles > 0))
+        node = Node(tag, stack[-1], *_left_out(tag, m["attrs"], articles > 0))
         stack[-1].items.append(node)
         if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -207,6 +232,13 @@ def extract_text(page: str | None) -> str:
         if n.tag in ("article", "main"):
             return "\n".join(_blocks([n]))
     least = min(n.density for n in path)
+    # of the best subtree, what has an ambiguous name stays if it is as dense as the threshold
+    todo = [best]
+    while todo:
+        for c in todo.pop().children():
+            c.skip = c.skip or (c.maybe and c.density < least)
+            if not c.skip:
+                todo.append(c)
     # siblings along the path that are as dense as the threshold join the best subtree, in page order
     ahead: list[Node] = []
     behind: list[Node] = []
@@ -215,7 +247,7 @@ def extract_text(page: str | None) -> str:
         for c in node.children():
             if c is below:
                 passed = True
-            elif not c.skip and c.chars and c.density >= least:
+            elif not c.skip and not c.maybe and c.chars and c.density >= least:
                 (after if passed else ahead).append(c)
         behind = after + behind
     chosen = [body] if best.total <= 0 else [*ahead, best, *behind]

@@ -63,6 +63,23 @@ def test_html_deep_and_long():
     assert html_extract.extract_text("<body><article>" + "<p>w w</p>" * 20_000).count("\n") == 19_999
 
 
+PARTS = "<h1 class='entry-header'>Title</h1><p class='skip-first'>First words here.</p><section id='search-algorithms'><h2 id='comments'>Comments in code</h2><p>They say why.</p></section><figure><table><tr><td>cell</td></tr></table><figcaption>A caption</figcaption></figure><h2><button>Folded</button></h2><object>fallback</object>"
+WHOLE = "Title\nFirst words here.\nComments in code\nThey say why.\ncell\nA caption\nFolded\nfallback"
+JUNK = "<div class='ad'>buy</div><ul class='nav-menu menu'><li>m</ul><div id='comments'>me too</div><div class='cookie-notice'>ok</div><dialog>closed</dialog>"
+
+
+def test_html_keeps_what_only_sounds_like_boilerplate():
+    assert html_extract.extract_text(f"<body><article>{PARTS}{JUNK}</article></body>") == WHOLE
+    assert html_extract.extract_text(f"<body><div class='search-page has-sidebar'><main>{PARTS}{JUNK}</main></div></body>") == WHOLE
+
+
+def test_html_names_without_article():
+    long = "Long text of a page that goes on and on, and has no links at all."
+    links = "<a href=1>one</a> <a href=2>two</a> <a href=3>three</a>"
+    page = f"<body><ul><li><a href=1>m</a></ul><div><h2 id='notice'>Heading of some length</h2><p class='tags-intro'>{long}</p><section id='search-algorithms'>{long}</section><p>{long}</p><div class='share'>{links}</div></div><div class='footer'>{long}</div></body>"
+    assert html_extract.extract_text(page) == "\n".join(["Heading of some length", long, long, long])
+
+
 def test_html_query(spark, sf):
     rows = QUERIES["op2_html_extract"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
