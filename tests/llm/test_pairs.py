@@ -208,3 +208,16 @@ def test_embeddings_beside_a_larger_label(spark, monkeypatch):
     few, many, schema = planted(250, 16, 0.981, 0.985), planted(500, 16, 0.981, 0.985, 12), "vec_id long, embedding array<double>, label int"
     rows = [(i, v.tolist(), 1) for i, v in enumerate(few)] + [(1000 + i, v.tolist(), 2) for i, v in enumerate(many)]
     assert neardup.near_duplicates(spark.createDataFrame(rows, schema)).where("vec_id < 1000").agg(F.sum("n_links")).first()[0] >= 500
+
+
+@pytest.mark.parametrize("rotations", [1, 2])
+def test_embeddings_recall_of_cells(rotations):
+    dims, n = 384, 20_000
+    x = planted(n, dims, 0.98, 0.98)
+    both = np.ones(n, dtype=bool)
+    for r in range(rotations):
+        q = x @ neardup.directions(dims, dims, seed=50 + r).T
+        top = np.argpartition(-np.abs(q), neardup.STRONGEST, axis=1)[:, : neardup.STRONGEST]
+        cells = 2 * top + (np.take_along_axis(q, top, axis=1) > 0)
+        both &= (cells[::2, :, None] == cells[1::2, None, :]).any(axis=(1, 2))
+    assert both.mean() >= 0.9998
