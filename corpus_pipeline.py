@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeloom.llm import common, decontaminate, langid, linededup, ngramjoin, piece
 from citeloom.llm.queries import table, tokenizer_path
@@ -14,11 +16,21 @@ from citeloom.llm.queries import table, tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@F.pandas_udf(T.BooleanType())
+def _has_letter(texts: pd.Series) -> pd.Series:
+    return texts.map(langid.has_letter, na_action=None).astype(bool)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any language (null text, or no letter in it) go; all others stay as they are."""
+    """Documents without any language (null text, or no letter in it) go; a missing ``lang`` is filled with the predicted one.
+
+    If no document has a label there is no language to predict: texts alone decide, and ``lang`` stays missing.
+    """
     model = langid.train(docs)
-    named = langid.identify(docs, model, lang_pred="_lang", score="_score")
-    return named.where(F.col("_lang") != langid.UNKNOWN).select(*COLUMNS)
+    if not model.langs:
+        return docs.where(_has_letter("text")).select(*COLUMNS)
+    named = langid.identify(docs, model, lang_pred="_lang", score="_score").where(F.col("_lang") != langid.UNKNOWN)
+    return named.withColumn("lang", F.coalesce(F.nullif(F.col("lang"), F.lit("")), "_lang")).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

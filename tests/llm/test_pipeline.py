@@ -35,3 +35,13 @@ def test_stages_keep_columns(spark, sf):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_join", "decontamination", "sentencepiece"]
+
+
+def test_language_stage_labels(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    unlabelled = [(1, "some words", None, "s", 10), (2, "123", None, "s", 3), (3, None, None, "s", None), (4, "слова", None, "s", 5)]
+    out = corpus_pipeline.language_stage(spark, spark.createDataFrame(unlabelled, schema), "").collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in out) == [(1, None), (4, None)]
+    known = [(10 + i, "слова и дела" if i % 2 else "some more words", "ru" if i % 2 else "en", "s", 12) for i in range(8)]
+    out = corpus_pipeline.language_stage(spark, spark.createDataFrame(unlabelled + known, schema), "").collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in out) == [(1, "en"), (4, "ru")] + [(k[0], k[2]) for k in known]
