@@ -5,32 +5,18 @@ A snapshot is ``(pos, key, citekey, text)`` with ``pos`` the place in the snapsh
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import similarity
 from citeloom.functions import text as tx
 from citeloom.operators import graph
+from citeloom.operators.lineage import materialize
 
 MIN_LENGTH, RADIUS, THRESHOLD = 50, 5, 0.9
 MAPPING = "key1 string, key2 string, stage string"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder that the cluster names, and read back; an own folder only where none is set."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="citeloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/align-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _unique(df: DataFrame, by: list[str], key: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias(key)).where("_n = 1").drop("_n")
 
@@ -109,20 +95,20 @@ def by_neighbours(one: DataFrame, two: DataFrame, mapping: DataFrame, radius: in
         if waiting is not None:
             free = waiting.join(new.select("key1"), "key1", "left_anti").join(new.select("key2"), "key2", "left_anti")
             scored = scored.unionByName(free).distinct()
-        waiting = cut(scored)
+        waiting = materialize(scored)
         best = waiting.groupBy("key1").agg(F.max_by(F.struct("key2", "at1", "at2", "sim"), F.struct("sim", -F.col("at2"))).alias("x")).select("key1", "x.*")
         new = best.groupBy("key2").agg(F.max_by("key1", F.struct("sim", -F.col("at1"))).alias("key1")).select("key1", "key2", F.lit("neighbours").alias("stage"))
-        new = cut(new)
+        new = materialize(new)
         if new.isEmpty():
             return known.join(mapping.select("key1"), "key1", "left_anti")
-        known = cut(known.unionByName(new))
+        known = materialize(known.unionByName(new))
 
 
 def align(one: DataFrame, two: DataFrame, min_length: int = MIN_LENGTH, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
     """``(key1, key2, stage)``: all four stages, each on what the earlier ones left. The mapping is one to one."""
-    done = cut(by_unique_text(one, two, min_length))
+    done = materialize(by_unique_text(one, two, min_length))
     for stage in (by_citekey_and_text, lambda x, y: by_containment(x, y, min_length)):
-        done = cut(done.unionByName(stage(_left(one, done, "key1"), _left(two, done, "key2"))))
+        done = materialize(done.unionByName(stage(_left(one, done, "key1"), _left(two, done, "key2"))))
     return done.unionByName(by_neighbours(one, two, done, radius, threshold))
 
 
