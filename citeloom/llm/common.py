@@ -2,72 +2,57 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from citeloom.operators.lineage import materialize, new_path, release, scope
+
+__all__ = ["bounded_broadcast", "class_sample", "connected_components", "crc_fold", "map_texts", "materialize", "new_path", "release", "scope"]
 
 #: A side of a join is broadcast up to this many rows; beyond that the join shuffles.
 MAX_BROADCAST_ROWS = 200_000
-
-_written: list[tuple[SparkSession, str, str]] = []
-_scope: list[str] = [""]
+#: Bytes of text that a worker turns at once. A batch from the JVM is cut to it, so memory doesn't grow with texts or rows.
+PART_BYTES = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="citeloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def parts(batch: pa.RecordBatch, texts: pa.Array, size: int = PART_BYTES) -> Iterator[tuple[int, int]]:
+    """``(start, stop)`` of runs of rows with ``size`` bytes of text, or one row more; a run has a row at least."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.float64)) + 64.0)
+    start, done = 0, 0.0
+    while start < batch.num_rows:
+        stop = min(int(np.searchsorted(ends, done + size)) + 1, batch.num_rows)
+        yield start, stop
+        start, done = stop, ends[stop - 1]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
+def map_texts(df: DataFrame, text: str, out: str, start: Callable[[], Callable[[list], list]], keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``df`` (all by default) and those of the DDL string ``out``, which the text decides row by row.
 
-    Executors may be lost afterwards: the files are shared. They are removed when the driver ends.
+    ``start()`` is called once a task and gives a function from texts to Arrow arrays, one for every column of ``out``.
+    Columns of ``df`` with names of ``out`` are replaced. Rows pass in Arrow batches that are cut by bytes of text and
+    given back part by part, so a worker holds one batch and one part's results; nothing is shuffled.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path, _scope[-1]))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def scope(name: str) -> Iterator[None]:
-    """Tables that are cut inside belong to ``name`` and go with ``release(name)``."""
-    _scope.append(name)
-    try:
-        yield
-    finally:
-        _scope.pop()
-
-
-def release(name: str) -> None:
-    """Remove the tables of a scope. Only for results that have been written: what still reads them fails."""
-    for entry in [x for x in _written if x[2] == name]:
-        _written.remove(entry)
-        _delete(*entry[:2])
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _remove_written() -> None:
-    for spark, path, _ in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended: nothing can be asked of it any more
-            return
+    added = T.StructType.fromDDL(out)
+    names = [f.name for f in added]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in names]
+    own = text in kept
+    src = df.select(*(F.col(f"`{c}`") for c in kept), *([] if own else [F.col(f"`{text}`").alias("_text_to_map")]))
+    place, n_kept = (kept.index(text) if own else len(kept)), len(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = start()
+        for batch in batches:
+            for a, b in parts(batch, batch.column(place)):
+                some = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(n_kept)), *turn(some.column(place).to_pylist())], names=kept + names)
+
+    return src.mapInArrow(run, T.StructType([*(src.schema[c] for c in kept), *added]))
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

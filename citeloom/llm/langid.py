@@ -9,11 +9,10 @@ As both products are linear, the second one is carried out once, at fitting.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,17 +101,17 @@ def identify(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def start():
         m = shared.value
-        for texts in batches:
-            values, langs, scores = list(texts), [], []
-            for k in range(0, len(values), 64):
-                a, b = m.predict(values[k : k + 64])
+
+        def turn(texts: list) -> list[pa.Array]:
+            langs, scores = [], []
+            for k in range(0, len(texts), 64):
+                a, b = m.predict(texts[k : k + 64])
                 langs += a
                 scores += b
-            yield pd.DataFrame({"lang": langs, "score": scores})
+            return [pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())]
+
+        return turn
 
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in (lang_pred, score)]
-    out = df.select(*kept, run(F.col(f"`{text}`")).alias("_id"))
-    return out.select(*kept, F.col("_id.lang").alias(lang_pred), F.col("_id.score").alias(score))
+    return common.map_texts(df, text, f"`{lang_pred}` string, `{score}` double", start)

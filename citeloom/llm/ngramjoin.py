@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,14 +130,14 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     Texts are read once; all later steps read this table, in which six bytes a shingle are about as much as the text.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingles(t) for t in batch["t"]]
-            k1 = np.array([h.sum(dtype=np.uint64) for h in found], dtype=np.uint64).view(np.int64)
-            k2 = np.array([np.bitwise_xor.reduce(_mix(h + np.uint64(1))) for h in found], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc": batch["doc"], "n": [len(h) for h in found], "k1": k1, "k2": k2, "set": [packed(h) for h in found]})
+    def turn(texts: list) -> list[pa.Array]:
+        found = [shingles(t) for t in texts]
+        k1 = np.array([h.sum(dtype=np.uint64) for h in found], dtype=np.uint64).view(np.int64)
+        k2 = np.array([np.bitwise_xor.reduce(_mix(h + np.uint64(1))) for h in found], dtype=np.uint64).view(np.int64)
+        return [pa.array([len(h) for h in found], type=pa.int64()), pa.array(k1), pa.array(k2), pa.array([packed(h) for h in found], type=pa.binary())]
 
-    return common.materialize(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).mapInPandas(run, "doc long, n long, k1 long, k2 long, set binary"))
+    named = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
+    return common.materialize(common.map_texts(named, "t", "n long, k1 long, k2 long, set binary", lambda: turn, keep=["doc"]))
 
 
 def _common_shingles(sets: DataFrame) -> np.ndarray:

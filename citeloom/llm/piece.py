@@ -14,15 +14,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm import common
+
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Words that a worker keeps, with their ids; beyond that it starts anew.
-MAX_KNOWN_WORDS = 200_000
-#: Words that the library encodes at once.
-NEW_WORDS = 10_000
+#: Bytes of words and ids that a worker keeps (an entry's own 200 bytes included); beyond that it starts anew.
+MAX_KNOWN_BYTES = 32_000_000
+#: Words of one result of the library, and results of a batch that its threads share.
+GROUP, GROUPS = 500, 16
 # Piece types and model types of the SentencePiece model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -172,22 +175,75 @@ class Codec:
         #: Words are independent of each other if the tokenizer splits text into them.
         self.words = type(self.tokenizer)(self.tokenizer.model) if self.tokenizer.pre_tokenizer else None
         self.known: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.before: dict[str, bytes] = {}  # the generation before
+        self.odd: set[str] = set()  # words that have pieces which aren't plain, or don't decode to themselves
+        self.held = 0
         plain = (NORMAL, USER_DEFINED, UNUSED)
         self.surface = [p if kind in plain else _ascii_byte(p) if kind == BYTE else None for p, _, kind in self.model.pieces]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of every text. Where words are independent, each different word is encoded once, all new ones in one batch."""
+        """Ids of every text. Where words are independent, each different word is encoded once, all new ones in batches."""
         if self.words is None:
             return [np.array(x.ids, dtype=np.int32) for x in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        split = [_WORDS.findall(self.normalised(t)) for t in texts]
-        if len(self.known) > MAX_KNOWN_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), NEW_WORDS):  # the library's results are large objects, so they are kept for a part only
-            part = new[i : i + NEW_WORDS]
-            known.update((w, np.array(x.ids, dtype=np.int32).tobytes()) for w, x in zip(part, self.words.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32) for words in split]
+        split = [self.split(t) for t in texts]
+        self._learn(split)
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32) for words in split]
+
+    def encode_and_check(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of every text, and whether they decode to the normalised text.
+
+        Plain pieces decode to themselves one by one, so a text is right if all its words are; a word's own ids are decoded
+        when it is new. Texts with any other word, or of a model whose words aren't independent, are decoded whole.
+        """
+        ids = self.encode(texts)
+        sure = [False] * len(texts) if self.words is None else [self.odd.isdisjoint(self.split(t)) for t in texts]
+        rest = [i for i, known in enumerate(sure) if not known]
+        for i, back in zip(rest, self.decode([ids[i] for i in rest]), strict=True):
+            sure[i] = back == self.normal(texts[i])
+        return ids, sure
+
+    def split(self, text: str | None) -> list[str]:
+        """The words of the normalised text, each with the markers before it."""
+        m = self.model
+        if not text:
+            return []
+        if m.add_dummy_prefix and not (m.charsmap or m.remove_extra_whitespaces) and text[0] != " " and text[-1] != " " and MARK not in text and "  " not in text:
+            return (MARK + text.replace(" ", f" {MARK}")).split(" ")
+        return _WORDS.findall(self.normalised(text))
+
+    def _learn(self, split: list[list[str]]) -> None:
+        """Put all words of ``split`` into ``known``: from the generation before, or by encoding them."""
+        if self.held > MAX_KNOWN_BYTES // 2:  # words that aren't met for a whole generation are forgotten
+            self.before, self.known, self.held = self.known, {}, 0
+            self.odd &= self.before.keys()
+        known, before, new = self.known, self.before, []
+        for word in {w for words in split for w in words if w not in known}:
+            ids = before.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                known[word] = ids
+                self.held += 200 + 4 * len(word) + len(ids)
+        # one result of the library holds many words, which it tells apart by their numbers
+        groups = [new[i : i + GROUP] for i in range(0, len(new), GROUP)]
+        for i in range(0, len(groups), GROUPS):
+            some = groups[i : i + GROUPS]
+            for words, x in zip(some, self.words.encode_batch(some, is_pretokenized=True, add_special_tokens=False), strict=True):
+                self._keep(words, x.ids, np.array(x.word_ids, dtype=np.int64))
+
+    def _keep(self, words: list[str], ids: list[int], owner: np.ndarray) -> None:
+        blob = np.array(ids, dtype=np.int32).tobytes()
+        cuts = np.searchsorted(owner, np.arange(len(words) + 1))
+        at = (4 * cuts).tolist()
+        self.known.update((w, blob[a:b]) for w, a, b in zip(words, at[:-1], at[1:], strict=True))
+        self.held += 200 * len(words) + 4 * sum(map(len, words)) + len(blob)
+        pieces = list(map(self.surface.__getitem__, ids))
+        ends = np.concatenate([[0], np.cumsum([-1_000_000 if p is None else len(p) for p in pieces], dtype=np.int64)])[cuts]
+        if None in pieces or "".join(pieces) != "".join(words) or np.diff(ends).tolist() != list(map(len, words)):
+            at = cuts.tolist()
+            for word, a, b in zip(words, at[:-1], at[1:], strict=True):
+                if None in pieces[a:b] or "".join(pieces[a:b]) != word:
+                    self.odd.add(word)
 
     def decode(self, ids: list) -> list[str]:
         """Lists of plain pieces are joined here; those with other byte, control or unknown pieces go to the library's decoder."""
@@ -241,25 +297,24 @@ def verify_parity(path: str, texts: list[str]) -> list[int]:
 def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", n_tokens: str = "n_tokens", round_trip: str = "round_trip") -> DataFrame:
     """Add the ids of every whole text, their number, and whether decoding gives the normalised text back.
 
-    Null and empty texts have no ids and a true round trip. Existing columns of the three names are replaced. Rows
-    are mapped in Arrow batches, cut further so that a batch of very long texts stays small; nothing is shuffled.
+    Null and empty texts have no ids and a true round trip. Existing columns of the three names are replaced, repeated
+    rows are coded alike, and an empty table stays empty. Rows are mapped in Arrow batches that are cut by bytes of
+    text, so that a batch of very long texts stays small; nothing is shuffled.
     """
 
-    @F.pandas_udf("ids array<int>, ok boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def start():
         c = codec(path)
-        for texts in batches:
-            got, ok = [], []
-            for part in _cut(list(texts)):
-                some = c.encode(part)
-                got += some
-                ok += [a == c.normal(b) for a, b in zip(c.decode(some), part, strict=True)]
-            yield pd.DataFrame({"ids": got, "ok": ok})
 
-    names = (ids, n_tokens, round_trip)
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
-    out = df.select(*kept, run(F.col(f"`{text}`")).alias("_coded"))
-    return out.select(*kept, F.col("_coded.ids").alias(ids), F.size("_coded.ids").cast("long").alias(n_tokens), F.col("_coded.ok").alias(round_trip))
+        def turn(texts: list) -> list[pa.Array]:
+            some, ok = c.encode_and_check(texts)
+            sizes = np.array([len(x) for x in some], dtype=np.int64)
+            ends = np.concatenate([np.zeros(1, dtype=np.int32), np.cumsum(sizes, dtype=np.int32)])
+            values = np.concatenate(some) if some else np.empty(0, dtype=np.int32)
+            return [pa.ListArray.from_arrays(ends, pa.array(values, type=pa.int32())), pa.array(sizes), pa.array(ok, type=pa.bool_())]
+
+        return turn
+
+    return common.map_texts(df, text, f"`{ids}` array<int>, `{n_tokens}` bigint, `{round_trip}` boolean", start)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -272,15 +327,3 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", text: str = "de
             yield pd.Series(c.decode([[] if x is None else [int(i) for i in x] for x in lists]), dtype="object")
 
     return df.withColumn(text, run(F.col(f"`{ids}`")))
-
-
-def _cut(texts: list[str | None], chars: int = 500_000) -> Iterator[list[str | None]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t or "")
-        if size >= chars:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
