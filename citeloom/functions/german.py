@@ -123,3 +123,13 @@ def find_citations(df: DataFrame, names: dict[str, str], text: str = "text", own
 
     given = [F.lit(None).cast("string") if own_law is None else own_law, F.lit(True) if paragraphs is None else paragraphs, F.lit(True) if articles is None else articles]
     return df.select("*", F.posexplode(run(F.col(f"`{text}`"), *given)).alias("ref_pos", "_ref")).select(*(F.col(f"`{c}`") for c in df.columns), "ref_pos", "_ref.*")
+
+
+def section_path(text: Column) -> Column:
+    """The first path that a section's name such as ``§ 12 Abs. 1`` is; empty without one."""
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([(simple(parse_main(m[0])) or [[]])[0] if v and (m := MAIN.match(v)) else [] for v in values], dtype="object")
+
+    return run(text)

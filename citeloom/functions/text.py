@@ -92,14 +92,18 @@ def leading_groups(text: Column) -> Column:
     return F.filter(F.array(*(F.regexp_extract(text, pattern, i) for i in range(1, 5))), lambda g: g != "")
 
 
-def detailed_citekeys(parent: Column, text: Column) -> Column:
-    """Cumulative keys below ``parent`` for the leading groups; a first group that repeats the parent's last part is passed over."""
-    groups = leading_groups(text)
+def detailed_of_groups(parent: Column, groups: Column) -> Column:
+    """Cumulative keys below ``parent`` for groups that a column holds already; a first group that repeats the parent's last part is passed over."""
     last = F.element_at(F.split(parent, "_"), -1)
-    own = F.when((F.size(groups) > 0) & (F.get(groups, F.lit(0)) == last), F.slice(groups, 2, 4)).otherwise(groups)
+    own = F.when(F.get(groups, F.lit(0)) == last, F.slice(groups, 2, 4)).otherwise(groups)
     return F.transform(own, lambda g, i: F.concat(parent, F.lit("_"), F.array_join(F.slice(own, F.lit(1), i + 1), "_")))
 
 
+def detailed_citekeys(parent: Column, text: Column) -> Column:
+    """As ``detailed_of_groups`` for the leading groups of a text."""
+    return detailed_of_groups(parent, leading_groups(text))
+
+
 def bracket_number_types(text: Column) -> Column:
     """Kinds that the numbering at the start of a text can be; two when letters and Roman numerals can't be told apart."""
     none = F.array().cast("array<string>")
@@ -147,6 +151,18 @@ def enum_types_match(a: Column, b: Column) -> Column:
     return F.arrays_overlap(enum_types(a), enum_types(b))
 
 
+def merge_strings(parts: Column) -> Column:
+    """``array<struct<text, item>>`` with neighbouring texts joined to one; entries that have an item stay as they are."""
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        both = last["text"].isNotNull() & x["text"].isNotNull()
+        joined = F.struct(F.concat(last["text"], x["text"]).alias("text"), x["item"].alias("item"))
+        return F.when(both, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(parts, F.expr("cast(array() as array<struct<text:string,item:string>>)"), add)
+
+
 def roman(n: int) -> str:
     out = ""
     for value, sign in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):

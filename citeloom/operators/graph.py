@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.operators.lineage import materialize
+
 EDGE = "u string, v string, edge_type string"
+# The columns of a node list.
 NODE_COLUMNS = [
     "key", "level", "citekey", "parent_key", "type", "document_type", "heading", "law_name", "chars_n", "chars_nowhites", "tokens_n", "tokens_unique",
     "abbr_1", "abbr_2", "subject_areas", "legislators", "contributors", "texts_tokens_n", "texts_chars_n",
@@ -66,15 +71,23 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("u").alias("key")).distinct(), "key", "left_anti")
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 30) -> DataFrame:
-    """``(key, ancestor, distance)`` of every node, itself at 0. Rounds join one level up; trees are as deep as documents nest."""
-    step = nodes.select(F.col("key").alias("k"), F.nullif(F.col("parent_key"), F.lit("")).alias("p"))
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """``(key, ancestor, distance)`` of every node, itself at 0. Rounds join one level up until no node is left.
+
+    Rounds are written, so deep trees make no deep plans. A node that is its own ancestor is an error.
+    """
+    step = materialize(nodes.select(F.col("key").alias("k"), F.nullif(F.col("parent_key"), F.lit("")).alias("p")))
     front = nodes.select("key", F.col("key").alias("ancestor"), F.lit(0).alias("distance"))
-    out, depth = front, (nodes.agg(F.max("level")).first()[0] or 0)
-    for d in range(1, min(depth, max_depth) + 1):
-        front = front.join(step, front["ancestor"] == step["k"]).where("p is not null").select("key", F.col("p").alias("ancestor"), F.lit(d).alias("distance"))
-        out = out.unionByName(front)
-    return out
+    out, d = [front], 0
+    while True:
+        d += 1
+        front = materialize(front.join(step, front["ancestor"] == step["k"]).where("p is not null").select("key", F.col("p").alias("ancestor"), F.lit(d).alias("distance")))
+        if front.isEmpty():
+            break
+        if not front.where("key = ancestor").isEmpty():
+            raise ValueError("a node is its own ancestor")
+        out.append(front)
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def decision_references(refs: DataFrame, closure: DataFrame) -> DataFrame:

@@ -32,10 +32,26 @@ def new_path(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage; executors may be lost afterwards."""
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs inside send so many rows at most to Python at once, for rows of many kilobytes; the setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialize(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage; executors may be lost afterwards.
+
+    ``batch_rows`` bounds the rows that Python functions in ``df`` get at once.
+    """
     path = new_path(df.sparkSession)
-    df.write.parquet(path)
+    with arrow_rows(df.sparkSession, batch_rows) if batch_rows else contextlib.nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

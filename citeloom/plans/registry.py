@@ -7,32 +7,16 @@ observations, documents and conversations are texts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import citations, german, similarity
 from citeloom.functions import text as tx
 from citeloom.operators import alignment, graph, lookup, ordered, temporal
+from citeloom.plans import documents  # noqa: F401  registers its queries
+from citeloom.plans.base import ORACLES, QUERIES, query, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents as two snapshots: place, key, citekey, normalised text. In the later one English texts have lost their
@@ -86,19 +70,20 @@ def key_functions(spark, sf_dir):
     )
 
 
-_LINE = "'(' || l_linenumber || ')(' || lower(l_returnflag) || ') ' || l_linestatus || ' text'"
+# texts of seven shapes: each has its kinds, its number and the keys of its leading groups
+_SHAPES = [("(3)(b) x", "arabic-double-bracket", "3", "_3,_3_b"), ("(b) x", "alpha-lower-double-bracket", "b", "_b"), ("(BB) x", "alpha-upper-double-bracket", "BB", "_BB"), ("(iv) x", "roman-lower-double-bracket", "iv", "_iv"), ("(ii) x", "alpha-lower-double-bracket,roman-lower-double-bracket", "ii", "_ii"), ("no number", "", "", ""), ("(k)(1)(A) x", "alpha-lower-double-bracket", "k", "_1,_1_A")]
+_pick = lambda i: "[" + ", ".join(repr(x[i]) for x in _SHAPES) + "][1 + l_partkey % 7]"
 
 
 @query(
-    f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, {_LINE} AS text FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, 'arabic-double-bracket' AS kind, CAST(l_linenumber AS VARCHAR) AS number,
-  'k' || l_orderkey || '_' || l_linenumber || '_' || regexp_extract(text, '^\\(.*?\\)\\((.)\\)', 1) AS last_key FROM t"""
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, {_pick(1)} AS kinds, {_pick(2)} AS number, array_to_string(list_transform(list_filter(string_split({_pick(3)}, ','), lambda x: x <> ''), lambda x: l_orderkey || '_k' || x), ',') AS keys FROM lineitem"""
 )
 def numbering(spark, sf_dir):
-    text = F.expr("concat('(', l_linenumber, ')(', lower(l_returnflag), ') ', l_linestatus, ' text')")
-    parent = F.concat(F.lit("k"), F.col("l_orderkey").cast("string"))
-    t = table(spark, sf_dir, "lineitem")
-    return t.select("l_orderkey", "l_linenumber", "l_partkey", tx.bracket_number_types(text)[0].alias("kind"), tx.bracket_number(text).alias("number"), F.element_at(tx.detailed_citekeys(parent, text), -1).alias("last_key"))
+    text = F.element_at(F.array(*(F.lit(x[0]) for x in _SHAPES)), (F.col("l_partkey") % 7 + 1).cast("int"))
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.col("l_orderkey").cast("string"), F.lit("_k")).alias("parent"), text.alias("t"))
+    t = t.withColumn("groups", tx.leading_groups(F.col("t")))
+    keys = tx.detailed_of_groups(F.col("parent"), F.col("groups"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(tx.bracket_number_types(F.col("t")), ",").alias("kinds"), F.coalesce(tx.bracket_number(F.col("t")), F.lit("")).alias("number"), F.array_join(keys, ",").alias("keys"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS compact, strftime(o_orderdate, '%Y-%m-%d') AS iso, o_orderstatus = 'F' AS flag FROM orders")
@@ -246,10 +231,11 @@ def valid_versions(spark, sf_dir):
     return temporal.valid_at(days, v, "day", "d", "e", bucket_of=F.year).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "o_custkey", "o_orderkey")
 
 
-@query(f"WITH {_VERSIONS}, days AS (SELECT DISTINCT CAST(date_trunc('year', o_orderdate) AS DATE) AS day FROM orders) SELECT day, o_custkey, count(*) AS n FROM days JOIN versions ON d <= day AND e >= day GROUP BY ALL HAVING count(*) > 1")
+# some versions end late, so that a date can have several
+@query(f"WITH {_VERSIONS}, days AS (SELECT DISTINCT CAST(date_trunc('year', o_orderdate) AS DATE) AS day FROM orders) SELECT day, o_custkey, count(*) AS n FROM days JOIN versions ON d <= day AND e + CASE WHEN o_orderkey % 3 = 0 THEN 300 ELSE 0 END >= day GROUP BY ALL HAVING count(*) > 1")
 def several_versions(spark, sf_dir):
     days = table(spark, sf_dir, "orders").select(F.trunc("o_orderdate", "year").alias("day")).distinct()
-    return temporal.several_versions(temporal.valid_at(days, versions(spark, sf_dir), "day", "d", "e", bucket_of=F.year), "day", "o_custkey")
+    return temporal.several_versions(temporal.valid_at(days, versions(spark, sf_dir).withColumn("e", F.when(F.col("o_orderkey") % 3 == 0, F.date_add("e", 300)).otherwise(F.col("e"))), "day", "d", "e", bucket_of=F.year), "day", "o_custkey")
 
 
 @query(
@@ -350,9 +336,10 @@ def edge_weights(spark, sf_dir):
     return graph.weighted(purchases(spark, sf_dir))
 
 
-@query(f"WITH {_EDGES}, d AS (SELECT DISTINCT u, v FROM e) SELECT u, v FROM d WHERE u IN (SELECT u FROM d GROUP BY u HAVING count(*) = 1) AND v IN (SELECT v FROM d GROUP BY v HAVING count(*) = 1)")
+@query("WITH d AS (SELECT DISTINCT p_partkey // 2 AS u, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 1000 + p_partkey // 2 END AS v FROM part) SELECT u, v FROM d WHERE u IN (SELECT u FROM d GROUP BY u HAVING count(*) = 1) AND v IN (SELECT v FROM d GROUP BY v HAVING count(*) = 1)")
 def one_to_one_pairs(spark, sf_dir):
-    return graph.one_to_one(purchases(spark, sf_dir))
+    half = F.floor(F.col("p_partkey") / 2).cast("long")
+    return graph.one_to_one(table(spark, sf_dir, "part").select(half.alias("u"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_size")).otherwise(1000 + half).alias("v")))
 
 
 _GEO = """nodes AS (SELECT 'r' || r_regionkey AS key, '' AS parent_key, 0 AS level, 'document' AS type FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1, 'item' FROM nation

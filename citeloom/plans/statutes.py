@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions import citations
+from citeloom.functions import citations, german
 from citeloom.functions import text as tx
-from citeloom.operators import graph, lookup
+from citeloom.operators import graph, lookup, ordered
+from citeloom.operators.lineage import materialize
 from citeloom.sources import tree
+from citeloom.sources.tree import Item
+
+#: Dates and names of a dictionary of laws that a broadcast may hold.
+MAX_DATES, MAX_NAMES = 400, 200_000
 
 
 def references(nodes: DataFrame, code: bool | None = None) -> DataFrame:
@@ -27,9 +35,8 @@ def references(nodes: DataFrame, code: bool | None = None) -> DataFrame:
 
 def authorities(nodes: DataFrame) -> DataFrame:
     """``(ref_id, node_key, path)`` of authority notes."""
-    spans = F.udf(lambda t: [p for area in citations.authority_paths(t) for p in area], "array<array<string>>")
     noted = nodes.where(F.col("attributes")["auth_text"].isNotNull())
-    spread = noted.select("key", F.posexplode(spans(F.col("attributes")["auth_text"])).alias("p", "path"))
+    spread = noted.select("key", F.posexplode(citations.authorities(F.col("attributes")["auth_text"])).alias("p", "path"))
     return spread.select(F.concat_ws("/", "key", F.col("p").cast("string")).alias("ref_id"), F.col("key").alias("node_key"), "path")
 
 
@@ -45,15 +52,69 @@ def citation_network(nodes: DataFrame, detailed: bool = False) -> dict[str, Data
 
 
 def alignment_index(nodes: DataFrame) -> DataFrame:
-    """``(pos, key, citekey, text)`` of a snapshot in the order of files and documents, as alignment takes it.
+    """``(pos, key, citekey, text)`` of a snapshot in the order of files and documents, as alignment takes it."""
+    texts = tree.text_rows(nodes).select("doc_id", "pos", F.length("text_key").alias("_n"), F.col("text_key").alias("key"), "citekey", "text")
+    placed = ordered.places(texts.withColumnRenamed("pos", "_pos"), ["doc_id", "_pos", "_n", "key"], "pos")
+    return placed.select((F.col("pos") - 1).alias("pos"), "key", "citekey", "text")
 
-    The place is made of the file's rank and of the place in it, so no global sort is needed.
-    """
-    from pyspark.sql.window import Window
 
-    files = nodes.where("error is null").groupBy("doc_id").agg(F.sum(F.size("texts")).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    texts = tree.text_rows(nodes).withColumn("own", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", F.length("text_key"), "text_key")) - 1)
-    return texts.join(files, "doc_id").select((F.col("before") + F.col("own")).alias("pos"), F.col("text_key").alias("key"), "citekey", "text")
+def merged_volumes(nodes: DataFrame) -> DataFrame:
+    """Nodes of the volumes of regulations as one document per title and year, with keys counted anew in every volume.
+
+    The first unit of a volume goes into the unit before it if their headings begin with the same two words, and so do
+    the ones after it as long as each can. A title is one group, which its size bounds. Files that could not be parsed
+    stay as rows with their errors; volumes out of order are an error.
+    """
+    name = lambda i: F.regexp_extract("doc_id", r"^cfr(\d+)v(\d+)_(\d+)$", i).cast("int")
+    volumes = nodes.where("error is null").withColumns({"_title": name(1), "_volume": name(2), "_year": name(3)})
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        title, year = int(group["_title"].iloc[0]), int(group["_year"].iloc[0])
+        root = Item("document", f"Title {title}", attrs={"document_type": "regulation", "title": str(title), "year": str(year)})
+        volume: dict[int, int] = {}
+        for number, part in group.sort_values(["_volume", "pos"]).groupby("_volume"):
+            for _, top in tree.trees(part.to_dict("records")):
+                volume.update((id(x), int(number)) for x in top.walk())
+                root.parts += top.parts
+        _continue(root, volume)
+        counters: Counter = Counter()
+        seen: list[int] = []
+
+        def key(item: Item) -> str:
+            if item is root:
+                return f"cfr{title}v0_{year}_000001"
+            number = volume[id(item)]
+            if item.kind == "item":
+                seen.append(number)
+            counters[number] += 1
+            return f"cfr{title}v{number}_{year}_{counters[number]:06d}"
+
+        out = tree.rows(root, f"cfr{title}_{year}", "", key_of=key)
+        if seen != sorted(seen):
+            raise ValueError(f"volumes of title {title} are out of order")
+        return pd.DataFrame(out, columns=[c.split()[0] for c in tree.NODE_SCHEMA.split(", ")])
+
+    merged = volumes.groupBy("_title", "_year").applyInPandas(merge, tree.NODE_SCHEMA)
+    return merged.unionByName(nodes.where("error is not null"))
+
+
+def _continue(root: Item, volume: dict[int, int]) -> None:
+    """Put the units that a volume begins with into the ones before them that they go on with."""
+    start = lambda x: " ".join(x.heading.split(" ")[:2]).lower().strip()
+    current, beginning = None, False
+    for item in [x for x in root.walk() if x.kind == "item"]:
+        if volume[id(item)] != current:
+            current, beginning = volume[id(item)], True
+        if not beginning:
+            continue
+        parent = next(x for x in root.walk() if any(p is item for p in x.parts))
+        i = next(i for i, p in enumerate(parent.parts) if p is item)
+        before = parent.parts[i - 1] if i and isinstance(parent.parts[i - 1], Item) else None
+        if before is not None and item.heading and start(before) == start(item):
+            before.parts += item.parts
+            del parent.parts[i]
+        else:
+            beginning = False
 
 
 def law_names(nodes: DataFrame) -> DataFrame:
@@ -68,3 +129,55 @@ def heading_kinds(nodes: DataFrame) -> DataFrame:
     h = F.lower(F.coalesce("heading", F.lit("")))
     kind = F.when(h.startswith("§"), "para").when(h.startswith("art"), "art").otherwise("misc")
     return nodes.where("type = 'seqitem'").groupBy("doc_id").agg(*(F.count_if(kind == k).alias(k) for k in ("para", "art", "misc")))
+
+
+def german_references(nodes: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Reference edges of German statutes: citations of known laws and internal ones, resolved by law and section."""
+    kinds = heading_kinds(nodes).select("doc_id", (F.col("para") > 0).alias("has_para"), (F.col("art") > 0).alias("has_art"))
+    own = nodes.where("level = 0").select("doc_id", tx.key_prefix(F.col("attributes")["abbr_1"]).alias("own"))
+    texts = nodes.where("error is null").select("doc_id", "key", "seqitem_key", F.posexplode("texts").alias("i", "text")).join(own, "doc_id").join(kinds, "doc_id")
+    found = german.find_citations(texts, names, own_law=F.col("own"), paragraphs=F.col("has_para"), articles=F.col("has_art"))
+    spread = found.where(F.col("law_type").isin("dict", "sgb", "internal")).select("key", "seqitem_key", "i", "ref_pos", F.posexplode("parsed").alias("p", "path"))
+    refs = spread.where("seqitem_key is not null").select(F.concat_ws("/", "key", "i", "ref_pos", "p").alias("ref_id"), "seqitem_key", "path")
+    known = lookup.first_wins(tree.lookup_rows(nodes), "citekey", "key", ["doc_id", "pos"])
+    return graph.typed_edges(lookup.resolve_fixed(refs, known, "path", ["ref_id", "seqitem_key"]), "seqitem_key", "key", "reference")
+
+
+def decision_citations(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """Citations of decisions: ``key, part`` (text or norm) and the columns of ``german.find_citations``.
+
+    ``names(since, name, citekey)`` are stemmed names of laws from a date on; each decision takes those of the latest date
+    at or before its own. Citations without a law's name are ignored, as a decision has no sections of its own. A decision
+    before the first date is an error. Dates are few, so there is one pass for each.
+    """
+    dates = sorted(r[0] for r in names.select("since").distinct().limit(MAX_DATES + 1).collect())
+    if len(dates) > MAX_DATES:
+        raise ValueError(f"more than {MAX_DATES} dates of names")
+    day = nodes.where("level = 0").select("doc_id", tx.compact_date(F.col("attributes")["datum"]).alias("day"))
+    texts = nodes.where("error is null").select("doc_id", "key", F.lit("text").alias("part"), F.explode("texts").alias("text"))
+    norms = nodes.where("level = 0").select("doc_id", "key", F.lit("norm").alias("part"), F.col("attributes")["norm"].alias("text")).where("text is not null")
+    latest = F.array_max(F.filter(F.array(*(F.lit(d) for d in dates)), lambda d: d <= F.col("day")))
+    dated = materialize(texts.unionByName(norms).join(day.withColumn("since", F.coalesce(latest, F.raise_error(F.concat(F.lit("no names of laws at "), F.col("day"))))), "doc_id"))
+    out = None
+    for d in dates:
+        known = {r["name"]: r["citekey"] for r in lookup.last_wins(names.where(F.col("since") == d), "name", "citekey", ["citekey"]).limit(MAX_NAMES + 1).collect()}
+        if len(known) > MAX_NAMES:
+            raise ValueError(f"more than {MAX_NAMES} names of laws")
+        found = german.find_citations(dated.where(F.col("since") == d), known, paragraphs=F.lit(False), articles=F.lit(False))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+# Types of entries that name the laws which empower another.
+EMPOWERING = ["Ermächtigung", "Rechtsgrundlage", "Durchführungsvorschrift"]
+
+
+def entry_references(laws: DataFrame, key: str, entries: str, names: DataFrame) -> DataFrame:
+    """``key, path`` of the laws that the entries (JSON of type, section and name) of a law name; repeats of a law go.
+
+    Only empowering types with a name count; names meet ``names(name, citekey)`` by their stems, the last of equals.
+    """
+    spread = laws.select(key, F.explode(F.from_json(entries, "array<struct<typ:string,enbez:string,normabk:string>>")).alias("e"))
+    wanted = spread.where(F.col("e.typ").isin(EMPOWERING) & F.col("e.normabk").isNotNull()).select(key, tx.law_name_stem(F.col("e.normabk")).alias("stem"), german.section_path(F.col("e.enbez")).alias("section"))
+    known = lookup.last_wins(names.select(tx.law_name_stem(F.col("name")).alias("stem"), "citekey"), "stem", "citekey", ["citekey"])
+    return wanted.join(known, "stem").select(key, F.concat(F.array("citekey"), "section").alias("path")).distinct()

@@ -61,8 +61,14 @@ def write_log(lines: DataFrame, column: str, path: str) -> None:
     lines.select(F.col(column).alias("value")).orderBy(F.lower("value"), "value").write.mode("overwrite").text(path)
 
 
-def write_xml(nodes: DataFrame, path: str) -> None:
-    """One structural XML document per file key. A document's nodes are brought together, which its size bounds."""
+STYLESHEET = '<?xml version="1.0" encoding="utf-8"?><?xml-stylesheet href="../../xml-styles.css"?>'
+
+
+def xml_documents(nodes: DataFrame, head: str = "") -> DataFrame:
+    """``(doc_id, xml)``: the structural XML of every document, with all attributes and texts at their places among the children.
+
+    A document's nodes are brought together, which its size bounds.
+    """
     from xml.sax.saxutils import escape, quoteattr
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -72,15 +78,68 @@ def write_xml(nodes: DataFrame, path: str) -> None:
             children.setdefault(r["parent_key"] or "", []).append(r)
 
         def write(r: dict) -> str:
-            attrs = {"key": r["key"], "level": str(r["level"]), "heading": r["heading"], "citekey": r["citekey"]}
-            head = " ".join(f"{k}={quoteattr(v)}" for k, v in attrs.items() if v)
-            inner = "".join(f"<text>{escape(t)}</text>" for t in r["texts"]) + "".join(write(c) for c in children.get(r["key"], []))
-            return f"<{r['type']} {head}>{inner}</{r['type']}>"
+            own = {"key": r["key"], "level": str(r["level"]), "heading": r["heading"], "citekey": r["citekey"], "citekey_detailed": ",".join(r["citekey_detailed"])}
+            head = " ".join(f"{k}={quoteattr(v)}" for k, v in (own | dict(r["attributes"] or {})).items() if v)
+            texts = dict(zip(r["text_places"], r["texts"], strict=True))
+            below = iter(children.get(r["key"], []))
+            inner = [f"<text>{escape(texts[i])}</text>" if i in texts else write(next(below)) for i in range(int(r["n_children"]))]
+            return f"<{r['type']} {head}>{''.join(inner)}</{r['type']}>"
+
+        return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "xml": [head + "".join(write(r) for r in children.get("", []))]})
+
+    good = nodes.where("error is null").select("doc_id", "pos", "key", "parent_key", "level", "type", "citekey", "citekey_detailed", "heading", "attributes", "texts", "text_places", "n_children")
+    return good.groupBy("doc_id").applyInPandas(build, "doc_id string, xml string")
+
+
+def write_xml(nodes: DataFrame, path: str) -> None:
+    """One file of structural XML per document, below ``doc_id=…``."""
+    xml_documents(nodes, STYLESHEET).select("doc_id", F.col("xml").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as two Parquet tables."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def patched(files: DataFrame, patches: DataFrame, key: Column, content: str = "content") -> DataFrame:
+    """``files`` with the corrections of their key: ``patches(file, rank, old, new)``, applied in the order of ``rank``.
+
+    The corrections of a file are one row, so every file meets one row at most; files without any stay as they are.
+    """
+    per_file = patches.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("rank", "old", "new"))).alias("_patches"))
+    text = F.col(content).cast("string")
+    fixed = F.aggregate(F.col("_patches"), text, lambda t, p: F.replace(t, p["old"], p["new"]))
+    out = files.withColumn("file", key).join(per_file, "file", "left")
+    return out.withColumn(content, F.coalesce(fixed.cast(files.schema[content].dataType), F.col(content))).drop("file", "_patches")
+
+
+def without_appendices(files: DataFrame, path: str = "path") -> DataFrame:
+    """Files of the code that are no appendices: ``{title}0_{year}.htm``."""
+    return files.where(F.element_at(F.split(F.col(path), "/"), -1).rlike(r"^\d+0_\d+\.htm$"))
+
+
+def of_snapshot(files: DataFrame, snapshot: Column, path: str = "path") -> DataFrame:
+    """Files whose name ends with the snapshot: ``{id}_{snapshot}.{suffix}``."""
+    name = F.regexp_replace(F.element_at(F.split(F.col(path), "/"), -1), r"\.[A-Za-z.]+$", "")
+    return files.where(F.element_at(F.split(name, "_"), -1) == snapshot.cast("string"))
+
+
+def with_volume(files: DataFrame, path: str = "path") -> DataFrame:
+    """Regulation files with year, title and volume; files without a volume go."""
+    return files.select("*", regulation_file_parts(F.col(path)).alias("_v")).select(*(F.col(f"`{c}`") for c in files.columns), "_v.*").where("volume is not null")
 
-        return pd.DataFrame({"value": ["".join(write(r) for r in children.get("", []))]})
 
-    good = nodes.where("error is null").select("doc_id", "pos", "key", "parent_key", "level", "type", "citekey", "heading", "texts")
-    good.groupBy("doc_id").applyInPandas(build, "value string").write.mode("overwrite").text(path)
+def selected_versions(files: DataFrame, ids: DataFrame, path: str = "path") -> DataFrame:
+    """Files ``{id}_{from}_{to}.xml`` whose id is listed; another name of a listed id is an error."""
+    name = F.regexp_replace(F.element_at(F.split(F.col(path), "/"), -1), r"\.xml$", "")
+    out = files.withColumn("doknr", F.split(name, "_")[0]).join(ids.select(F.col("id").alias("doknr")).distinct(), "doknr", "left_semi")
+    three = F.size(F.split(name, "_")) == 3
+    return out.withColumn("doknr", F.when(three, F.col("doknr")).otherwise(F.raise_error(F.concat(F.lit("no version name: "), F.col(path)))))
 
 
 def code_file_parts(name: Column) -> Column:

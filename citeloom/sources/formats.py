@@ -121,6 +121,49 @@ def german_statute(path: str, data: bytes, document_type: str | None = None) ->
     return [(root, "_".join([doknr, prefix, start, end]), "_".join([doknr, prefix, end]), 1)]
 
 
+# What the simplifier takes out, spaces out, or turns into plain text.
+DROPPED = ("FnR", "fussnoten", "Footnotes", "ausfertigung-datum", "fundstelle", "standangabe")
+SPACED, FLAT, TITLED = ("DT", "DD", "entry", "LA"), ("P", "TOC"), ("gliederungstitel", "titel", "langue", "kurzue")
+
+
+def simplified(data: bytes) -> bytes:
+    """A German statute without footnotes and build dates; line breaks, cells, paragraphs and contents become plain text of single spaces."""
+    root = ET.fromstring(data)
+
+    def join(parent: ET.Element, i: int, text: str) -> None:
+        if i:
+            parent[i - 1].tail = (parent[i - 1].tail or "") + text
+        else:
+            parent.text = (parent.text or "") + text
+
+    def clean(e: ET.Element) -> None:
+        e.attrib.pop("builddate", None)
+        for c in list(e):
+            clean(c)
+            i = list(e).index(c)
+            if c.tag in DROPPED or c.tag == "BR" or c.tag == "SUP" and c.get("class") == "Rec":
+                e.remove(c)
+                join(e, i, ("" if c.tag in DROPPED else " ") + (c.tail or ""))
+            elif c.tag == "text" and not "".join(c.itertext()).strip():
+                e.remove(c)
+        if e.tag in SPACED:
+            e.text = " " + (e.text or "")
+            join(e, len(e), " ")
+        if e.tag in FLAT:
+            text = squeeze((" " if e.tag == "TOC" else "").join(e.itertext()))
+            for c in list(e):
+                e.remove(c)
+            e.text = text
+        if e.tag in TITLED:
+            for x in e.iter():
+                x.text = re.sub(r"\s*\*\)\s*$", "", squeeze(x.text))
+        if e.tag == "enbez" and e.text == "(XXXX)":
+            e.text = "XXXX"
+
+    clean(root)
+    return ET.tostring(root, encoding="utf-8")
+
+
 # -- statutes in XHTML with comments --------------------------------------------------------------------------------
 
 
@@ -172,11 +215,37 @@ class _Fields(HTMLParser):
             self.block[2] += data if self.depth else " " + data.strip()
 
 
-# Classes of paragraphs of the code from the outermost on, and those that go on with an outer text.
-_HEADS = ["subsection", "paragraph", "subparagraph", "clause", "subclause", "subsubclause"]
-STRUCTURE = {f"{h}-head": h for h in _HEADS} | {"statutory-body": "text", **{f"statutory-body-{i}em": f"text-{i}" for i in range(1, 8)}}
-_ORDER = [*_HEADS, "text", *(f"text-{i}" for i in range(1, 8))]
-_CONTINUED = {"statutory-body-block": "text", **{f"statutory-body-block-{i}em": f"text-{i}" for i in range(1, 5)}}
+# Kinds of blocks of the code from the outermost on, each with the classes of paragraphs that open one.
+CLASSES = {
+    "subsection": "subsection-head",
+    "paragraph": "paragraph-head",
+    "subparagraph": "subparagraph-head",
+    "clause": "clause-head",
+    "subclause": "subclause-head",
+    "subsubclause": "subsubclause-head",
+    "subhead": "analysis-subhead",
+    "item": "item-head",
+    "text": "statutory-body usc28aForm-left usc28aform-right signature presidential-signature note-body note-body-small note-body-block italic-text-block statutory-body-block",
+    "text-enumeration1": "statutory-body-1em statutory-body-block-1em note-body-1em note-body-block-1em",
+    "text-enumeration2": "statutory-body-2em statutory-body-block-2em statutory-body-flush0_hang2 note-body-2em",
+    "text-enumeration3": "statutory-body-3em statutory-body-flush2_hang3 note-body-3em",
+    "text-enumeration4": "statutory-body-4em statutory-body-block-4em statutory-body-flush2_hang4",
+    "text-enumeration5": "statutory-body-5em",
+    "text-enumeration6": "statutory-body-6em",
+    "text-misc": "formula note-sub-head subchapter-head tableftnt note-body-flush3_hang4 5802I62 5802I63 5801I76 5800I01 5803I01 5801I01 5801I05 italic-text-para statutory-body-flush0_hang1 dispo",
+}
+# Classes that go on with an open text of that kind, and classes that are passed over.
+CONTINUED = {
+    "text": "statutory-body-block",
+    "text-enumeration1": "statutory-body-block-1em note-body-block-1em",
+    "text-enumeration2": "statutory-body-block-2em statutory-body-flush0_hang2",
+    "text-enumeration3": "statutory-body-flush2_hang3",
+    "text-enumeration4": "statutory-body-block-4em statutory-body-flush2_hang4",
+}
+SKIPPED = "rules-form-source-credit analysis-style-table leader-work-left leader-work-right leader-work-head-left leader-work-head-right italic-head two-column-analysis-style-content-left".split()
+_DEPTH = {css: depth for depth, names in enumerate(CLASSES.values()) for css in names.split()}
+_GOES_ON = {css: list(CLASSES).index(kind) for kind, names in CONTINUED.items() for css in names.split()}
+_TEXTS_FROM = list(CLASSES).index("text")
 
 
 def us_code(path: str, data: bytes) -> list[tuple[Item, str, str, int]]:
@@ -207,20 +276,23 @@ def _us_item(doc: dict, root: bool = False) -> Item:
         item.citekey = f"{doc['expcite'].split('-')[0].split()[-1]}_{doc['itempath'].split()[-1]}"
     stack: list[tuple[int, Item]] = [(-1, item)]
     for tag, css, text in doc["fields"].get("statute", []):
+        if not css and tag not in ("div", "table") or css in SKIPPED or tag == "td" and css in ("middle", "right"):
+            continue
         if tag in ("div", "table"):
             stack[-1][1].parts.append(Item("subseqitem", parts=[squeeze(text)]))
-        elif css in _CONTINUED and any(o == _ORDER.index(_CONTINUED[css]) for o, _ in stack[:-1]):
-            while stack[-1][0] != _ORDER.index(_CONTINUED[css]):
+        elif any(depth == _GOES_ON.get(css) for depth, _ in stack[:-1]):
+            while stack[-1][0] != _GOES_ON[css]:
                 stack.pop()
             stack[-1][1].parts.append(squeeze(text))
-        elif css in STRUCTURE:
-            at = _ORDER.index(STRUCTURE[css])
-            while stack[-1][0] >= at:
+        elif css not in _DEPTH:  # the file goes to quarantine with this reason, so no text is lost silently
+            raise ValueError(f"class {css!r} of <{tag}>")
+        else:
+            while stack[-1][0] >= _DEPTH[css]:
                 stack.pop()
-            plain = STRUCTURE[css].startswith("text")
-            sub = Item("subseqitem", "" if plain else squeeze(text), parts=[squeeze(text)] if plain else [])
+            headed = _DEPTH[css] < _TEXTS_FROM
+            sub = Item("subseqitem", squeeze(text) if headed else "", parts=[] if headed else [squeeze(text)])
             stack[-1][1].parts.append(sub)
-            stack.append((at, sub))
+            stack.append((_DEPTH[css], sub))
     if item.kind == "seqitem":
         only = item.parts[0] if len(item.parts) == 1 else None
         if isinstance(only, Item) and not only.heading and len(only.parts) == 1 and isinstance(only.parts[0], str):

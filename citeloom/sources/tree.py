@@ -18,10 +18,14 @@ from citeloom.functions import text as tx
 
 NODE_SCHEMA = (
     "doc_id string, pos int, key string, parent_key string, level int, type string, citekey string, heading string, attributes map<string,string>, "
-    "seqitem_key string, seqitem_citekey string, subtree_text string, texts array<string>, n_children int, citekey_detailed array<string>, error string"
+    "seqitem_key string, seqitem_citekey string, subtree_text string, texts array<string>, text_places array<int>, n_children int, citekey_detailed array<string>, error string"
 )
 
 
+#: Rows of nodes that are given back at once.
+ROWS = 2_000
+
+
 @dataclass
 class Item:
     """``kind`` is document, item, seqitem or subseqitem; ``parts`` are texts and items in order."""
@@ -52,14 +56,14 @@ class Item:
             yield from p.walk()
 
 
-def rows(root: Item, doc_id: str, prefix: str, first: int = 1) -> list[tuple]:
-    """Node rows in document order; keys are ``{prefix}_{counter}`` with six digits."""
+def rows(root: Item, doc_id: str, prefix: str, first: int = 1, key_of: Callable[[Item], str] | None = None) -> list[tuple]:
+    """Node rows in document order; keys are ``{prefix}_{counter}`` with six digits unless ``key_of`` makes them."""
     out: list[tuple] = []
 
     def visit(item: Item, parent: str, level: int, seqitem: tuple[str | None, str | None]) -> None:
-        key = f"{prefix}_{first + len(out):06d}"
+        key = key_of(item) if key_of else f"{prefix}_{first + len(out):06d}"
         own = (key, item.citekey or None) if item.kind == "seqitem" else seqitem
-        out.append((doc_id, len(out), key, parent, level, item.kind, item.citekey, item.heading, item.attrs, *own, " ".join(item.all_texts()), item.texts(), len(item.parts), item.detailed, None))
+        out.append((doc_id, len(out), key, parent, level, item.kind, item.citekey, item.heading, item.attrs, *own, " ".join(item.all_texts()), item.texts(), [i for i, p in enumerate(item.parts) if isinstance(p, str)], len(item.parts), item.detailed, None))
         for child in item.items():
             visit(child, key, level + 1, own)
 
@@ -80,16 +84,36 @@ def shred(files: DataFrame, parse: Parser, path: str = "path", content: str = "c
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
         for batch in batches:
+            held: list[tuple] = []
             for name, data in zip(batch["p"], batch["c"], strict=True):
                 try:
-                    found = [r for item, doc_id, prefix, first in parse(name or "", bytes(data)) for r in rows(item, doc_id, prefix, first)]
+                    held += [r for item, doc_id, prefix, first in parse(name or "", bytes(data)) for r in rows(item, doc_id, prefix, first)]
                 except Exception as e:  # quarantined below, with the reason
-                    found = [(name, 0, *[None] * 13, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(found, columns=names)
+                    held.append((name, 0, *[None] * 14, f"{type(e).__name__}: {e}"))
+                if len(held) >= ROWS:  # small files share a frame, a large one has its own
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=names)
 
     return files.select(F.col(path).cast("string").alias("p"), F.col(content).alias("c")).mapInPandas(run, NODE_SCHEMA)
 
 
+def trees(found: list[dict]) -> list[tuple[dict, Item]]:
+    """The trees that rows of nodes in document order make: every root's row with its tree."""
+    items, waiting, roots = {}, {}, []
+    for r in found:
+        item = Item(r["type"], r["heading"], r["citekey"], dict(r["attributes"] or {}), [None] * int(r["n_children"]), list(r["citekey_detailed"]))
+        for place, text in zip(r["text_places"], r["texts"], strict=True):
+            item.parts[int(place)] = text
+        items[r["key"]], waiting[r["key"]] = item, iter([i for i, p in enumerate(item.parts) if p is None])
+        if r["parent_key"]:
+            items[r["parent_key"]].parts[next(waiting[r["parent_key"]])] = item
+        else:
+            roots.append((r, item))
+    return roots
+
+
 def with_statistics(nodes: DataFrame) -> DataFrame:
     """Characters and tokens of every node's subtree, and of its own texts where it holds texts beside other parts."""
     mixed = (F.col("n_children") > 1) & (F.size("texts") > 0)
