@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.operators.lineage import materialize, new_path, release, scope
+from citeloom.operators.lineage import arrow_rows, materialize, new_path, release, scope
 
-__all__ = ["bounded_broadcast", "class_sample", "connected_components", "crc_fold", "map_texts", "materialize", "new_path", "release", "scope"]
+__all__ = ["arrow_rows", "class_sample", "connected_components", "crc_fold", "fits", "join_small", "map_texts", "materialize", "new_path", "release", "scope", "with_filter"]
 
-#: A side of a join is broadcast up to this many rows; beyond that the join shuffles.
-MAX_BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast up to this many bytes; beyond that the join shuffles, and deals a key over so many tasks.
+MAX_BROADCAST_BYTES, SALTS = 16_000_000, 16
 #: Bytes of text that a worker turns at once. A batch from the JVM is cut to it, so memory doesn't grow with texts or rows.
 PART_BYTES = 500_000
+#: Bits of a filter for joins.
+FILTER_BITS = 1 << 25
 
 
 def parts(batch: pa.RecordBatch, texts: pa.Array, size: int = PART_BYTES) -> Iterator[tuple[int, int]]:
@@ -55,12 +57,44 @@ def map_texts(df: DataFrame, text: str, out: str, start: Callable[[], Callable[[
     return src.mapInArrow(run, T.StructType([*(src.schema[c] for c in kept), *added]))
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of ``df`` only if it has ``max_rows`` rows at most; else the join shuffles both sides.
+def fits(df: DataFrame, max_bytes: int | None = None) -> bool:
+    """Whether the rows of ``df`` take ``max_bytes`` at most: its strings and binaries, and 16 bytes for every column."""
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for f in df.schema:
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            size = size + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif not isinstance(f.dataType, T.NumericType | T.BooleanType | T.DateType | T.TimestampType):
+            raise TypeError(f"{f.name} has no size")
+    return (df.agg(F.sum(size)).first()[0] or 0) <= (MAX_BROADCAST_BYTES if max_bytes is None else max_bytes)
 
-    Callers pass rows of some tens of bytes, so 200,000 of them stay near 10 MB.
+
+def join_small(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table that is small as a rule, by columns of equal names.
+
+    If its bytes are checked to be few it is broadcast. Beyond that both sides are shuffled, and every key is dealt over
+    ``SALTS`` tasks, so that a key of very many rows isn't one task's.
+    """
+    if fits(small):
+        return rows.join(F.broadcast(small), on, how)
+    others = [c for c in rows.columns if c not in on] or on
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
+def with_filter(rows: DataFrame, keys: DataFrame, name: str, on: list[str]) -> DataFrame:
+    """``rows`` with a boolean column ``name`` that is true where the columns ``on`` may occur in ``keys``, and for all that do.
+
+    The hashes of ``keys`` are bits of a bitmap of ``FILTER_BITS``, 4 MB at every size of the input, which is broadcast.
+    So few rows that have no partner go into a join by a shuffle, and those that the filter passes wrongly do no harm.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    place = (F.lit(1) + F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS))).cast("long")
+    bits = keys.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    placed = rows.withColumn("_at", place).withColumn("_bucket", F.bitmap_bucket_number("_at")).withColumn("_at", F.bitmap_bit_position("_at"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr("cast(_at % 8 as int)")
+    found = placed.join(F.broadcast(bits), "_bucket", "left").withColumn("_byte", byte).withColumn("_bit", hit)
+    return found.withColumn(name, F.coalesce(F.expr("getbit(cast(_byte as long), _bit) = 1"), F.lit(False))).drop("_bucket", "_at", "_bits", "_byte", "_bit")
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:

@@ -46,12 +46,12 @@ def benchmark_texts(bench: DataFrame, item: str, text: str) -> tuple[DataFrame,
 def build_postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The index: ``(key, text_hash, pos, id)`` for every occurrence of a term of ``vocabulary(term, id)``, written once.
 
-    ``docs`` has ``key``, ``text_hash`` and ``t``. Exploded words meet the vocabulary, broadcast if it is small, in the
-    same stage. Positions count from 0; the end of a document has the empty term's id and the number of words as position.
+    ``docs`` has ``key``, ``text_hash`` and ``t``. Exploded words meet the vocabulary in the same stage if it may be
+    broadcast; else terms are shuffled, each dealt over several tasks. Positions count from 0; the end of a document has the empty term's id and the number of words as position.
     """
     words = F.concat(words_of(F.col("t")), F.array(F.lit(_END)))
     spread = docs.select(*_KEYS, F.posexplode(words).alias("pos", "term"))
-    return common.materialize(spread.join(common.bounded_broadcast(vocabulary), "term").select(*_KEYS, "pos", "id"))
+    return common.materialize(common.join_small(spread, vocabulary, ["term"]).select(*_KEYS, "pos", "id"))
 
 
 def _same_doc(a: DataFrame, b: DataFrame):
@@ -61,7 +61,7 @@ def _same_doc(a: DataFrame, b: DataFrame):
 def _anchors(post: DataFrame, places: DataFrame, size: int) -> DataFrame:
     """``(tid, win, rank, id, at)``: the rarest and second rarest term of every window whose terms all occur, with their places in the item."""
     counts = post.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    n = common.materialize(places.join(common.bounded_broadcast(common.materialize(counts)), "id", "left"))
+    n = common.materialize(common.join_small(places, common.materialize(counts), ["id"], "left"))
     per_text = n.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "id"))).alias("ts"))  # the words of one item
     wins = per_text.select("tid", "ts", F.explode(F.sequence(F.lit(1), F.size("ts") - F.least(F.lit(size), F.size("ts")) + 1)).alias("win"))
     by = F.expr(f"array_sort(transform(slice(ts, win, {size}), x -> struct(x.n as n, x.at as at, x.id as id)))")
@@ -74,7 +74,7 @@ def _anchors(post: DataFrame, places: DataFrame, size: int) -> DataFrame:
 def _moved(post: DataFrame, anchors: DataFrame, rank: int) -> DataFrame:
     """Postings of the anchors of a rank, moved by their places: ``(key, text_hash, tid, begin)``."""
     at = anchors.where(F.col("rank") == rank).select("tid", "id", "at").distinct()
-    found = post.join(common.bounded_broadcast(at), "id")
+    found = common.join_small(post, at, ["id"])
     return found.select(*_KEYS, "tid", (F.col("pos") - F.col("at")).alias("begin")).distinct()
 
 
@@ -94,10 +94,10 @@ def phrase_matches(post: DataFrame, places: DataFrame, size: int = WINDOW) -> Da
     a, b = _moved(post, anchors, 1).alias("a"), _moved(post, anchors, 2).alias("b")
     agree = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.text_hash") == F.col("b.text_hash")) & (F.col("a.tid") == F.col("b.tid")) & (F.col("a.begin") == F.col("b.begin"))
     length = places.groupBy("tid").agg((F.max("at") + 1).alias("len"))
-    cand = common.materialize(a.join(b, agree).select("a.*").join(common.bounded_broadcast(length), "tid"))
+    cand = common.materialize(common.join_small(a.join(b, agree).select("a.*"), length, ["tid"]))
     inside = _same_doc(post, cand) & (post["pos"] >= cand["begin"]) & (post["pos"] < cand["begin"] + cand["len"])
     near = post.join(cand, inside).select(cand["key"], cand["text_hash"], "tid", "begin", "len", "pos", "id").withColumn("at", F.col("pos") - F.col("begin"))
-    hit = near.join(common.bounded_broadcast(places), ["tid", "at", "id"]).select(*_KEYS, "tid", "begin", "len", "at").distinct()
+    hit = common.join_small(near, places, ["tid", "at", "id"]).select(*_KEYS, "tid", "begin", "len", "at").distinct()
     # neighbours share the difference between place and rank
     line = Window.partitionBy(*_KEYS, "tid", "begin").orderBy("at")
     runs = hit.withColumn("run", F.col("at") - F.row_number().over(line)).groupBy(*_KEYS, "tid", "begin", "len", "run").agg(F.min("at").alias("lo"), F.count(F.lit(1)).cast("int").alias("n"))
@@ -107,7 +107,7 @@ def phrase_matches(post: DataFrame, places: DataFrame, size: int = WINDOW) -> Da
 def proximity_matches(post: DataFrame, places: DataFrame, size: int = WINDOW, slop: int = 3) -> DataFrame:
     """``(key, text_hash, tid, win, begin)``: the two rarest terms of a window occur, moved by their places, within ``slop`` words of one another."""
     anchors = _anchors(post, places, size)
-    moved = lambda rank: post.join(common.bounded_broadcast(anchors.where(F.col("rank") == rank).select("tid", "win", "id", "at")), "id").select(*_KEYS, "tid", "win", (F.col("pos") - F.col("at")).alias("begin"))
+    moved = lambda rank: common.join_small(post, anchors.where(F.col("rank") == rank).select("tid", "win", "id", "at"), ["id"]).select(*_KEYS, "tid", "win", (F.col("pos") - F.col("at")).alias("begin"))
     a, b = moved(1).alias("a"), moved(2).alias("b")
     same = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.text_hash") == F.col("b.text_hash")) & (F.col("a.tid") == F.col("b.tid")) & (F.col("a.win") == F.col("b.win"))
     return a.join(b, same & (F.abs(F.col("a.begin") - F.col("b.begin")) <= slop)).select("a.*").distinct()
@@ -129,7 +129,7 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     texts, named = benchmark_texts(bench, item, bench_text)
     post, places = _index(src, texts)
     end = F.col("id") == F.xxhash64(F.lit(_END))
-    matches = common.materialize(phrase_matches(post.where(~end), places, size)).join(common.bounded_broadcast(named), "tid")
+    matches = common.join_small(common.materialize(phrase_matches(post.where(~end), places, size)), named, ["tid"])
     # both kinds of set are bounded by the words of the document and by the benchmark
     per_doc = matches.groupBy(*_KEYS).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     covered = F.expr("aggregate(spans, named_struct('n', 0L, 'to', 0), (a, x) -> named_struct('n', a.n + greatest(0, x.end - greatest(x.begin, a.to)), 'to', greatest(a.to, x.end)), a -> a.n)")
@@ -147,10 +147,17 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", bench_text: str = "text", size: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that have no occurrence of any window, with all their columns; null texts stay."""
+    """The rows of ``docs`` that have no occurrence of any window, with all their columns; null texts stay.
+
+    Only documents that a filter of fixed size lets through, bad ones and few others, are shuffled.
+    """
     src = _source(docs, key, text)
     post, places = _index(src, benchmark_texts(bench, item, bench_text)[0])
-    bad = common.materialize(phrase_matches(post, places, size).select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash")).distinct())
-    marked = docs.withColumn("_hash_of_text", F.xxhash64(F.lit(1), F.col(text)))
-    bad = common.bounded_broadcast(bad)
-    return marked.join(bad, marked[key].eqNullSafe(bad["_key"]) & (marked["_hash_of_text"] == bad["_hash"]), "left_anti").drop("_hash_of_text")
+    bad = phrase_matches(post, places, size).select(F.col("key").alias("_bad_key"), F.col("text_hash").alias("_bad_hash")).distinct()
+    bad = common.materialize(bad)
+    marked = docs.withColumn("_bad_key", F.col(f"`{key}`")).withColumn("_bad_hash", F.xxhash64(F.lit(1), F.col(f"`{text}`")))
+    sifted = common.with_filter(marked, bad, "_may_be_bad", ["_bad_key", "_bad_hash"]).select(*marked.columns, "_may_be_bad").alias("m")
+    same = F.col("m._bad_key").eqNullSafe(F.col("b._bad_key")) & (F.col("m._bad_hash") == F.col("b._bad_hash"))
+    checked = sifted.where("_may_be_bad").join(bad.alias("b").hint("merge"), same, "left_anti")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return sifted.where("not _may_be_bad").select(*kept).unionByName(checked.select(*kept))

@@ -100,23 +100,26 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     comes before it: in a document with a smaller key (null keys come last; then by a hash of the text), or higher up
     in its own. The first occurrence stays. Texts without such a run stay as they are, byte by byte; null texts stay
     null with 0 lines; a text that is cut as a whole becomes empty. Rows with equal key and text are one document, and
-    all of them keep or lose the same lines. ``n_lines`` counts lines that aren't blank.
+    all of them keep or lose the same lines. ``n_lines`` counts lines that aren't blank. Columns of ``docs`` with these two
+    names are replaced, all others stay; an empty table gives no rows.
     """
     runs = repeated_runs(docs, key, text, min_words)
-    cut = common.materialize(runs.groupBy("doc", "h").agg(F.collect_set(F.struct("begin", "len")).alias("runs")))  # bounded by the lines of a document
-    src = docs.withColumn("_h", F.xxhash64(F.lit(1), F.col(text)))
+    grouped = runs.groupBy("doc", "h").agg(F.collect_set(F.struct("begin", "len")).alias("_ld_runs"))  # bounded by the lines of a document
+    cut = common.materialize(grouped.withColumnsRenamed({"doc": "_ld_doc", "h": "_ld_cut"}))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_cut")]
+    # names of our own beside any columns of the table
+    src = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{key}`").alias("_ld_key"), F.xxhash64(F.lit(1), F.col(f"`{text}`")).alias("_ld_hash"), F.split(F.col(f"`{text}`"), "\n", -1).alias("_ld_lines"))
     # texts are dealt out by key once, at every size alike; the list of cuts grows with the input
-    out = src.join(cut.hint("merge"), src[key].eqNullSafe(cut["doc"]) & (src["_h"] == cut["h"]), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    out = out.withColumn("_ls", lines).withColumn("_real", F.expr(r"filter(transform(_ls, (x, i) -> struct(i as i, x as x)), y -> y.x rlike '\\S').i"))
-    gone = F.expr("flatten(transform(runs, r -> slice(_real, r.begin + 1, r.len)))")
-    out = out.withColumn("_gone", F.array_distinct(F.coalesce(gone, F.expr("cast(array() as array<int>)"))))
-    rest = F.expr("array_join(filter(_ls, (x, i) -> not array_contains(_gone, i)), '\n')")
-    left = F.size("_real") - F.size("_gone")
-    new = F.when(F.size("_gone") == 0, F.col(text)).when(left == 0, F.lit("")).otherwise(rest)
+    out = src.join(cut.hint("merge"), src["_ld_key"].eqNullSafe(cut["_ld_doc"]) & (src["_ld_hash"] == cut["_ld_cut"]), "left")
+    out = out.withColumn("_ld_real", F.expr(r"filter(transform(_ld_lines, (x, i) -> struct(i as i, x as x)), y -> y.x rlike '\\S').i"))
+    gone = F.expr("flatten(transform(_ld_runs, r -> slice(_ld_real, r.begin + 1, r.len)))")
+    out = out.withColumn("_ld_gone", F.array_distinct(F.coalesce(gone, F.expr("cast(array() as array<int>)"))))
+    # the difference of two arrays is taken by a hash set, so long texts with many cuts stay linear
+    rest = F.expr("array_join(transform(array_except(sequence(0, size(_ld_lines) - 1), _ld_gone), i -> _ld_lines[i]), '\n')")
+    left = F.size("_ld_real") - F.size("_ld_gone")
+    new = F.when(F.size("_ld_gone") == 0, F.col(f"`{text}`")).when(left == 0, F.lit("")).otherwise(rest)
     return out.select(
-        *(new.alias(c) if c == text else src[c] for c in kept),
-        F.greatest(F.size("_real"), F.lit(0)).cast("long").alias("n_lines"),
-        F.size("_gone").cast("long").alias("n_cut"),
+        *(new.alias(c) if c == text else F.col(f"`{c}`") for c in kept),
+        F.greatest(F.size("_ld_real"), F.lit(0)).cast("long").alias("n_lines"),
+        F.size("_ld_gone").cast("long").alias("n_cut"),
     )

@@ -26,10 +26,12 @@ from citeloom.llm import common
 
 #: Shingle size in words; similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
-#: Classes of a block of a tile; most rounds of stars; bits of the table of common shingles; occurrences in a batch from which one counts as common.
+#: Classes of a block of a tile; most rounds of stars; bits of the table of common shingles; occurrences in a task from which one counts as common.
 BLOCK, STARS, ORDER_BITS, COMMON = 512, 6, 18, 8
 #: Classes of a shingle from which stars come first; rows of a packed tile.
 CROWD, PACK = 8, 8192
+#: Rows with whole texts or sets that Python gets at once; bits of the table that a task counts shingles in.
+TEXT_ROWS, COUNT_BITS = 500, 22
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -137,29 +139,35 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
         return [pa.array([len(h) for h in found], type=pa.int64()), pa.array(k1), pa.array(k2), pa.array([packed(h) for h in found], type=pa.binary())]
 
     named = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
-    return common.materialize(common.map_texts(named, "t", "n long, k1 long, k2 long, set binary", lambda: turn, keep=["doc"]))
+    return common.materialize(common.map_texts(named, "t", "n long, k1 long, k2 long, set binary", lambda: turn, keep=["doc"]), TEXT_ROWS)
 
 
 def _common_shingles(sets: DataFrame) -> np.ndarray:
     """A table of fixed size: for the highest bits of a shingle's hash, how often shingles there occur (a logarithm).
 
-    It only orders prefixes, and any order gives all candidates, so counts are rough: different sets of a batch that
-    share a shingle, where ``COMMON`` or more do. Batches send those only, and sums of equal buckets leave at most
-    the table's size to the driver.
+    It only orders prefixes, and any order gives all candidates, so counts are rough: every task counts the shingles of
+    its different sets in a table of fixed size and sends the places that have clearly more than their share. Maxima of
+    equal buckets leave at most the table's size to the driver.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen, total = np.zeros(1 << COUNT_BITS, dtype=np.uint32), set(), 0
         for batch in batches:
-            values, n = np.unique(unpacked(b"".join(set(batch["set"]))), return_counts=True)
-            often = n >= COMMON
-            at = (values[often] >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
-            most = np.zeros(1 << ORDER_BITS, dtype=np.int64)
-            np.maximum.at(most, at, n[often])
-            at = np.flatnonzero(most)
-            if len(at):
-                yield pd.DataFrame({"at": at, "n": most[at]})
-
-    found = sets.select("set").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+            for a, b in common.parts(batch, batch.column(0)):
+                for data, k1 in zip(batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_pylist(), strict=True):
+                    if k1 not in seen:
+                        seen.add(k1)
+                        h = unpacked(data)
+                        total += len(h)
+                        counts[h >> np.uint64(64 - COUNT_BITS)] += 1  # shingles of a set that share a place count once
+        often = np.flatnonzero(counts >= COMMON + 3 * total / len(counts))
+        at, most = often >> (COUNT_BITS - ORDER_BITS), np.zeros(1 << ORDER_BITS, dtype=np.int64)
+        np.maximum.at(most, at, counts[often].astype(np.int64))
+        at = np.flatnonzero(most)
+        yield pa.RecordBatch.from_arrays([pa.array(at, type=pa.int64()), pa.array(most[at])], names=["at", "n"])
+
+    with common.arrow_rows(sets.sparkSession, TEXT_ROWS):
+        found = sets.select("set", "k1").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(1 << ORDER_BITS, dtype=np.uint8)
     if len(found):
         table[found["at"].to_numpy(dtype=np.int64)] = np.log2(found["n"].to_numpy(dtype=np.float64)).astype(np.uint8)
@@ -170,18 +178,23 @@ def _classes(sets: DataFrame, order: np.ndarray, percent: int) -> DataFrame:
     """``(n, k1, k2, id, bits, prefix)`` of every different set with shingles; ``id`` is the smallest key that has it."""
     shared = sets.sparkSession.sparkContext.broadcast(order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, names = shared.value, ["doc", "n", "k1", "k2", "bits", "prefix"]
         for batch in batches:
-            bits, prefixes = [], []
-            for data in batch["set"]:
-                h = unpacked(data)
-                bits.append(bitmap(h))
-                prefixes.append(h[np.argsort(table[h >> np.uint64(64 - ORDER_BITS)], kind="stable")][: prefix_size(len(h), percent)].view(np.int64))
-            yield batch.drop(columns="set").assign(bits=bits, prefix=prefixes)
-
-    signed = sets.where("n > 0 and doc is not null").mapInPandas(run, "doc long, n long, k1 long, k2 long, bits binary, prefix array<long>")
-    return common.materialize(signed.groupBy("n", "k1", "k2").agg(F.min("doc").alias("id"), F.min_by("bits", "k1").alias("bits"), F.min_by("prefix", "k1").alias("prefix")))
+            for a, b in common.parts(batch, batch.column(4)):
+                bits, prefixes = [], []
+                for data in batch.column(4)[a:b].to_pylist():
+                    h = unpacked(data)
+                    bits.append(bitmap(h))
+                    prefixes.append(h[np.argsort(table[h >> np.uint64(64 - ORDER_BITS)], kind="stable")][: prefix_size(len(h), percent)].view(np.int64))
+                some = batch.slice(a, b - a)
+                ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes)))
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(4)), pa.array(bits, type=pa.binary()), lists], names=names)
+
+    signed = sets.where("n > 0 and doc is not null").select("doc", "n", "k1", "k2", "set").mapInArrow(run, "doc long, n long, k1 long, k2 long, bits binary, prefix array<long>")
+    grouped = signed.groupBy("n", "k1", "k2").agg(F.min("doc").alias("id"), F.min_by("bits", "k1").alias("bits"), F.min_by("prefix", "k1").alias("prefix"))
+    return common.materialize(grouped, TEXT_ROWS)
 
 
 def overlap(a: bytes, b: bytes) -> int:
@@ -204,36 +217,44 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
         return pd.Series([one(*row) for row in zip(na.tolist(), nb.tolist(), x, y, strict=True)], dtype=bool)
 
-    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    return pairs.join(left, "a").join(right, "b").where(may("na", "nb", "xa", "xb")).select("a", "b").distinct()
+    pairs = common.materialize(pairs)
+    wanted = common.with_filter(classes.select("id", "n", "bits"), pairs.select(F.explode(F.array("a", "b")).alias("id")), "_may", ["id"]).where("_may")
+    left = wanted.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = wanted.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    return common.materialize(pairs.join(left, "a").join(right, "b").where(may("na", "nb", "xa", "xb")).select("a", "b").distinct(), TEXT_ROWS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are as similar as wanted. Only the sets of keys that occur in a pair are shuffled."""
+    """Those of the written ``pairs(a, b)`` that are as similar as wanted. A filter of fixed size keeps the sets of other keys out of the shuffle."""
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([100 * (o := overlap(x, y)) >= percent * ((len(x) + len(y)) // 6 - o) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    pairs = common.materialize(pairs)
-    ids = common.bounded_broadcast(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct())
-    sets = sets.where("n > 0").join(ids, "doc", "left_semi").select(F.col("doc").alias("id"), "set")
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").where(alike("sa", "sb")).select("a", "b").distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    wanted = common.with_filter(sets.where("n > 0"), ids, "_may", ["doc"]).where("_may")
+    left = wanted.select(F.col("doc").alias("a"), F.col("set").alias("sa")).hint("merge")
+    right = wanted.select(F.col("doc").alias("b"), F.col("set").alias("sb")).hint("merge")
+    return common.materialize(pairs.join(left, "a").join(right, "b").where(alike("sa", "sb")).select("a", "b").distinct(), TEXT_ROWS)
 
 
 def _tile_pairs(percent: int):
     """Pairs of a tile that belong to different groups and whose bitmaps don't rule them out.
 
     A tile has the blocks of one shingle, or the classes of many shingles that few have; rows meet under their shingle only.
+    Sizes and bitmaps of its classes come beside it, each once.
     """
 
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
+    def run(tile: pd.DataFrame, signed: pd.DataFrame) -> pd.DataFrame:
+        if not len(tile):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        signed = signed.sort_values("s_id")
+        tile = tile.assign(at=np.searchsorted(signed["s_id"].to_numpy(), tile["id"].to_numpy()))
+        tile["n"] = signed["n"].to_numpy()[tile["at"].to_numpy()]
         tile = tile.sort_values(["token", "n", "id"], kind="stable")
         token, n, group, block, ids = (tile[c].to_numpy() for c in ("token", "n", "comp", "block", "id"))
-        bitmaps, two, found = tile["bits"].tolist(), tile["t1"].iloc[0] != tile["t2"].iloc[0], []
+        held, two, found = signed["bits"].tolist(), tile["t1"].iloc[0] != tile["t2"].iloc[0], []
+        bitmaps = [held[k] for k in tile["at"].tolist()]
         cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]]).tolist()
         for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
             while start < stop - 1:  # a band of sizes, and all larger ones that the threshold allows beside it
@@ -309,11 +330,21 @@ def _components(sets: DataFrame, classes: DataFrame, shared: DataFrame, percent:
         crowded = left.where(F.col("c") > CROWD)
     blocks = F.ceil(F.col("c") / BLOCK)
     dealt = left.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    # shingles of one block are packed, some thousands of rows to a tile; those of more have tiles of their own
+    # shingles of one block are packed with others that have the same smallest class, some thousands of rows to a tile, so
+    # that a bitmap travels once for many shingles; those of more blocks have tiles of their own
+    per = left.groupBy("token").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    homes = per.join(per.groupBy("least").agg(F.ceil(F.sum("rows") / PACK).alias("slices")).hint("merge"), "least").select("token", "least", "slices")
     packs = max(1, left.count() // PACK)
-    tile = F.when(blocks > 1, F.concat(F.lit("t"), F.col("token").cast("string"))).otherwise(F.concat(F.lit("p"), F.pmod(F.xxhash64("token"), F.lit(packs)).cast("string")))
-    tiles = dealt.select(tile.alias("tile"), "token", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "block", "id", "comp").join(classes.select("id", "n", "bits"), "id")
-    found = tiles.groupBy("tile", "t1", "t2").applyInPandas(_tile_pairs(percent), "a long, b long").distinct()
+    part = F.when(F.col("slices") > 1, F.concat_ws("_", F.lit("m"), "least", F.pmod(F.xxhash64("token"), F.col("slices")))).otherwise(F.concat(F.lit("p"), F.pmod(F.xxhash64("least"), F.lit(packs)).cast("string")))
+    tile = F.when(blocks > 1, F.concat(F.lit("t"), F.col("token").cast("string"))).otherwise(part)
+    names = ["tile", "t1", "t2"]
+    tiles = dealt.join(homes, "token").select(tile.alias("tile"), F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "token", "block", "id", "comp")
+    tiles = common.materialize(tiles)
+    # classes of open shingles only
+    wanted = common.with_filter(classes.select("id", "n", "bits"), left.select("id"), "_may", ["id"]).where("_may").drop("_may")
+    own = tiles.select(*(F.col(c).alias(f"s_{c}") for c in [*names, "id"])).distinct()
+    signed = own.join(wanted.withColumnRenamed("id", "s_id").hint("merge"), "s_id")
+    found = common.materialize(tiles.groupBy(*names).cogroup(signed.groupBy(*(f"s_{c}" for c in names))).applyInPandas(_tile_pairs(percent), "a long, b long").distinct())
     return _joined(comps, _verified(found, sets, percent))
 
 

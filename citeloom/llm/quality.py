@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     """Fit to a sample of the labelled rows, ``per_class`` rows of each class at most; null labels are ignored."""
     rows = labels.where(F.col(label).isin(0, 1)).select(F.col(key), F.col(label).cast("int").alias("_y"))
     picked = common.class_sample(rows, "_y", per_class, key)
-    sample = docs.select(F.col(key), F.col(text).alias("_t")).join(common.bounded_broadcast(picked), key)
+    sample = common.join_small(docs.select(F.col(key), F.col(text).alias("_t")), picked, [key])
     # a repeated id may bring more rows than were picked, so the bound is set here as well
     found = sample.orderBy(F.xxhash64(key), key, "_t").limit(2 * per_class).collect()
     return fit([r["_t"] for r in found], [r["_y"] for r in found])
