@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -56,26 +55,12 @@ def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece.encode_texts(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "lang", "source", "token_ids", "n_tokens", "round_trip")
 
 
-
-
-def _stage(run: Callable) -> Callable:
-    """``run`` after the tables of the stage before are removed: its result is written by now, and nothing else reads them."""
-
-    @functools.wraps(run)
-    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release("corpus_pipeline")
-        with common.scope("corpus_pipeline"):
-            return run(spark, docs, sf_dir)
-
-    return staged
-
-
 STAGES = [
-    ("language_id", _stage(language_stage)),
-    ("line_dedup", _stage(line_stage)),
-    ("ngram_join", _stage(similar_stage)),
-    ("decontamination", _stage(benchmark_stage)),
-    ("sentencepiece", _stage(piece_stage)),
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("ngram_join", similar_stage),
+    ("decontamination", benchmark_stage),
+    ("sentencepiece", piece_stage),
 ]
 
 #: SQL expresses neither the language model nor the tokenizer; tests hold the stages against brute force.
@@ -83,10 +68,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage leaves is written and read again, which cuts its lineage."""
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    """All stages over ``documents``; what a stage leaves is written and read again, which cuts its lineage.
+
+    Tables that a stage has cut for itself go as soon as its result is written; each run knows its own ones only.
+    """
+    docs, name = table(spark, sf_dir, "documents").select(*COLUMNS), uuid.uuid4().hex
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with common.scope(name):
+            docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = common.materialize(docs)
+            common.release(name)
     return docs
