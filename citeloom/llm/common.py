@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from citeloom.operators.lineage import arrow_rows, materialize, new_path, release, scope
 
-__all__ = ["arrow_rows", "class_sample", "connected_components", "crc_fold", "fits", "join_small", "map_texts", "materialize", "new_path", "release", "scope", "with_filter"]
+__all__ = ["arrow_rows", "class_sample", "connected_components", "crc_fold", "fits", "give_back", "join_small", "map_texts", "materialize", "new_path", "release", "scope", "with_filter"]
 
 #: A side of a join is broadcast up to this many bytes; beyond that the join shuffles, and deals a key over so many tasks.
 MAX_BROADCAST_BYTES, SALTS = 16_000_000, 16
@@ -33,6 +34,14 @@ def parts(batch: pa.RecordBatch, texts: pa.Array, size: int = PART_BYTES) -> Ite
         start, done = stop, ends[stop - 1]
 
 
+def give_back() -> None:
+    """Return memory that a worker has freed to the system, as workers wait for further tasks, and stages run side by side."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(df: DataFrame, text: str, out: str, start: Callable[[], Callable[[list], list]], keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``df`` (all by default) and those of the DDL string ``out``, which the text decides row by row.
 
@@ -53,6 +62,7 @@ def map_texts(df: DataFrame, text: str, out: str, start: Callable[[], Callable[[
             for a, b in parts(batch, batch.column(place)):
                 some = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(n_kept)), *turn(some.column(place).to_pylist())], names=kept + names)
+        give_back()
 
     return src.mapInArrow(run, T.StructType([*(src.schema[c] for c in kept), *added]))
 

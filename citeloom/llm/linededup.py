@@ -108,9 +108,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     cut = common.materialize(grouped.withColumnsRenamed({"doc": "_ld_doc", "h": "_ld_cut"}))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_cut")]
     # names of our own beside any columns of the table
-    src = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{key}`").alias("_ld_key"), F.xxhash64(F.lit(1), F.col(f"`{text}`")).alias("_ld_hash"), F.split(F.col(f"`{text}`"), "\n", -1).alias("_ld_lines"))
+    src = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{key}`").alias("_ld_key"), F.xxhash64(F.lit(1), F.col(f"`{text}`")).alias("_ld_hash"))
     # texts are dealt out by key once, at every size alike; the list of cuts grows with the input
     out = src.join(cut.hint("merge"), src["_ld_key"].eqNullSafe(cut["_ld_doc"]) & (src["_ld_hash"] == cut["_ld_cut"]), "left")
+    out = out.withColumn("_ld_lines", F.split(F.col(f"`{text}`"), "\n", -1))
     out = out.withColumn("_ld_real", F.expr(r"filter(transform(_ld_lines, (x, i) -> struct(i as i, x as x)), y -> y.x rlike '\\S').i"))
     gone = F.expr("flatten(transform(_ld_runs, r -> slice(_ld_real, r.begin + 1, r.len)))")
     out = out.withColumn("_ld_gone", F.array_distinct(F.coalesce(gone, F.expr("cast(array() as array<int>)"))))

@@ -165,6 +165,8 @@ def _common_shingles(sets: DataFrame) -> np.ndarray:
         np.maximum.at(most, at, counts[often].astype(np.int64))
         at = np.flatnonzero(most)
         yield pa.RecordBatch.from_arrays([pa.array(at, type=pa.int64()), pa.array(most[at])], names=["at", "n"])
+        del counts, often, most
+        common.give_back()
 
     with common.arrow_rows(sets.sparkSession, TEXT_ROWS):
         found = sets.select("set", "k1").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
@@ -191,6 +193,7 @@ def _classes(sets: DataFrame, order: np.ndarray, percent: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes)))
                 yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(4)), pa.array(bits, type=pa.binary()), lists], names=names)
+        common.give_back()
 
     signed = sets.where("n > 0 and doc is not null").select("doc", "n", "k1", "k2", "set").mapInArrow(run, "doc long, n long, k1 long, k2 long, bits binary, prefix array<long>")
     grouped = signed.groupBy("n", "k1", "k2").agg(F.min("doc").alias("id"), F.min_by("bits", "k1").alias("bits"), F.min_by("prefix", "k1").alias("prefix"))

@@ -221,3 +221,35 @@ def test_embeddings_recall_of_cells(rotations):
         cells = 2 * top + (np.take_along_axis(q, top, axis=1) > 0)
         both &= (cells[::2, :, None] == cells[1::2, None, :]).any(axis=(1, 2))
     assert both.mean() >= 0.9998
+
+
+def test_filter_of_fixed_size(spark):
+    rows, keys = spark.range(3000).withColumn("k", F.col("id").cast("string")), spark.range(0, 3000, 7).select(F.col("id").cast("string").alias("k"))
+    marked = {r["id"]: r["_may"] for r in common.with_filter(rows, keys, "_may", ["k"]).collect()}
+    assert len(marked) == 3000 and all(marked[i] for i in range(0, 3000, 7))
+    assert sum(marked.values()) < 500
+    assert not any(r["_may"] for r in common.with_filter(rows, keys.where("false"), "_may", ["k"]).collect())
+
+
+def test_small_joins_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(30)] + [(99, None)], "id long, k string")
+    small = spark.createDataFrame([("a", 1), ("a", 2), ("c", 3)], "k string, v int")
+    want = sorted(map(tuple, common.join_small(rows, small, ["k"]).select("id", "k", "v").collect()))
+    assert len(want) == 40
+    monkeypatch.setattr(common, "MAX_BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, common.join_small(rows, small, ["k"]).select("id", "k", "v").collect())) == want
+
+
+def test_decontaminate_without_broadcasts(compare, documents, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "MAX_BROADCAST_BYTES", 0)
+    item = " ".join(f"w{i % 5}x{i}" for i in range(14))
+    docs = documents([(1, f"before {item} after"), (2, "w0x0 w1x1 alone"), (3, None), (4, item.upper())])
+    bench = spark.createDataFrame([(7, item), (8, "w0x0 w1x1"), (9, None)], "item_id long, text string")
+    compare(QUERIES["op6_decontaminate"], {"documents": docs, "benchmark": bench}, tmp_path, ORACLES["op6_decontaminate"])
+
+
+def test_line_dedup_beside_any_columns(spark):
+    run = "\n".join(f"line {i} " + "word " * 9 for i in range(8))
+    df = spark.createDataFrame([(1, run, "x", 1, "h"), (2, "own\n" + run, "y", 2, "d")], "doc_id long, text string, runs string, begin int, h string")
+    rows = sorted(tuple(r) for r in linededup.dedup_lines(df).collect())
+    assert rows == [(1, run, "x", 1, "h", 8, 0), (2, "own", "y", 2, "d", 9, 8)]
