@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from citeloom.llm import common, decontaminate, langid, linededup, ngramjoin, piece
 from citeloom.llm.queries import table, tokenizer_path
 
+#: Whole texts that Python gets at once in a stage; the stage writes its result with it.
+BATCH_ROWS = 500
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -29,7 +31,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if not model.langs:
         return docs.where(_has_letter("text")).select(*COLUMNS)
     named = langid.identify(docs, model, lang_pred="_lang", score="_score").where(F.col("_lang") != langid.UNKNOWN)
-    return named.withColumn("lang", F.coalesce(F.nullif(F.col("lang"), F.lit("")), "_lang")).select(*COLUMNS)
+    return common.materialize(named.withColumn("lang", F.coalesce(F.nullif(F.col("lang"), F.lit("")), "_lang")).select(*COLUMNS), BATCH_ROWS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left."""
-    return piece.encode_texts(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "lang", "source", "token_ids", "n_tokens", "round_trip")
+    coded = piece.encode_texts(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "lang", "source", "token_ids", "n_tokens", "round_trip")
+    return common.materialize(coded, BATCH_ROWS)
 
 
 STAGES = [
@@ -74,7 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs, name = table(spark, sf_dir, "documents").select(*COLUMNS), uuid.uuid4().hex
     for i, (_, stage) in enumerate(STAGES):
-        with common.scope(name):
+        with common.scope(name if i + 1 < len(STAGES) else ""):
             docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = common.materialize(docs)
