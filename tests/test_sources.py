@@ -1,6 +1,8 @@
 import io
 import zipfile
 
+import pytest
+
 from citeloom.operators import graph
 from citeloom.plans import statutes
 from citeloom.sources import files, formats, tree
@@ -104,3 +106,24 @@ def test_stream_of_files(spark, tmp_path):
         (tmp_path / "in" / f"CFR-{year}-title7-vol1.xml").write_text(REGULATION)
         incremental.run_step(incremental.watch(spark, str(tmp_path / "in")), step, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     assert {r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("doc_id").collect()} == {"cfr7v1_2000", "cfr7v1_2001"}
+
+
+def test_unknown_classes_are_an_error_and_known_ones_lose_no_text():
+    page = CODE.replace("Only this.</p>", "Only this.</p><p class='note-body-1em'>A note.</p><p class='signature'>Signed.</p><h4 class='italic-head'>passed over</h4>")
+    (root, *_), *_ = formats.us_code("420_2010.htm", page.encode())
+    assert [t for t in root.all_texts()][-3:] == ["Only this.", "A note.", "Signed."]
+    with pytest.raises(ValueError, match="unheard"):
+        formats.us_code("420_2010.htm", page.replace("note-body-1em", "unheard").encode())
+
+
+def test_ancestors_of_deep_trees(spark):
+    chain = spark.createDataFrame([(f"k{i}", f"k{i - 1}" if i else "", i) for i in range(36)], "key string, parent_key string, level int")
+    assert graph.ancestors(chain).count() == 36 * 37 // 2
+    with pytest.raises(ValueError, match="own ancestor"):
+        graph.ancestors(spark.createDataFrame([("a", "b", 0), ("b", "a", 1)], "key string, parent_key string, level int"))
+
+
+def test_simplified():
+    page = "<dokumente builddate='1'><norm><metadaten><titel>Law *)</titel><fundstelle>x</fundstelle></metadaten><textdaten><text><Content><P>one<BR/>two <FnR ID='1'/>three</P><TOC><a>x</a><b>y</b></TOC></Content></text><Footnotes>f</Footnotes></textdaten></norm></dokumente>"
+    out = formats.simplified(page.encode()).decode()
+    assert out == "<dokumente><norm><metadaten><titel>Law</titel></metadaten><textdaten><text><Content><P>one two three</P><TOC>x y</TOC></Content></text></textdaten></norm></dokumente>"
