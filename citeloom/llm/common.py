@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from citeloom.operators.lineage import arrow_rows, materialize, new_path, release, scope
 
-__all__ = ["arrow_rows", "class_sample", "connected_components", "crc_fold", "fits", "give_back", "join_small", "map_texts", "materialize", "new_path", "release", "scope", "with_filter"]
+__all__ = ["arrow_rows", "class_sample", "condensed", "connected_components", "crc_fold", "fits", "give_back", "join_small", "map_texts", "materialize", "new_path", "release", "scope", "with_filter"]
 
 #: A side of a join is broadcast up to this many bytes; beyond that the join shuffles, and deals a key over so many tasks.
 MAX_BROADCAST_BYTES, SALTS = 16_000_000, 16
@@ -24,6 +25,20 @@ PART_BYTES = 500_000
 FILTER_BITS = 1 << 25
 
 
+def condensed(build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build()`` returns, written; all tables that it cut on the way are removed, whether it succeeds or not.
+
+    For results much smaller than what they are made of. Nothing but ``build`` may keep frames over its own tables.
+    """
+    inner = uuid.uuid4().hex
+    try:
+        with scope(inner):
+            df = build()
+        return materialize(df)
+    finally:
+        release(inner)
+
+
 def parts(batch: pa.RecordBatch, texts: pa.Array, size: int = PART_BYTES) -> Iterator[tuple[int, int]]:
     """``(start, stop)`` of runs of rows with ``size`` bytes of text, or one row more; a run has a row at least."""
     ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.float64)) + 64.0)

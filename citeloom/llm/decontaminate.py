@@ -125,6 +125,10 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     overlap. Null and empty texts have no words and no hits; an empty benchmark hits nothing; items without words
     have no window; items that repeat count by their id. Rows that share key and text are judged alike.
     """
+    return common.condensed(lambda: _judged(docs, bench, key, text, item, bench_text, size))
+
+
+def _judged(docs: DataFrame, bench: DataFrame, key: str, text: str, item: str, bench_text: str, size: int) -> DataFrame:
     src = _source(docs, key, text)
     texts, named = benchmark_texts(bench, item, bench_text)
     post, places = _index(src, texts)
@@ -151,10 +155,12 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", te
 
     Only documents that a filter of fixed size lets through, bad ones and few others, are shuffled.
     """
-    src = _source(docs, key, text)
-    post, places = _index(src, benchmark_texts(bench, item, bench_text)[0])
-    bad = phrase_matches(post, places, size).select(F.col("key").alias("_bad_key"), F.col("text_hash").alias("_bad_hash")).distinct()
-    bad = common.materialize(bad)
+
+    def found() -> DataFrame:
+        post, places = _index(_source(docs, key, text), benchmark_texts(bench, item, bench_text)[0])
+        return phrase_matches(post, places, size).select(F.col("key").alias("_bad_key"), F.col("text_hash").alias("_bad_hash")).distinct()
+
+    bad = common.condensed(found)
     marked = docs.withColumn("_bad_key", F.col(f"`{key}`")).withColumn("_bad_hash", F.xxhash64(F.lit(1), F.col(f"`{text}`")))
     sifted = common.with_filter(marked, bad, "_may_be_bad", ["_bad_key", "_bad_hash"]).select(*marked.columns, "_may_be_bad").alias("m")
     same = F.col("m._bad_key").eqNullSafe(F.col("b._bad_key")) & (F.col("m._bad_hash") == F.col("b._bad_hash"))

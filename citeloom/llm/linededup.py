@@ -103,9 +103,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     all of them keep or lose the same lines. ``n_lines`` counts lines that aren't blank. Columns of ``docs`` with these two
     names are replaced, all others stay; an empty table gives no rows.
     """
-    runs = repeated_runs(docs, key, text, min_words)
-    grouped = runs.groupBy("doc", "h").agg(F.collect_set(F.struct("begin", "len")).alias("_ld_runs"))  # bounded by the lines of a document
-    cut = common.materialize(grouped.withColumnsRenamed({"doc": "_ld_doc", "h": "_ld_cut"}))
+
+    def cuts() -> DataFrame:
+        runs = repeated_runs(docs, key, text, min_words)
+        grouped = runs.groupBy("doc", "h").agg(F.collect_set(F.struct("begin", "len")).alias("_ld_runs"))  # bounded by the lines of a document
+        return grouped.withColumnsRenamed({"doc": "_ld_doc", "h": "_ld_cut"})
+
+    cut = common.condensed(cuts)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_cut")]
     # names of our own beside any columns of the table
     src = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{key}`").alias("_ld_key"), F.xxhash64(F.lit(1), F.col(f"`{text}`")).alias("_ld_hash"))

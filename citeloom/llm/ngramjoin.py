@@ -291,6 +291,10 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     alone. Keys are whole numbers; a null key has a null component unless its set occurs with another key, and then
     that one's; rows that share a key count as one document in links. An empty table gives no rows.
     """
+    return common.condensed(lambda: _groups(docs, key, text, percent))
+
+
+def _groups(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     sets = _sets(docs, key, text)
     full = sets.where("n > 0")
     classes = _classes(sets, _common_shingles(sets), percent)
