@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from citeloom.llm import common, decontaminate, langid, linededup, ngramjoin, piece
 from citeloom.llm.queries import table, tokenizer_path
 
-#: Whole texts that Python gets at once in a stage; the stage writes its result with it.
+#: Whole texts that Python gets at once in a session that runs a stage.
 BATCH_ROWS = 500
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,16 +22,27 @@ def _has_letter(texts: pd.Series) -> pd.Series:
     return texts.map(langid.has_letter, na_action=None).astype(bool)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands ``BATCH_ROWS`` rows at most to Python at once, which bounds the memory of workers; a smaller bound stays.
+
+    The setting stays with the session, as a stage's result is computed by whoever writes it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any language (null text, or no letter in it) go; a missing ``lang`` is filled with the predicted one.
 
     If no document has a label there is no language to predict: texts alone decide, and ``lang`` stays missing.
     """
+    small_batches(spark)
     model = langid.train(docs)
     if not model.langs:
         return docs.where(_has_letter("text")).select(*COLUMNS)
     named = langid.identify(docs, model, lang_pred="_lang", score="_score").where(F.col("_lang") != langid.UNKNOWN)
-    return common.materialize(named.withColumn("lang", F.coalesce(F.nullif(F.col("lang"), F.lit("")), "_lang")).select(*COLUMNS), BATCH_ROWS)
+    return named.withColumn("lang", F.coalesce(F.nullif(F.col("lang"), F.lit("")), "_lang")).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +65,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left."""
-    coded = piece.encode_texts(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "lang", "source", "token_ids", "n_tokens", "round_trip")
-    return common.materialize(coded, BATCH_ROWS)
+    small_batches(spark)
+    return piece.encode_texts(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "lang", "source", "token_ids", "n_tokens", "round_trip")
 
 
 STAGES = [
@@ -73,13 +84,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage leaves is written and read again, which cuts its lineage.
 
-    Tables that a stage has cut for itself go as soon as its result is written; each run knows its own ones only.
+    What a stage has cut for itself, and the rows that it got, go as soon as its result is written; each run knows its
+    own tables only. Those that the last stage reads stay until the driver ends.
     """
     docs, name = table(spark, sf_dir, "documents").select(*COLUMNS), uuid.uuid4().hex
-    for i, (_, stage) in enumerate(STAGES):
-        with common.scope(name if i + 1 < len(STAGES) else ""):
-            docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = common.materialize(docs)
-            common.release(name)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with common.scope(f"{name}-{i}"):
+            left = stage(spark, docs, sf_dir)
+        with common.scope(f"{name}-{i}-kept"):
+            docs = common.materialize(left)
+        common.release(f"{name}-{i}")
+        common.release(f"{name}-{i - 1}-kept")
+    return STAGES[-1][1](spark, docs, sf_dir)
