@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from citeloom.llm import piece
+from citeloom.llm import common, piece
+from citeloom.operators import lineage
 from citeloom.llm.queries import tokenizer_path
 
 
@@ -45,3 +46,13 @@ def test_language_stage_labels(spark):
     known = [(10 + i, "слова и дела" if i % 2 else "some more words", "ru" if i % 2 else "en", "s", 12) for i in range(8)]
     out = corpus_pipeline.language_stage(spark, spark.createDataFrame(unlabelled + known, schema), "").collect()
     assert sorted((r["doc_id"], r["lang"]) for r in out) == [(1, "en"), (4, "ru")] + [(k[0], k[2]) for k in known]
+
+
+def test_condensed_leaves_its_result_only(spark):
+    def build():
+        return common.materialize(spark.range(1000)).where("id < 3")
+
+    before = {p for _, p, _ in lineage._written}
+    out = common.condensed(build)
+    assert sorted(r["id"] for r in out.collect()) == [0, 1, 2]
+    assert len({p for _, p, _ in lineage._written} - before) == 1
