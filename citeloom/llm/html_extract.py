@@ -2,8 +2,10 @@
 
 Follows Sun, Song and Liao, "DOM based content extraction via text density" (SIGIR 2011): every node gets a composite
 density of characters per tag, lowered by the share of link characters; the sum of its children's densities ranks
-subtrees; the least density on the path from ``body`` to the best subtree is the threshold for what joins it.
-Elements that hold no article by their kind (menus, forms, adverts, ...) are left out of the tree before that. Names in
+subtrees; the least density on the path from ``body`` to the best subtree is the threshold for what joins it. Within an
+``article`` or ``main`` around the best subtree only link lists have to pass it, and the rest of it stays.
+Elements that hold no article by their kind (menus, forms, adverts, ...) are left out of the tree before that; a form
+stays if it holds an article, or the only paragraphs of a page. Names in
 classes and ids leave out no headings and paragraphs, and within an article only containers; whole names of menus,
 adverts, notices and comments do. Ambiguous names (search, related, ...) count outside of articles only: what has one
 doesn't join the best subtree, and stays in it if it is as dense as the threshold.
@@ -88,8 +90,11 @@ def _left_out(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
     return not opened, maybe
 
 
-def parse(page: str) -> Node:
-    """A forgiving tree: unclosed and misnested elements end where HTML ends them, stray end tags are ignored."""
+def parse(page: str, forms: bool = False) -> Node:
+    """A forgiving tree: unclosed and misnested elements end where HTML ends them, stray end tags are ignored.
+
+    Forms are left out unless one holds an ``article`` or ``main``, or ``forms`` is set.
+    """
     root = Node("#root", None, False)
     stack, pos, size, articles = [root], 0, len(page), 0
 
@@ -138,7 +143,12 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{tag}\s*/?>", re.I).search(page, pos)
             pos = end.end() if end else size
             continue
-        articles += tag in ("article", "main")
+        if tag == "form" and forms:
+            node.skip = False
+        elif tag in ("article", "main"):
+            articles += 1
+            for n in stack:
+                n.skip = n.skip and n.tag != "form"
         stack.append(node)
     return root
 
@@ -176,6 +186,11 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, bo
     return chars / tags * value
 
 
+def _link_list(node: Node) -> bool:
+    """Two links or more that hold at least half of the characters."""
+    return node.link_tags > 1 and 2 * node.link_chars >= node.chars
+
+
 def _blocks(nodes: list[Node]) -> list[str]:
     out, piece = [], []
 
@@ -211,6 +226,12 @@ def extract_text(page: str | None) -> str:
     root = parse(page)
     order = _measure(root)
     body = next((n for n in order if n.tag == "body"), root)
+    if not body.chars and "<form" in page.lower():
+        # a form around the whole page, which has paragraphs; others have fields only
+        order = _measure(parse(page, forms=True))
+        body = next((n for n in order if n.tag == "body"), order[0])
+        if not any(n.tag == "p" and n.chars for n in order):
+            return ""
     for n in order:
         n.density = composite_density(n.chars, n.tags, n.link_chars, n.link_tags, body.chars, body.link_chars)
     for n in order:
@@ -227,19 +248,22 @@ def extract_text(page: str | None) -> str:
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    # a named container of the best subtree is the article as its author marked it
-    for n in reversed(path):
-        if n.tag in ("article", "main"):
-            return "\n".join(_blocks([n]))
     least = min(n.density for n in path)
-    # of the best subtree, what has an ambiguous name stays if it is as dense as the threshold
-    todo = [best]
+    # an article or main around the best subtree loses the link lists beside the path that are below the threshold
+    core = next((n for n in reversed(path) if n.tag in ("article", "main")), best)
+    on_path = {id(n) for n in path}
+    within = {id(n) for n in path[1 : path.index(core) + 1]}
+    # of the rest, what has an ambiguous name stays if it is as dense as the threshold
+    todo = [core]
     while todo:
-        for c in todo.pop().children():
-            c.skip = c.skip or (c.maybe and c.density < least)
+        node = todo.pop()
+        for c in node.children():
+            beside = id(node) in within and id(c) not in on_path
+            c.skip = c.skip or (c.density < least and (c.maybe or beside and _link_list(c)))
             if not c.skip:
                 todo.append(c)
-    # siblings along the path that are as dense as the threshold join the best subtree, in page order
+    # siblings along the path that are as dense as the threshold join it, in page order; a marked article ends there
+    path = path if core is best and best.tag not in ("article", "main") else [core]
     ahead: list[Node] = []
     behind: list[Node] = []
     for node, below in zip(reversed(path), reversed(path[:-1]), strict=False):
@@ -250,7 +274,7 @@ def extract_text(page: str | None) -> str:
             elif not c.skip and not c.maybe and c.chars and c.density >= least:
                 (after if passed else ahead).append(c)
         behind = after + behind
-    chosen = [body] if best.total <= 0 else [*ahead, best, *behind]
+    chosen = [body] if best.total <= 0 else [*ahead, core, *behind]
     return "\n".join(_blocks(chosen))
 
 

@@ -1,5 +1,6 @@
 """Row-wise operators against brute force, exact round trips and held-out accuracy."""
 
+import math
 import random
 import zlib
 
@@ -80,6 +81,54 @@ def test_html_names_without_article():
     assert html_extract.extract_text(page) == "\n".join(["Heading of some length", long, long, long])
 
 
+def test_html_density_decides(monkeypatch):
+    """Densities pick the best subtree and the threshold, also within an article; other densities give other texts."""
+    long = "Long text of a page that goes on and on, and has no links at all."
+    links = "".join(f"<b><a href={i}>link {i}</a></b>" for i in range(9))
+    page = f"<body><article><h1>Title</h1><div>{links}</div><section><p>{long}</p><p>{long}</p></section><div>{long} <a href=x>See</a></div>.</article></body>"
+    plain = f"<body><div>{links}</div><div><p>{long}</p><p>{long}</p></div></body>"
+    assert html_extract.extract_text(page) == "\n".join(["Title", long, long, f"{long} See", "."])
+    assert html_extract.extract_text(plain) == "\n".join([long, long])
+    monkeypatch.setattr(html_extract, "composite_density", lambda *counts: 1.0)
+    assert "link 3" in html_extract.extract_text(page) and "link 3" in html_extract.extract_text(plain)
+
+
+def test_html_densities_by_brute_force():
+    """Counts of a subtree by walking it anew for every node, densities by the formula written out."""
+    root = html_extract.parse("<body><div><p>ab cd<a href=1>ef</a></p><p>gh<b>ij <i>kl</i></b></p></div><ul><li><a href=2>mno</a></li></ul></body>")
+
+    def walk(node):
+        yield node
+        for c in node.children():
+            yield from walk(c)
+
+    def letters(node):
+        return len("".join("".join(x for x in n.items if isinstance(x, str)) for n in walk(node)).replace(" ", ""))
+
+    for node in html_extract._measure(root):
+        below = list(walk(node))
+        link = [n for n in below if n.tag == "a"]
+        want = letters(node), len(below) - 1, sum(letters(n) for n in link), sum(n is not node for n in link)
+        assert (node.chars, node.tags, node.link_chars, node.link_tags) == want
+        c, t, lc, lt = want
+        base = math.log(c / max(c - lc, 1) * max(lc, 1) + 5 / 15 * c + math.e)
+        density = c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)) / math.log(base)
+        assert abs(html_extract.composite_density(c, t, lc, lt, 15, 5) - density) < 1e-12
+
+
+def test_html_within_a_form():
+    assert html_extract.extract_text(f"<body><form id=f><input>{ARTICLE}</form><form><p>Name<input></p></form></body>") == "A & B\nOne two three four\nNext bold link."
+    assert html_extract.extract_text("<body><form><div><p>One two.</p><p>Three.</p></div></form></body>") == "One two.\nThree."
+    assert html_extract.extract_text("<body><form><label>Search</label><input></form></body>") == ""
+
+
+def test_html_tables(spark):
+    rows = [(1, "<p>one</p>", "x"), (1, "<p>one</p>", "x"), (2, None, "y"), (3, f"<body><p title='{'t' * 200_000}'>two</p>", "z")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    assert sorted(map(tuple, html_extract.extract_pages(df).select("page_id", "text", "n_chars").collect())) == [(1, "one", 3), (1, "one", 3), (2, "", 0), (3, "two", 3)]
+    assert html_extract.extract_pages(df.where("false")).count() == 0
+
+
 def test_html_query(spark, sf):
     rows = QUERIES["op2_html_extract"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
