@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from citeloom.llm import html_extract, langid, piece, quality, tokencount, urlfilter
@@ -219,10 +220,76 @@ def test_language_edges(spark):
     assert langid.identify(df.where("false"), m).count() == 0
 
 
-def test_folding_equals_kernels():
-    """The folded matrix gives what kernels with landmarks and coefficients give."""
-    texts = ["the cat and the dog", "der Hund und die Katze", "a dog", "die Katze"]
-    m = langid.fit(texts, ["en", "de", "en", "de"], landmarks=4)
-    rows = [set(langid.presence(t).tolist()) for t in texts]
-    kernel = [[len(a & b) / (len(a) * len(b)) ** 0.5 for b in rows] for a in rows]
-    assert abs(kernel[0][0] - 1) < 1e-12 and m.predict(texts)[0] == ["en", "de", "en", "de"]
+def test_language_by_exact_kernels():
+    """Scores equal those of kernels of sets of n-grams, with the ridge regression solved for coefficients of landmarks."""
+    rnd = random.Random(8)
+    words = {"en": "the cat and dog over house where with".split(), "de": "der Hund und die Katze über Haus wo".split(), "es": "el gato y la perra sobre casa donde".split()}
+    langs = [rnd.choice(list(words)) for _ in range(40)]
+    texts = [" ".join(rnd.choice(words[n]) for _ in range(rnd.randrange(3, 20))) for n in langs]
+    names, ridge, landmarks = sorted(words), 1e-2, 6
+    m = langid.fit(texts, langs, landmarks=landmarks, ridge=ridge)
+    picked = [t for n in names for t in [t for t, lang in zip(texts, langs, strict=True) if lang == n][: landmarks // 3]]
+
+    def kernels(left, right):
+        grams = [[set(langid.presence(t).tolist()) for t in side] for side in (left, right)]
+        return np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in grams[1]] for a in grams[0]])
+
+    k, own = kernels(texts, picked), kernels(picked, picked)
+    x = np.column_stack([k, np.ones(len(texts))])
+    weight = np.diag([len(texts) / (3 * langs.count(n)) for n in langs])
+    penalty = np.zeros((landmarks + 1, landmarks + 1))
+    penalty[:-1, :-1], penalty[-1, -1] = ridge * len(texts) * own, 1e-9
+    y = np.array([[1.0 if n == lang else -1.0 for n in names] for lang in langs])
+    coef = np.linalg.solve(x.T @ weight @ x + penalty, x.T @ weight @ y)
+    new = ["the dog", "die Katze wo", "perra", "ω", "the gato und", "a " * 3000]
+    z = np.column_stack([kernels(new, picked), np.ones(len(new))]) @ coef
+    p = np.exp(4 * z) / np.exp(4 * z).sum(axis=1, keepdims=True)
+    found, scores = m.predict(new)
+    assert np.allclose(scores, p.max(axis=1), atol=1e-4)
+    assert [f for f, row in zip(found, z, strict=True) if np.ptp(row) > 1e-3] == [names[row.argmax()] for row in z if np.ptp(row) > 1e-3]
+
+
+def test_language_repeated_rows(spark):
+    m = langid.fit(["the cat and the dog", "der Hund und die Katze"], ["en", "de"])
+    df = spark.createDataFrame([(1, "a dog", "x")] * 3 + [(None, "ein Hund", None)], "doc_id long, text string, lang_pred string")
+    assert langid.identify(df, m).groupBy("doc_id", "lang_pred").count().count() == 2 and langid.identify(df, m).count() == 4
+
+
+def test_quality_by_exact_solver():
+    """Log-count ratios counted one by one; dual coordinate descent against projected gradient on the whole dual."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abc XY#") for _ in range(rnd.randrange(1, 25))) for _ in range(14)]
+    y = np.array([1.0, -1.0, -1.0] * 4 + [1.0, -1.0])
+    rows = [quality.buckets(t) for t in texts]
+    assert all(len(set(r.tolist())) == len(r) for r in rows)
+    ratio = quality.log_count_ratio(rows, y, quality.SIZE)
+    pos, neg = ([1 + sum(b in r for r, label in zip(map(set, map(list, rows)), y, strict=True) if label == side) for b in (int(rows[0][0]), int(rows[3][-1]))] for side in (1, -1))
+    total = [quality.SIZE + sum(len(r) for r, label in zip(rows, y, strict=True) if label == side) for side in (1, -1)]
+    want = [math.log(a / total[0]) - math.log(b / total[1]) for a, b in zip(pos, neg, strict=True)]
+    assert np.allclose([ratio[rows[0][0]], ratio[rows[3][-1]]], want)
+
+    x = np.zeros((len(rows), quality.SIZE + 1))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / math.sqrt(len(r))
+    x[:, -1] = 1.0
+    bound = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean())
+    q = (y[:, None] * x) @ (y[:, None] * x).T
+    alpha, step = np.zeros(len(rows)), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(50_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, bound)
+    exact = x.T @ (alpha * y)
+    w, bias = quality.dual_descent(rows, y, ratio, epochs=5000)
+    assert abs(bias - exact[-1]) < 0.02 and np.allclose(w, exact[:-1] * ratio, atol=0.02)
+    margins = quality._margins(rows, w, bias)
+    assert np.allclose(margins, x @ exact, atol=0.05)
+
+
+def test_quality_repeated_and_contradicting_labels(spark):
+    docs = spark.createDataFrame([(i % 6, f"{'good words' if i % 2 else '### junk'} {i}", "x") for i in range(24)], "doc_id long, text string, quality string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)] * 2 + [(0, 1), (1, None), (None, 1), (2, 7)], "doc_id long, quality int")
+    m = quality.train(docs.select("doc_id", "text"), labels)
+    assert m.score("good words 9") > m.score("### junk 9")
+    out = quality.score_texts(docs.unionByName(docs), m)
+    assert out.count() == 48 and out.columns == ["doc_id", "text", "quality", "score"]
+    assert quality.score_texts(docs.where("false"), m).count() == 0
+    assert quality.train(docs.where("false").select("doc_id", "text"), labels.where("false")).score("x") == 0.5
