@@ -179,7 +179,7 @@ class Codec:
         self.odd: set[str] = set()  # words that have pieces which aren't plain, or don't decode to themselves
         self.held = 0
         plain = (NORMAL, USER_DEFINED, UNUSED)
-        self.surface = [p if kind in plain else _ascii_byte(p) if kind == BYTE else None for p, _, kind in self.model.pieces]
+        self.surface = [p if kind in plain else _ascii_byte(p) if kind == BYTE else self.model.unk_surface if kind == UNKNOWN else None for p, _, kind in self.model.pieces]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text. Where words are independent, each different word is encoded once, all new ones in batches."""
@@ -246,14 +246,14 @@ class Codec:
                     self.odd.add(word)
 
     def decode(self, ids: list) -> list[str]:
-        """Lists of plain pieces are joined here; those with other byte, control or unknown pieces go to the library's decoder."""
+        """Lists of plain pieces are joined here; an unknown piece is the model's surface for it; those with other bytes or control pieces go to the library's decoder."""
         out: list[str | None] = []
         for one in ids:
             try:
                 text = "".join(map(self.surface.__getitem__, one.tolist() if isinstance(one, np.ndarray) else one)).replace(MARK, " ")
             except TypeError:
                 text = None
-            out.append(text if text is None or not self.model.add_dummy_prefix else text[1:] if text[:1] == " " else text)
+            out.append(text[1:] if text and text[0] == " " and self.model.add_dummy_prefix and one[0] != self.model.unk_id else text)
         rest = [i for i, t in enumerate(out) if t is None]
         for i, t in zip(rest, self.tokenizer.decode_batch([[int(k) for k in ids[i]] for i in rest], skip_special_tokens=False), strict=True):
             out[i] = t
