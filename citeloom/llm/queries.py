@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import common, decontaminate, html_extract, langid, linededup, neardup, ngramjoin, piece, quality, tokencount, urlfilter
+from citeloom.llm import common, decontaminate, html_extract, langid, linededup, neardup, ngramjoin, periodic, piece, quality, tokencount, topk, turnrepair, urlfilter
 from citeloom.llm.sql import ORACLES
 
 # The four rules of the task, then host words that block a URL which no rule covers.
@@ -87,6 +87,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = turnrepair.damaged(rows)
+    found = common.condensed(lambda: turnrepair.report(damaged, rows))
+    digests = common.materialize(turnrepair.digests(turnrepair.repaired(damaged, found)), turnrepair.ROWS)
+    own = found.join(digests.withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    audit = F.translate("plan", "UAua", "RRII").alias("audit")
+    return own.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", audit, F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.periodic_runs(periodic.with_planted_runs(docs, "doc_id")).withColumn("_best", periodic.strongest())
+    best = [F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.floor(1000 * F.col("_best.length") / F.col("_best.period")).alias("exponent_milli")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli, F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +119,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_html_extract, op3_sentencepiece, op4_token_counts, op5_quality, op6_decontaminate, op7_ngram_join, op8_embedding_neardup, op9_line_dedup, op10_language_id, pipeline)
+    for f in (op1_url_filter, op2_html_extract, op3_sentencepiece, op4_token_counts, op5_quality, op6_decontaminate, op7_ngram_join, op8_embedding_neardup, op9_line_dedup, op10_language_id, op11_topk_search, op12_turn_repair, op13_periodic_runs, pipeline)
 }
 __all__ = ["ORACLES", "QUERIES"]

@@ -78,10 +78,19 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_cut, 0) AS n_cut, C
 FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
+TOPK_SEARCH = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+ok AS MATERIALIZED (SELECT row_number() OVER () AS row_n, vec_id, list_transform(e, lambda x: floor(1024 * x)) AS e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.row_n, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM ok q JOIN ok c ON q.vec_id % 100 = 0 AND q.row_n <> c.row_n),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY row_n ORDER BY score DESC, vec_id NULLS LAST) AS "rank", vec_id, score FROM pairs)
+SELECT query_id, CAST("rank" AS INTEGER) AS "rank", vec_id, score FROM ranked WHERE "rank" <= 10
+"""
+
 ORACLES = {
     "op1_url_filter": URL_FILTER,
     "op6_decontaminate": DECONTAMINATE,
     "op7_ngram_join": NGRAM_JOIN,
     "op8_embedding_neardup": EMBEDDING_NEARDUP,
     "op9_line_dedup": LINE_DEDUP,
+    "op11_topk_search": TOPK_SEARCH,
 }
