@@ -10,6 +10,7 @@ conversation is held as a whole.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -111,7 +112,7 @@ def plans(signatures: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers = walk(s for b in batches for s in b.column(0).to_pylist())
-        while some := [a for a, _ in zip(answers, range(ROWS), strict=False)]:
+        while some := list(itertools.islice(answers, ROWS)):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], names=["signature", "cost", "plan"])
 
     return signatures.select("signature").distinct().orderBy("signature").mapInArrow(run, "signature string, cost bigint, plan string")

@@ -149,7 +149,9 @@ def by_hand(rows):
 COLUMNS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
 
 
-def test_turn_repair_query(compare, spark, tmp_path):
+@pytest.mark.parametrize("batch", [3, 1000])
+def test_turn_repair_query(compare, spark, tmp_path, monkeypatch, batch):
+    monkeypatch.setattr(turnrepair, "ROWS", batch)  # answers come back in many batches too
     rnd, rows = random.Random(2), []
     for conv in [*range(150), None]:
         for turn in range(rnd.choice([1, 2, 5, 9])):
