@@ -1,62 +1,115 @@
-"""Jaro-Winkler similarity, which Spark lacks, as a vectorised function over pairs of columns."""
+"""Jaro-Winkler similarity, which Spark lacks, as a vectorised function, and bounds that spare its computation."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Weight of a common start, its longest length that counts, and the value from which it counts.
+SCALE, PREFIX, BOOST = 0.1, 4, 0.7
+#: Cells of a histogram of characters.
+CELLS = 64
 
-def jaro_winkler(a: str, b: str, scale: float = 0.1, prefix: int = 4, boost: float = 0.7) -> float:
-    """1 for equal texts, 0 if nothing matches; a common start of up to ``prefix`` characters lifts values above ``boost``."""
-    if a == b:
-        return 1.0 if a else 0.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    places: dict[str, list[int]] = {}
-    for j, c in enumerate(b):
-        places.setdefault(c, []).append(j)
-    # within a character's places the first free one in reach is taken, so a pointer per character is enough
-    at = dict.fromkeys(places, 0)
-    taken_a, taken_b = [], []
-    for i, c in enumerate(a):
-        own = places.get(c)
-        if own is None:
-            continue
-        k = at[c]
-        while k < len(own) and own[k] < i - reach:
+
+class Characters:
+    """A text's code points, and their places sorted by character; made once for all pairs that the text is in."""
+
+    def __init__(self, text: str):
+        self.points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.places = np.argsort(self.points, kind="stable")
+        self.kinds, self.first, self.count = np.unique(self.points[self.places], return_index=True, return_counts=True)
+
+
+def _greedy(a: np.ndarray, b: np.ndarray, reach: int) -> tuple[list[int], list[int]]:
+    """Places of one character in both texts that match: each of the first text takes the first free one within reach."""
+    k, own, other = 0, [], []
+    for i in a.tolist():
+        while k < len(b) and b[k] < i - reach:
             k += 1
-        if k < len(own) and own[k] <= i + reach:
-            taken_a.append(c)
-            taken_b.append(own[k])
+        if k < len(b) and b[k] <= i + reach:
+            own.append(i)
+            other.append(int(b[k]))
             k += 1
-        at[c] = k
-    m = len(taken_a)
-    if not m:
+    return own, other
+
+
+def jaro_winkler_of(a: Characters, b: Characters) -> float:
+    """1 for equal texts, 0 if nothing matches; a common start of up to ``PREFIX`` characters lifts values above ``BOOST``.
+
+    Characters match independently of each other. Where the places of a character, taken in pairs from the first on,
+    are all within reach, these pairs are the match; only for the other characters places are taken one by one.
+    """
+    n, m = len(a.points), len(b.points)
+    if n == m and np.array_equal(a.points, b.points):
+        return 1.0 if n else 0.0
+    if not n or not m:
         return 0.0
-    moved = sum(x != b[j] for x, j in zip(taken_a, sorted(taken_b), strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
-    if jaro <= boost:
+    reach = max(max(n, m) // 2 - 1, 0)
+    _, x, y = np.intersect1d(a.kinds, b.kinds, assume_unique=True, return_indices=True)
+    size = np.minimum(a.count[x], b.count[y])
+    ends = np.cumsum(size)
+    if not len(size):
+        return 0.0
+    inner = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    own, other = a.places[np.repeat(a.first[x], size) + inner], b.places[np.repeat(b.first[y], size) + inner]
+    far = np.abs(own - other) > reach
+    if far.any():
+        odd = np.logical_or.reduceat(far, ends - size)
+        keep = np.repeat(~odd, size)
+        pairs = [_greedy(a.places[a.first[i] : a.first[i] + a.count[i]], b.places[b.first[j] : b.first[j] + b.count[j]], reach) for i, j in zip(x[odd], y[odd], strict=True)]
+        own = np.concatenate([own[keep], *(np.array(p[0], dtype=np.int64) for p in pairs)])
+        other = np.concatenate([other[keep], *(np.array(p[1], dtype=np.int64) for p in pairs)])
+    matches = len(own)
+    if not matches:
+        return 0.0
+    moved = int((a.points[np.sort(own)] != b.points[np.sort(other)]).sum()) // 2
+    jaro = (matches / n + matches / m + (matches - moved) / matches) / 3
+    if jaro <= BOOST:
         return jaro
-    same = 0
-    for x, y in zip(a[:prefix], b[:prefix], strict=False):
-        if x != y:
-            break
-        same += 1
-    return jaro + same * scale * (1 - jaro)
+    short = min(PREFIX, n, m)
+    differ = np.flatnonzero(a.points[:short] != b.points[:short])
+    same = int(differ[0]) if len(differ) else short
+    return jaro + same * SCALE * (1 - jaro)
+
 
+def jaro_winkler(a: str, b: str) -> float:
+    return jaro_winkler_of(Characters(a), Characters(b))
 
-def least_length_ratio(least: float, scale: float = 0.1, prefix: int = 4, boost: float = 0.7) -> float:
+
+def least_length_ratio(least: float) -> float:
     """The shorter length over the longer one below which no pair of texts reaches a Jaro-Winkler similarity of ``least``."""
     # at most all of the shorter text matches in order, (ratio + 2) / 3, and the whole prefix is common
-    jaro = max((least - prefix * scale) / (1 - prefix * scale), boost) if least > boost else least
+    jaro = max((least - PREFIX * SCALE) / (1 - PREFIX * SCALE), BOOST) if least > BOOST else least
     return max(3 * jaro - 2 - 1e-9, 0.0)
 
 
+def histogram(text: str) -> np.ndarray:
+    """How many characters of the text fall into each of ``CELLS`` cells, by a hash of the character."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.bincount((points * np.uint32(2654435761)) >> np.uint32(26), minlength=CELLS)
+
+
+def upper_bound(chars1: Column, chars2: Column, cells1: Column, cells2: Column, start1: Column, start2: Column) -> Column:
+    """What the similarity of two texts can't exceed, from their lengths, histograms and first ``PREFIX`` characters; stays in the JVM.
+
+    No more characters match than both histograms have in common, and at best none of them is out of order.
+    """
+    matches = F.aggregate(F.zip_with(cells1, cells2, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    jaro = (matches / F.greatest(chars1, F.lit(1)) + matches / F.greatest(chars2, F.lit(1)) + 1) / 3
+    same = F.lit(0)
+    for k in range(PREFIX, 0, -1):
+        common = (F.length(start1) >= k) & (F.length(start2) >= k) & (F.substring(start1, 1, k) == F.substring(start2, 1, k))
+        same = F.when((same == 0) & common, k).otherwise(same)
+    return F.when(jaro > BOOST, jaro + same * SCALE * (1 - jaro)).otherwise(jaro) + 1e-9
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_column(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Null if either text is null. Pairs that repeat in a batch are computed once."""
+    """Null if either text is null. Pairs that repeat in a batch are computed once, texts are prepared once."""
+    texts: dict[str, Characters] = {}
     known: dict[tuple[str, str], float] = {}
     out = []
     for pair in zip(a, b, strict=True):
@@ -64,6 +117,9 @@ def jaro_winkler_column(a: pd.Series, b: pd.Series) -> pd.Series:
             out.append(None)
             continue
         if pair not in known:
-            known[pair] = jaro_winkler(*pair)
+            for t in pair:
+                if t not in texts:
+                    texts[t] = Characters(t)
+            known[pair] = jaro_winkler_of(texts[pair[0]], texts[pair[1]])
         out.append(known[pair])
     return pd.Series(out, dtype="float64")

@@ -1,118 +1,218 @@
 """Aligning the texts of two snapshots one to one, from the surest evidence to the weakest.
 
-A snapshot is ``(pos, key, citekey, text)`` with ``pos`` the place in the snapshot's order and ``key`` unique.
+A snapshot is ``(pos, key, citekey, text)`` with ``pos`` the place in the snapshot's order and ``key`` unique. Texts are
+known by checksums; they move only where a place inside another text or a similarity has to be decided.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeloom.functions import similarity
 from citeloom.functions import text as tx
-from citeloom.operators import graph
+from citeloom.operators import containment
+from citeloom.operators.containment import contained  # noqa: F401  is part of this module for callers
+from citeloom.operators.joins import fetched
 from citeloom.operators.lineage import materialize
 
 MIN_LENGTH, RADIUS, THRESHOLD = 50, 5, 0.9
 MAPPING = "key1 string, key2 string, stage string"
+#: Places of the later snapshot whose texts a worker holds at once.
+TILE = 128
 
 
 def _unique(df: DataFrame, by: list[str], key: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias(key)).where("_n = 1").drop("_n")
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _cells(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: similarity.histogram(t or "").astype("int32"))
+
+
+def described(df: DataFrame) -> DataFrame:
+    """What the stages need to know of a snapshot besides its texts, in some hundred bytes a row: places, checksums, lengths, histograms."""
+    clip = tx.clip_first_token(F.col("text"))
+    sha = lambda c: F.unhex(F.sha2(c, 256))
+    return df.select(
+        F.col("pos").cast("long").alias("pos"),
+        "key",
+        F.substring_index("key", "_", 1).alias("prefix"),
+        F.lower("citekey").alias("citekey"),
+        sha(F.col("text")).alias("sha"),
+        F.length("text").alias("chars"),
+        F.substring("text", 1, similarity.PREFIX).alias("start"),
+        _cells("text").alias("cells"),
+        sha(clip).alias("clip_sha"),
+    )
+
+
+def _same_text(a: DataFrame, b: DataFrame, min_length: int) -> DataFrame:
+    long = F.col("chars") >= min_length
+    return _unique(a.where(long), ["sha"], "key1").join(_unique(b.where(long), ["sha"], "key2"), "sha").select("key1", "key2", F.lit("text").alias("stage"))
+
+
+def _same_citekey(a: DataFrame, b: DataFrame) -> DataFrame:
+    own = lambda df, k: _unique(df.where("citekey <> ''"), ["citekey", "sha"], k)
+    return own(a, "key1").join(own(b, "key2"), ["citekey", "sha"]).select("key1", "key2", F.lit("citekey").alias("stage"))
+
+
+def _facts(df: DataFrame) -> DataFrame:
+    return df.select("key", F.lower("citekey").alias("citekey"), F.unhex(F.sha2("text", 256)).alias("sha"), F.length("text").alias("chars"))
+
+
 def by_unique_text(one: DataFrame, two: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """Texts of at least ``min_length`` characters that each snapshot has once."""
-    long = F.length("text") >= min_length
-    return _unique(one.where(long), ["text"], "key1").join(_unique(two.where(long), ["text"], "key2"), "text").select("key1", "key2", F.lit("text").alias("stage"))
+    return _same_text(_facts(one), _facts(two), min_length)
 
 
 def by_citekey_and_text(one: DataFrame, two: DataFrame) -> DataFrame:
     """Pairs of citekey (without regard to case) and text that each snapshot has once; citekeys must not be empty."""
-    own = lambda df, k: _unique(df.where(F.coalesce("citekey", F.lit("")) != "").withColumn("citekey", F.lower("citekey")), ["citekey", "text"], k)
-    return own(one, "key1").join(own(two, "key2"), ["citekey", "text"]).select("key1", "key2", F.lit("citekey").alias("stage"))
+    return _same_citekey(_facts(one), _facts(two))
 
 
-def contained(needles: DataFrame, haystacks: DataFrame, min_length: int = MIN_LENGTH, fixed_ends: bool = False) -> DataFrame:
-    """``(needle, haystack)`` for ``(key, text)`` tables: texts that occur inside others, exactly.
+def _containing(one: DataFrame, two: DataFrame, own1: DataFrame, own2: DataFrame, min_length: int) -> DataFrame:
+    """``by_containment`` for the rows ``own(key, sha)`` of snapshots of clipped texts. Equal texts are one, with their number as weight."""
+    rep1, rep2 = materialize(containment.classes(own1)), materialize(containment.classes(own2))
+    there = containment.found_in(containment.asking(one, rep1, min_length), rep2, two, min_length).select(F.col("needle").alias("key1"), F.col("haystack").alias("key2"))
+    back = containment.found_in(containment.asking(two, rep2, min_length), rep1, one, min_length).select(F.col("haystack").alias("key1"), F.col("needle").alias("key2"))
+    links = materialize(there.unionByName(back).distinct())
+    # an end's partners are all members of the classes that it is linked with
+    n1, n2 = rep1.select(F.col("key").alias("key1"), F.col("n").alias("n1")), rep2.select(F.col("key").alias("key2"), F.col("n").alias("n2"))
+    weighed = links.join(n1, "key1").join(n2, "key2")
+    once1 = weighed.groupBy("key1").agg(F.sum("n2").alias("n")).where("n = 1").select("key1")
+    once2 = weighed.groupBy("key2").agg(F.sum("n1").alias("n")).where("n = 1").select("key2")
+    return weighed.where("n1 = 1 and n2 = 1").join(once1, "key1", "left_semi").join(once2, "key2", "left_semi").select("key1", "key2", F.lit("containment").alias("stage"))
 
-    An inverted index replaces the nested loop: a needle asks for the haystacks that have its rarest inner token (its
-    first and last tokens may be parts of longer ones, unless ``fixed_ends``), and only those are searched. Needles
-    without inner tokens, of which a minimum length leaves few, compare with all haystacks.
-    """
-    n = needles.where(F.length("text") >= min_length).select(F.col("key").alias("needle"), F.col("text").alias("nt"))
-    words = F.split("nt", " ")
-    inner = words if fixed_ends else F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    n = n.withColumn("inner", F.array_distinct(inner))
-    h = haystacks.select(F.col("key").alias("haystack"), F.col("text").alias("ht"))
-    postings = h.select("haystack", F.explode(F.array_distinct(F.split("ht", " "))).alias("token"))
-    frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    wanted = n.select("needle", F.explode("inner").alias("token")).join(frequency, "token", "left")
-    # a token that no haystack has rules the needle out: its frequency is 0
-    rarest = wanted.groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("token"))).alias("r")).where("r.df > 0").select("needle", F.col("r.token").alias("token"))
-    found = rarest.join(postings, "token").join(n.select("needle", "nt"), "needle").join(h, "haystack").where(F.col("ht").contains(F.col("nt")))
-    bare = n.where(F.size("inner") == 0).select("needle", "nt").join(h, F.col("ht").contains(F.col("nt")))
-    return found.select("needle", "haystack").unionByName(bare.select("needle", "haystack"))
+
+def _clipped(df: DataFrame) -> DataFrame:
+    return df.where("key is not null and text is not null").select("key", tx.clip_first_token(F.col("text")).alias("text"))
 
 
 def by_containment(one: DataFrame, two: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """Texts without their first token that contain one another, either way, where neither end has a second partner."""
-    clip = lambda df: df.select("key", tx.clip_first_token(F.col("text")).alias("text"))
-    a, b = clip(one), clip(two)
-    there = contained(a, b, min_length).select(F.col("needle").alias("key1"), F.col("haystack").alias("key2"))
-    back = contained(b, a, min_length).select(F.col("haystack").alias("key1"), F.col("needle").alias("key2"))
-    return graph.one_to_one(there.unionByName(back), "key1", "key2").select("key1", "key2", F.lit("containment").alias("stage"))
+    a, b = _clipped(one), _clipped(two)
+    return _containing(a, b, materialize(containment.digested(a)), materialize(containment.digested(b)), min_length)
 
 
 def _left(df: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
     return df.join(mapping.select(F.col(key).alias("key")), "key", "left_anti")
 
 
-def by_neighbours(one: DataFrame, two: DataFrame, mapping: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
-    """Texts near the partner of a neighbour and more alike than ``threshold``, in rounds until none is found.
+def similarities(pairs: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
+    """``(key1, key2, sim)`` for written ``pairs(key1, key2, at2)``, with the texts of ``one(key, text)`` and ``two(key, text)``.
 
-    A candidate lies within ``radius`` places of the image of a mapped neighbour and has the same key prefix. A round
-    takes every text's best candidate (by similarity, then places) and, where several want one text, the best of those.
-    Only the pairs of the round before ask for candidates; those of earlier rounds that are alike and still free wait.
+    Pairs are dealt by ``at2`` into tiles of neighbouring places. A text goes once to every tile that needs it, and a
+    worker holds the later texts of one tile, prepared once, while the earlier ones pass by.
     """
-    prefix = F.substring_index("key", "_", 1)
-    a = one.select("pos", "key", prefix.alias("prefix"), "text")
-    b = two.select("pos", "key", prefix.alias("prefix"), "text")
+    at = F.floor(F.col("at2") / TILE).alias("tile")
+    wanted2 = materialize(pairs.select(at, F.col("key2").alias("key")).distinct())
+    wanted1 = materialize(pairs.groupBy(at, F.col("key1").alias("key")).agg(F.concat_ws("\n", F.collect_set("key2")).alias("partners")))
+    held = fetched(two.select("key", "text"), wanted2, "key").select("tile", F.lit(None).cast("string").alias("partners"), "key", "text")
+    asks = fetched(one.select("key", "text"), wanted1, "key").select("tile", "partners", "key", "text")
+    rows = held.unionByName(asks).repartition("tile").sortWithinPartitions("tile", F.col("partners").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, texts = None, {}
+        for batch in batches:
+            out = []
+            for here, partners, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here != tile:
+                    tile, texts = here, {}
+                own = similarity.Characters(text)
+                if partners is None:
+                    texts[key] = own
+                else:
+                    out += [(key, other, similarity.jaro_winkler_of(own, texts[other])) for other in partners.split("\n")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["key1", "key2", "sim"])
+
+    return rows.mapInArrow(run, "key1 string, key2 string, sim double")
+
+
+def _by_neighbours(one: DataFrame, two: DataFrame, a: DataFrame, b: DataFrame, mapping: DataFrame, radius: int, threshold: float) -> DataFrame:
+    """``by_neighbours`` with the written descriptions ``a`` and ``b`` of the snapshots; only their rows move, but for texts of pairs that the bounds left."""
+    about = ["pos", "prefix", "key", "sha", "chars", "start", "cells"]
+    left_a, left_b = (materialize(_left(df.select(*about), mapping, k)) for df, k in ((a, "key1"), (b, "key2")))
     near = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
     ratio = similarity.least_length_ratio(threshold)
-    known = new = mapping.select("key1", "key2", "stage")
-    waiting = None
+    new, found = mapping.select("key1", "key2", "stage"), new_rows(one)
+    waiting, scores = None, None
     while True:
-        placed = new.join(a.select(F.col("key").alias("key1"), F.col("pos").alias("p1"), F.col("prefix").alias("x1")), "key1").join(b.select(F.col("key").alias("key2"), F.col("pos").alias("p2"), F.col("prefix").alias("x2")), "key2")
-        left_a, left_b = _left(a, known, "key1"), _left(b, known, "key2")
-        asks = placed.select("p1", "x1", "p2", "x2", near.alias("d")).select((F.col("p1") + F.col("d")).alias("pos"), F.col("x1").alias("prefix"), "p2", "x2")
-        asks = asks.join(left_a.select("pos", "prefix", F.col("key").alias("key1"), F.col("text").alias("t1")), ["pos", "prefix"]).select("key1", "t1", F.col("pos").alias("at1"), "p2", F.col("x2").alias("prefix"))
-        asks = asks.select("key1", "t1", "at1", "prefix", near.alias("d"), "p2").select("key1", "t1", "at1", "prefix", (F.col("p2") + F.col("d")).alias("pos")).distinct()
-        pairs = asks.join(left_b.select("pos", "prefix", F.col("key").alias("key2"), F.col("text").alias("t2")), ["pos", "prefix"]).where("t2 <> ''").select("key1", "at1", "key2", F.col("pos").alias("at2"), "t1", "t2").distinct()
-        # a similarity can't pass the threshold when the lengths are too far apart, which spares many comparisons
-        pairs = pairs.where(F.least(F.length("t1"), F.length("t2")) >= F.greatest(F.length("t1"), F.length("t2")) * ratio)
-        scored = pairs.withColumn("sim", similarity.jaro_winkler_column("t1", "t2")).where(F.col("sim") > threshold).select("key1", "at1", "key2", "at2", "sim")
+        placed = new.join(a.select(F.col("key").alias("key1"), F.col("pos").alias("p1"), F.col("prefix").alias("x1")), "key1").join(b.select(F.col("key").alias("key2"), F.col("pos").alias("p2"), F.col("prefix").alias("x2")), "key2").select("p1", "x1", "p2", "x2")
+        free_a, free_b = _left(left_a, found, "key1"), _left(left_b, found, "key2")
+        # places first: which free unit may look around which place of the later snapshot
+        around = free_a.select("pos", F.col("prefix").alias("x1"), F.col("key").alias("key1"), near.alias("d")).withColumn("p1", F.col("pos") + F.col("d"))
+        asks = around.join(placed, ["p1", "x1"]).select("key1", F.col("x2").alias("prefix"), near.alias("d"), "p2").select("key1", "prefix", (F.col("p2") + F.col("d")).alias("pos")).distinct()
+        named = lambda df, i: df.select(*(F.col(c).alias(f"{c}{i}") for c in about))
+        pairs = asks.join(free_b.where("chars > 0").select("pos", "prefix", F.col("key").alias("key2")), ["pos", "prefix"]).select("key1", "key2").distinct()
+        pairs = pairs.join(named(free_a, 1), "key1").join(named(free_b, 2), "key2")
+        # then what lengths, starts and histograms rule out
+        possible = (F.least("chars1", "chars2") >= F.greatest("chars1", "chars2") * ratio) & (similarity.upper_bound(F.col("chars1"), F.col("chars2"), F.col("cells1"), F.col("cells2"), F.col("start1"), F.col("start2")) > threshold)
+        same = F.col("sha1") == F.col("sha2")
+        pairs = materialize(pairs.where(same | possible).select("key1", F.col("pos1").alias("at1"), "key2", F.col("pos2").alias("at2"), "sha1", "sha2"))
+        missing = pairs.where(~same)
+        if scores is not None:
+            missing = missing.join(scores, ["sha1", "sha2"], "left_anti")
+        missing = materialize(missing.groupBy("sha1", "sha2").agg(F.min(F.struct("key1", "key2", "at2")).alias("m")).select("sha1", "sha2", "m.*"))
+        if not missing.isEmpty():
+            made = materialize(similarities(missing, one, two).join(missing, ["key1", "key2"]).select("sha1", "sha2", "sim"), containment.TEXTS)
+            scores = made if scores is None else scores.unionByName(made)
+        scored = pairs.where(same).withColumn("sim", F.lit(1.0))
+        if scores is not None:
+            scored = scored.unionByName(pairs.where(~same).join(scores, ["sha1", "sha2"]).select(*scored.columns))
+        scored = scored.where(F.col("sim") > threshold).select("key1", "at1", "key2", "at2", "sim")
         if waiting is not None:
-            free = waiting.join(new.select("key1"), "key1", "left_anti").join(new.select("key2"), "key2", "left_anti")
-            scored = scored.unionByName(free).distinct()
+            scored = scored.unionByName(waiting.join(new.select("key1"), "key1", "left_anti").join(new.select("key2"), "key2", "left_anti")).distinct()
         waiting = materialize(scored)
         best = waiting.groupBy("key1").agg(F.max_by(F.struct("key2", "at1", "at2", "sim"), F.struct("sim", -F.col("at2"))).alias("x")).select("key1", "x.*")
-        new = best.groupBy("key2").agg(F.max_by("key1", F.struct("sim", -F.col("at1"))).alias("key1")).select("key1", "key2", F.lit("neighbours").alias("stage"))
-        new = materialize(new)
+        new = materialize(best.groupBy("key2").agg(F.max_by("key1", F.struct("sim", -F.col("at1"))).alias("key1")).select("key1", "key2", F.lit("neighbours").alias("stage")))
         if new.isEmpty():
-            return known.join(mapping.select("key1"), "key1", "left_anti")
-        known = materialize(known.unionByName(new))
+            return found
+        found = found.unionByName(new)
+
+
+def new_rows(df: DataFrame) -> DataFrame:
+    """An empty mapping."""
+    return df.sparkSession.createDataFrame([], MAPPING)
+
+
+def by_neighbours(one: DataFrame, two: DataFrame, mapping: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
+    """Texts near the partner of a neighbour and more alike than ``threshold``, in rounds until none is found.
+
+    A candidate lies within ``radius`` places of the image of a mapped neighbour and has the same key prefix. A round
+    takes every text's best candidate (by similarity, then places) and, where several want one text, the best of those.
+    Only the pairs of the round before ask for candidates; those of earlier rounds that are alike and still free wait.
+    Similarities are kept by the checksums of both texts; a pair that lengths, common starts or histograms of
+    characters rule out is never computed, and texts of the others are fetched once.
+    """
+    a, b = (materialize(described(df), containment.TEXTS) for df in (one, two))
+    return _by_neighbours(one, two, a, b, materialize(mapping.select("key1", "key2", "stage")), radius, threshold)
 
 
 def align(one: DataFrame, two: DataFrame, min_length: int = MIN_LENGTH, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
-    """``(key1, key2, stage)``: all four stages, each on what the earlier ones left. The mapping is one to one."""
-    done = materialize(by_unique_text(one, two, min_length))
-    for stage in (by_citekey_and_text, lambda x, y: by_containment(x, y, min_length)):
-        done = materialize(done.unionByName(stage(_left(one, done, "key1"), _left(two, done, "key2"))))
-    return done.unionByName(by_neighbours(one, two, done, radius, threshold))
+    """``(key1, key2, stage)``: all four stages, each on what the earlier ones left. The mapping is one to one.
+
+    Snapshots are read several times and should be cheap to read (tables, column functions). Null keys and texts take
+    no part; an empty snapshot maps nothing.
+    """
+    one, two = (df.where("key is not null and text is not null") for df in (one, two))
+    a, b = (materialize(described(df), containment.TEXTS) for df in (one, two))
+    done = materialize(_same_text(a, b, min_length))
+    done = materialize(done.unionByName(_same_citekey(_left(a, done, "key1"), _left(b, done, "key2"))))
+    own = lambda df, key: materialize(_left(df.select("key", F.col("clip_sha").alias("sha")), done, key))
+    done = materialize(done.unionByName(_containing(_clipped(one), _clipped(two), own(a, "key1"), own(b, "key2"), min_length)))
+    return done.unionByName(_by_neighbours(one, two, a, b, done, radius, threshold))
 
 
 def progress(mapping: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
-    """Share of the smaller snapshot that is mapped."""
-    n = mapping.agg(F.count(F.lit(1)).alias("n")).crossJoin(one.agg(F.count(F.lit(1)).alias("n1"))).crossJoin(two.agg(F.count(F.lit(1)).alias("n2")))
-    return n.select("n", (F.col("n") / F.least("n1", "n2")).alias("share"))
+    """How many units are mapped by every stage, and which share of the smaller snapshot all of them are: ``(stage, n, share)``."""
+    least = one.agg(F.count(F.lit(1)).alias("n1")).join(two.agg(F.count(F.lit(1)).alias("n2"))).select(F.least("n1", "n2").alias("least"))
+    each = mapping.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    every = mapping.agg(F.lit("all").alias("stage"), F.count(F.lit(1)).alias("n"))
+    return each.unionByName(every).join(F.broadcast(least)).select("stage", "n", (F.col("n") / F.col("least")).alias("share"))

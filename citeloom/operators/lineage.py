@@ -55,6 +55,12 @@ def materialize(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def prepared(df: DataFrame) -> DataFrame:
+    """``df`` written, for what reads it several times; rows are dealt out first only where the input has fewer parts than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return materialize(df.repartition(cores) if df.rdd.getNumPartitions() < cores else df)
+
+
 @contextlib.contextmanager
 def scope(name: str) -> Iterator[None]:
     """Tables that are cut inside belong to ``name`` and go with ``release(name)``."""

@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import citations, german, similarity
 from citeloom.functions import text as tx
-from citeloom.operators import alignment, graph, lookup, ordered, temporal
+from citeloom.operators import alignment, graph, lineage, lookup, ordered, temporal
 from citeloom.plans import documents  # noqa: F401  registers its queries
 from citeloom.plans.base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
-def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def sides(spark: SparkSession, sf_dir: str, prepared: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents as two snapshots: place, key, citekey, normalised text. In the later one English texts have lost their
-    last word, French ones have gained one, Spanish ones have another first word, German ones are the same."""
+    last word, French ones have gained one, Spanish ones have another first word, German ones are the same.
+    ``prepared`` writes the normalised texts first, for what reads them several times."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("citekey"), tx.normalise(F.col("text")).alias("text"))
+    d = lineage.prepared(d) if prepared else d
     later = F.when(F.col("lang") == "en", F.regexp_replace("text", " [^ ]*$", "")).when(F.col("lang") == "fr", F.concat("text", F.lit(" fin"))).when(F.col("lang") == "es", F.concat(F.lit("cambio "), tx.clip_first_token(F.col("text")))).otherwise(F.col("text"))
     side = lambda name, text: d.select(F.col("doc_id").alias("pos"), F.concat(F.lit(name), F.col("doc_id").cast("string")).alias("key"), "citekey", text.alias("text"))
     return side("x_", F.col("text")), side("x_", later)
@@ -413,18 +415,39 @@ p AS (SELECT x.key AS key1, y.key AS key2 FROM clip x JOIN clip y ON x.s = 1 AND
 SELECT key1, key2, 'containment' AS stage FROM p WHERE key1 IN (SELECT key1 FROM p GROUP BY key1 HAVING count(*) = 1) AND key2 IN (SELECT key2 FROM p GROUP BY key2 HAVING count(*) = 1)"""
 )
 def align_containment(spark, sf_dir):
-    return alignment.by_containment(*sides(spark, sf_dir))
+    return alignment.by_containment(*sides(spark, sf_dir, prepared=True))
 
 
 @query(f"WITH {_SIDES} SELECT a.key AS needle, b.key AS haystack FROM a JOIN b ON length(a.text) >= 50 AND contains(b.text, a.text)")
 def containment_join(spark, sf_dir):
-    a, b = sides(spark, sf_dir)
+    a, b = sides(spark, sf_dir, prepared=True)
     return alignment.contained(a, b)
 
 
-@query()
+# similarity of bytes is that of characters if every letter is one byte: those that the texts have beyond ASCII become capitals, which they lack
+_LETTERS = "translate({}, 'àâäçèéêëîïôöùûüßñóíáúœæ', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+# the stages one after another; then rounds, each of which sees all that is mapped so far (recurring.m)
+_ALIGNED = rf"""WITH RECURSIVE {_SIDES}, u AS MATERIALIZED (SELECT key, citekey, text, CAST(substr(key, 3) AS BIGINT) AS pos FROM a), v AS MATERIALIZED (SELECT key, citekey, text, CAST(substr(key, 3) AS BIGINT) AS pos FROM b),
+s1 AS MATERIALIZED (SELECT key1, key2, 'text' AS stage FROM (SELECT text, min(key) AS key1 FROM u WHERE length(text) >= 50 GROUP BY text HAVING count(*) = 1) JOIN (SELECT text, min(key) AS key2 FROM v WHERE length(text) >= 50 GROUP BY text HAVING count(*) = 1) USING (text)),
+s2 AS MATERIALIZED (SELECT key1, key2, 'citekey' AS stage FROM (SELECT lower(citekey) AS c, text, min(key) AS key1 FROM u WHERE citekey <> '' AND key NOT IN (SELECT key1 FROM s1) GROUP BY ALL HAVING count(*) = 1)
+  JOIN (SELECT lower(citekey) AS c, text, min(key) AS key2 FROM v WHERE citekey <> '' AND key NOT IN (SELECT key2 FROM s1) GROUP BY ALL HAVING count(*) = 1) USING (c, text)),
+m2 AS MATERIALIZED (SELECT * FROM s1 UNION ALL SELECT * FROM s2),
+cu AS (SELECT key, regexp_replace(text, '^[^ ]* ', '') AS text FROM u WHERE key NOT IN (SELECT key1 FROM m2)), cv AS (SELECT key, regexp_replace(text, '^[^ ]* ', '') AS text FROM v WHERE key NOT IN (SELECT key2 FROM m2)),
+p AS MATERIALIZED (SELECT x.key AS key1, y.key AS key2 FROM cu x JOIN cv y ON (length(x.text) >= 50 AND contains(y.text, x.text)) OR (length(y.text) >= 50 AND contains(x.text, y.text))),
+m3 AS MATERIALIZED (SELECT * FROM m2 UNION ALL SELECT key1, key2, 'containment' FROM p WHERE key1 IN (SELECT key1 FROM p GROUP BY key1 HAVING count(*) = 1) AND key2 IN (SELECT key2 FROM p GROUP BY key2 HAVING count(*) = 1)),
+free1 AS MATERIALIZED (SELECT key AS key1, pos AS at1, text AS t1, {_LETTERS.format("text")} AS l1 FROM u WHERE key NOT IN (SELECT key1 FROM m3)), free2 AS MATERIALIZED (SELECT key AS key2, pos AS at2, text AS t2, {_LETTERS.format("text")} AS l2 FROM v WHERE text <> '' AND key NOT IN (SELECT key2 FROM m3)),
+m(key1, key2, stage) USING KEY (key1) AS (SELECT * FROM m3 UNION SELECT w.key1, w.key2, 'neighbours' FROM (
+  SELECT z.key2 AS key2, arg_max(key1, (z.sim, -z.at1)) AS key1 FROM (SELECT key1, arg_max(struct_pack(key2 := key2, at1 := at1, sim := sim), (sim, -at2)) AS z FROM (
+    SELECT key1, at1, key2, at2, CASE WHEN t1 = t2 THEN 1.0 ELSE jaro_winkler_similarity(l1, l2) END AS sim FROM (
+      SELECT DISTINCT key1, key2 FROM (SELECT CAST(substr(key1, 3) AS BIGINT) AS p1, CAST(substr(key2, 3) AS BIGINT) AS p2 FROM recurring.m) k JOIN free1 x ON abs(p1 - at1) <= 5 JOIN free2 y ON abs(p2 - at2) <= 5
+      WHERE key1 NOT IN (SELECT key1 FROM recurring.m) AND key2 NOT IN (SELECT key2 FROM recurring.m)) JOIN free1 USING (key1) JOIN free2 USING (key2)
+    WHERE length(t1) >= 0.49 * length(t2) AND length(t2) >= 0.49 * length(t1)) WHERE sim > 0.9 GROUP BY key1) GROUP BY z.key2) w WHERE EXISTS (SELECT 1 FROM m))
+SELECT key1, key2, stage FROM m"""
+
+
+@query(_ALIGNED)
 def align_snapshots(spark, sf_dir):
-    return alignment.align(*sides(spark, sf_dir))
+    return alignment.align(*sides(spark, sf_dir, prepared=True))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
