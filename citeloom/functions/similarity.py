@@ -92,6 +92,12 @@ def histogram(text: str) -> np.ndarray:
     return np.bincount((points * np.uint32(2654435761)) >> np.uint32(26), minlength=CELLS)
 
 
+def bound_of(n: int, m: int, matches: int) -> float:
+    """What texts of ``n`` and ``m`` characters with at most so many matches can't exceed, with the longest common start."""
+    jaro = (matches / max(n, 1) + matches / max(m, 1) + 1) / 3
+    return (jaro + PREFIX * SCALE * (1 - jaro) if jaro > BOOST else jaro) + 1e-9
+
+
 def upper_bound(chars1: Column, chars2: Column, cells1: Column, cells2: Column, start1: Column, start2: Column) -> Column:
     """What the similarity of two texts can't exceed, from their lengths, histograms and first ``PREFIX`` characters; stays in the JVM.
 

@@ -105,3 +105,23 @@ def one_to_one(pairs: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     d = pairs.select(u, v).distinct()
     once = lambda c: d.groupBy(c).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select(c)
     return d.join(once(u), u, "left_semi").join(once(v), v, "left_semi").select(u, v)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of an undirected graph of ``edges(a, b)`` of longs: the smallest node that can be reached.
+
+    Large-star and small-star steps in turn (Kiveris et al. 2014), so a chain of n nodes takes some log n rounds. A step is
+    a minimum a node and a join back; no component is gathered. Nodes without a link to another one are not returned.
+    """
+    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
+        ends = e.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        # settled: every larger end has one link, and is nobody's smaller end
+        if not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").take(1):
+            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = materialize(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())

@@ -43,9 +43,9 @@ def sifted(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return asked.join(F.broadcast(made), "_bucket").where(F.getbit(byte, F.expr("cast(_at % 8 as int)")) == 1).drop("_bucket", "_at", "_bits")
 
 
-def fetched(rows: DataFrame, other: DataFrame, column: str) -> DataFrame:
-    """``rows`` joined with a written table by one column; broadcast if its bytes are few, else ``rows`` are sifted before both are shuffled."""
-    if few_bytes(other):
+def fetched(rows: DataFrame, other: DataFrame, column: str, few: bool | None = None) -> DataFrame:
+    """``rows`` joined with a written table by one column; broadcast if its bytes are few (checked here, if not before), else ``rows`` are sifted before both are shuffled."""
+    if few_bytes(other) if few is None else few:
         return rows.join(F.broadcast(other), column)
     return sifted(rows, other, column).join(other.hint("shuffle_merge"), column)
 

@@ -116,8 +116,9 @@ def by_queue(one, two, mapping, radius, threshold):
     return done
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_rounds_against_a_queue(spark, seed):
+@pytest.mark.parametrize(("seed", "chars"), [(1, 20_000_000), (2, 20_000_000), (1, 0), (2, 3_000)])
+def test_rounds_against_a_queue(spark, monkeypatch, seed, chars):
+    monkeypatch.setattr(alignment, "ISLAND_CHARS", chars)  # on islands, in rounds over all tasks, and some each way
     rnd = random.Random(seed)
     words = [f"{rnd.randrange(36**6):x}" for _ in range(600)]
     old = [(f"l{i // 60}_{i:03d}", " ".join(rnd.choice(words) for _ in range(rnd.randint(8, 25)))) for i in range(180)]
