@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,22 +70,23 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """``(key, ancestor, distance)`` of every node, itself at 0. Rounds join one level up until no node is left.
+    """``(key, ancestor, distance)`` of every node, itself at 0, by jumps that double.
 
-    Rounds are written, so deep trees make no deep plans. A node that is its own ancestor is an error.
+    A round knows the ancestors up to a distance and the one at just that distance; put together they reach twice as
+    far. So a tree of n levels takes the logarithm of n rounds, each of which is written. A node that is its own
+    ancestor is an error.
     """
-    step = materialize(nodes.select(F.col("key").alias("k"), F.nullif(F.col("parent_key"), F.lit("")).alias("p")))
-    front = nodes.select("key", F.col("key").alias("ancestor"), F.lit(0).alias("distance"))
-    out, d = [front], 0
-    while True:
-        d += 1
-        front = materialize(front.join(step, front["ancestor"] == step["k"]).where("p is not null").select("key", F.col("p").alias("ancestor"), F.lit(d).alias("distance")))
-        if front.isEmpty():
-            break
-        if not front.where("key = ancestor").isEmpty():
+    jump = materialize(nodes.where("coalesce(parent_key, '') <> ''").select("key", F.col("parent_key").alias("to")))
+    known, reach = nodes.select("key", F.col("key").alias("ancestor"), F.lit(0).alias("distance")), 1
+    while jump.take(1):
+        far = known.join(jump.select(F.col("key").alias("ancestor"), "to"), "ancestor").select("key", F.col("to").alias("ancestor"), (F.col("distance") + reach).alias("distance"))
+        far = materialize(far)
+        if far.where("key = ancestor").take(1):
             raise ValueError("a node is its own ancestor")
-        out.append(front)
-    return functools.reduce(DataFrame.unionByName, out)
+        known = known.unionByName(far)
+        jump = materialize(jump.join(jump.select(F.col("key").alias("to"), F.col("to").alias("next")), "to").select("key", F.col("next").alias("to")))
+        reach *= 2
+    return known
 
 
 def decision_references(refs: DataFrame, closure: DataFrame) -> DataFrame:

@@ -2,26 +2,91 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from citeloom.operators.joins import few_bytes
 from citeloom.operators.lineage import materialize
 
+_NONE = object()
+
 
 def parents_by_level(df: DataFrame, group: str, pos: str, level: str, key: str) -> DataFrame:
-    """``parent_key``: the last earlier row of the group with a smaller level.
+    """``parent_key``: the last earlier row of the group with a smaller level; any number of levels, groups of any length.
 
-    Levels are few, so the latest key of every level is kept as rows go by; one sort, no self-join.
+    Rows are sorted by ranges of group and place, so a long group lies in many parts. A part keeps the rows that are still
+    open, one a level at most, on a stack, and gives back what is on it for each group's end. These ends, a few rows a
+    part, are put together in the order of parts; what a part lacks it takes from the stack of the parts before it.
+    Rows without a level have no parent and are none. Null groups are one group; an empty table gives no rows.
     """
-    top = df.agg(F.max(level)).first()[0]
-    w = Window.partitionBy(group).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    latest = [F.max(F.when(F.col(level) == i, F.struct(F.col(pos).alias("p"), F.col(key).alias("k")))).over(w) for i in range(0, (top or 0))]
-    if not latest:
-        return df.withColumn("parent_key", F.lit(None).cast(df.schema[key].dataType))
-    marked = df.select("*", *(c.alias(f"_l{i}") for i, c in enumerate(latest)))
-    best = F.greatest(*(F.when(F.col(level) > i, F.col(f"_l{i}")) for i in range(len(latest))), F.lit(None).cast(marked.schema["_l0"].dataType))
-    return marked.withColumn("parent_key", best["k"]).drop(*(f"_l{i}" for i in range(len(latest))))
+    names = df.columns
+    schema = T.StructType([*df.schema, T.StructField("_part", T.IntegerType()), T.StructField("parent_key", df.schema[key].dataType), T.StructField("_state", T.IntegerType())])
+    at_group, at_level, at_key = (names.index(c) for c in (group, level, key))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, current, stack, kinds = TaskContext.get().partitionId(), _NONE, [], None
+
+        def ends() -> pa.RecordBatch:
+            held = {at_group: [current] * len(stack), at_level: [s[0] for s in stack], at_key: [s[1] for s in stack]}
+            columns = [pa.array(held[i], t) if i in held else pa.nulls(len(stack), t) for i, t in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(stack), pa.int32()), pa.nulls(len(stack), kinds[at_key]), pa.array([2] * len(stack), pa.int32())], names=schema.names)
+
+        for batch in batches:
+            kinds = [f.type for f in batch.schema]
+            parents, states = [], []
+            for g, v, k in zip(*(batch.column(i).to_pylist() for i in (at_group, at_level, at_key)), strict=True):
+                if g != current or current is _NONE:
+                    if stack:
+                        yield ends()
+                    current, stack = g, []
+                if v is None:
+                    parents.append(None)
+                    states.append(0)
+                    continue
+                while stack and stack[-1][0] >= v:
+                    stack.pop()
+                parents.append(stack[-1][1] if stack else None)
+                states.append(0 if stack else 1)
+                stack.append((v, k))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(parents), pa.int32()), pa.array(parents, kinds[at_key]), pa.array(states, pa.int32())], names=schema.names)
+        if stack:
+            yield ends()
+
+    held = materialize(df.orderBy(group, pos).mapInArrow(nearest, schema))
+    g, v, k = (df.schema[c].dataType for c in (group, level, key))
+    before_schema = T.StructType([T.StructField("_g", g), T.StructField("_part", T.IntegerType()), T.StructField("_v", v), T.StructField("_k", k)])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, stack, part, out = _NONE, [], None, []
+        for batch in batches:
+            out, kinds = [], [batch.schema.field(i).type for i in (0, 2, 3)]
+            for g, p, v, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != current or current is _NONE:
+                    current, stack, part = g, [], p
+                elif p != part:
+                    out += [(g, p, *s) for s in stack]
+                    part = p
+                while stack and stack[-1][0] >= v:
+                    stack.pop()
+                stack.append((v, k))
+            types = (kinds[0], pa.int32(), kinds[1], kinds[2])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=before_schema.names)
+
+    stacks = held.where("_state = 2").select(F.col(group).alias("_g"), "_part", F.col(level).alias("_v"), F.col(key).alias("_k"))
+    before = stacks.repartition("_g").sortWithinPartitions("_g", "_part", "_v").mapInArrow(joined, before_schema)
+    open_rows = held.where("_state = 1").select(F.col(group).alias("_g"), "_part", F.col(level).alias("_level")).distinct()
+    found = open_rows.alias("o").join(before.alias("b"), F.col("o._g").eqNullSafe(F.col("b._g")) & (F.col("o._part") == F.col("b._part"))).where("_v < _level")
+    found = materialize(found.groupBy("o._g", "o._part", "_level").agg(F.max_by("_k", "_v").alias("_found")).select("_g", F.col("_part").alias("_p"), "_level", "_found"))
+    rows = held.where("_state < 2")
+    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")) & (F.col(level) == F.col("_level")) & (F.col("_state") == 1)
+    small = F.broadcast(found) if few_bytes(found) else found
+    return rows.join(small, same, "left").select(*names, F.coalesce("parent_key", "_found").alias("parent_key"))
 
 
 def neighbours(df: DataFrame, group: str, pos: str, key: str, radius: int = 5, prefix: Column | None = None) -> DataFrame:

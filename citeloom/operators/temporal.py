@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citeloom.operators.lineage import materialize
+
+#: Rows of a key that one task sorts.
+HOT_ROWS = 1_000_000
+
 
 def valid_at(dates: DataFrame, versions: DataFrame, at: str, begin: str, end: str, bucket: Column | None = None, bucket_of=None) -> DataFrame:
     """``dates`` with the versions whose interval, both ends included, holds them.
@@ -26,20 +33,39 @@ def several_versions(chosen: DataFrame, at: str, law: str) -> DataFrame:
     return chosen.groupBy(at, law).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, since: str, value: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, since: str, value: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every row of ``left`` with ``value`` of the latest row of ``right`` at or before it, per key; null if there is none.
 
     One shuffle by key and one sort: both sides are united, and the last value seen is carried forward. Of rows of
-    ``right`` at the same time the largest value counts. Keys that hold very many rows stay in one sorted task.
+    ``right`` at the same time the largest value counts. Keys of more than ``hot_rows`` rows are split over tasks: they are
+    sorted by ranges of key and time, every part carries its own values forward, and what a part's first rows lack is the last
+    value of the parts before it. Rows with a null key or time find nothing.
     """
     cols = left.columns
     a = left.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*cols).alias("_row"), F.lit(None).cast(right.select(F.struct(*value)).schema[0].dataType).alias("_v"))
-    b = right.select(F.col(key).alias("_k"), F.col(since).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*cols)).schema[0].dataType).alias("_row"), F.struct(*value).alias("_v"))
-    seen = Window.partitionBy("_k").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("_last", F.last("_v", ignorenulls=True).over(seen)).where("_side = 1")
+    b = right.where(F.col(key).isNotNull() & F.col(since).isNotNull()).select(F.col(key).alias("_k"), F.col(since).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*cols)).schema[0].dataType).alias("_row"), F.struct(*value).alias("_v"))
+    both = a.unionByName(b)
+    order = ["_t", "_side", "_v"]
+    hot = materialize(both.where("_k is not null").groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select("_k"))
+    seen = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = [both.join(F.broadcast(hot), "_k", "left_anti").withColumn("_last", F.last("_v", ignorenulls=True).over(seen))]
+    if hot.take(1):  # these are as many as the rows over hot_rows at most
+        parts.append(_last_by_parts(both.join(F.broadcast(hot), "_k", "left_semi"), order))
+    out = functools.reduce(DataFrame.unionByName, (p.where("_side = 1").select("_row", "_last") for p in parts))
     return out.select("_row.*", *(F.col("_last")[c].alias(c) for c in value))
 
 
+def _last_by_parts(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``_last``, the last ``_v`` of the key up to each row, by ranges of the sorted rows; no key is gathered, only one row a key and part is."""
+    held = materialize(rows.orderBy("_k", *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", "_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = held.groupBy("_part", "_k").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_end"))
+    before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).select("_part", "_k", "_carry")
+    own = held.withColumn("_own", F.last("_v", ignorenulls=True).over(inside))
+    return own.join(carried, ["_part", "_k"]).withColumn("_last", F.coalesce("_own", "_carry"))
+
+
 def missing_strictly(latest: DataFrame, at: str, value: str) -> DataFrame:
     """Rows without any earlier value, which callers treat as errors."""
     return latest.where(F.col(value).isNull())

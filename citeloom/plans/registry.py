@@ -250,6 +250,19 @@ def latest_before(spark, sf_dir):
     return temporal.as_of(left, right, "l_suppkey", "l_shipdate", "since", ["since"])
 
 
+# nine rows of ten have one key, which is split over tasks
+@query(
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, CASE WHEN l_partkey % 10 = 0 THEN l_suppkey ELSE -1 END AS k FROM lineitem),
+r AS (SELECT CASE WHEN l_partkey % 10 = 0 THEN l_suppkey ELSE -1 END AS k, l_shipdate AS since, max(l_orderkey) AS latest FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1 GROUP BY ALL)
+SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate, l.k, r.since, r.latest FROM l ASOF LEFT JOIN r ON l.k = r.k AND l.l_shipdate >= r.since"""
+)
+def latest_before_in_hot_keys(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("k", F.when(F.col("l_partkey") % 10 == 0, F.col("l_suppkey")).otherwise(-1))
+    left = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "k")
+    right = li.where("l_returnflag = 'R' and l_linenumber = 1").groupBy("k", F.col("l_shipdate").alias("since")).agg(F.max("l_orderkey").alias("latest"))
+    return temporal.as_of(left, right, "k", "l_shipdate", "since", ["since", "latest"], hot_rows=2_000)
+
+
 @query(
     """WITH have AS (SELECT DISTINCT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders), ends AS (SELECT o_custkey, min(y) AS lo, max(y) AS hi FROM have GROUP BY 1),
 spine AS (SELECT o_custkey, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS to_year FROM ends)
