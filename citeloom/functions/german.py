@@ -62,22 +62,87 @@ def simple(paths: list[list[tuple[str, str]]]) -> list[list[str]]:
     return [[value for _, value in path] for path in paths]
 
 
+#: Names that every dictionary has, stemmed; ordinals of the books of the social code.
+CUSTOM_NAMES = {"grundgesetz": "GG"}
+BOOKS = ["erst", "zweit", "dritt", "viert", "fünft", "sechst", "siebt", "acht", "neunt", "zehnt", "elft", "zwölft"]
+_ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII"]
+_SGB = re.compile(rf"SGB\s+(?P<number>{'|'.join(sorted(_ROMAN, key=len, reverse=True))}|\d{{1,2}})(?!\w)|(?i:(?P<book>{'|'.join(BOOKS)})(?:e[snr]?)\s+Buch(?:e?s)?(?:\s+\(?Sozialgesetzbuch(?:e?s)?\)?))")
+# a word that looks like the name of a law behind "des" or "der"
+_UNKNOWN = re.compile(r"(?:[A-ZÄÖÜ][\w\-]*\s+){0,3}?[A-ZÄÖÜ]?[\w\-]*(?:gesetz(?:es|buch(?:e?s)?)?|ordnung|satzung|richtlinie|abkommens?|vertrag(?:e?s)?)(?!\w)", re.I)
+#: Characters of names that are sent to the workers at most.
+MAX_NAMES = 32_000_000
+_WORD = re.compile(r"[\w\-]+")
+
+
 class LawNames:
-    """Names of laws by stem, longest first where several begin at a place."""
+    """Names of laws by stem, as an automaton over stemmed words (Aho and Corasick 1975): a text is read once for all names.
+
+    A node has the words that lead on from it, the node of the longest start of a name that its own words end with, and
+    how many words the names have that end in it.
+    """
 
     def __init__(self, names: dict[str, str]):
-        self.names = {k: v for k, v in names.items() if k}
-        self.longest = max((k.count(" ") + 1 for k in self.names), default=0)
+        self.names = {**{k: v for k, v in names.items() if k}, **CUSTOM_NAMES}
+        self.next: list[dict[str, int]] = [{}]
+        self.back, self.ends = [0], [0]
+        for name in self.names:
+            node = 0
+            words = _WORD.findall(name)
+            for word in words:
+                if word not in self.next[node]:
+                    self.next[node][word] = len(self.next)
+                    self.next.append({})
+                    self.back.append(0)
+                    self.ends.append(0)
+                node = self.next[node][word]
+            self.ends[node] = len(words)
+        queue = list(self.next[0].values())
+        for node in queue:
+            for word, to in self.next[node].items():
+                at = self.back[node]
+                while at and word not in self.next[at]:
+                    at = self.back[at]
+                self.back[to] = self.next[at].get(word, 0)
+                queue.append(to)
 
     def at(self, text: str, begin: int) -> tuple[int, str] | None:
         """End and citekey of the longest name that begins here."""
-        ends = [m.end() for m in re.finditer(r"[\w\-]+", text[begin : begin + 200])][: self.longest]
+        node, ends = 0, []
+        for m in _WORD.finditer(text, begin):
+            node = self.next[node].get(stem(m[0]))
+            if node is None:
+                break
+            if self.ends[node]:
+                ends.append(m.end())
         for end in reversed(ends):
-            found = self.names.get(stem(text[begin : begin + end]))
+            found = self.names.get(stem(text[begin:end]))
             if found:
-                return begin + end, found
+                return end, found
         return None
 
+    def within(self, text: str) -> list[tuple[int, int, str]]:
+        """``(start, end, citekey)`` of names in the text that don't overlap, the leftmost first and the longest of these."""
+        node, words, found = 0, [], []
+        for m in _WORD.finditer(text):
+            words.append(m)
+            word = stem(m[0])
+            while node and word not in self.next[node]:
+                node = self.back[node]
+            node = self.next[node].get(word, 0)
+            at = node
+            while at:
+                if self.ends[at]:
+                    start = words[-self.ends[at]].start()
+                    key = self.names.get(stem(text[start : m.end()]))
+                    if key:
+                        found.append((start, -m.end(), key))
+                at = self.back[at]
+        out: list[tuple[int, int, str]] = []
+        for start, end, key in sorted(found):
+            if not out or start >= out[-1][1]:
+                out.append((start, -end, key))
+        return out
+
 
 def stem(name: str) -> str:
     """As ``text.law_name_stem``."""
@@ -87,23 +152,32 @@ def stem(name: str) -> str:
 def areas(text: str | None, laws: LawNames, own_law: str | None, paragraphs: bool = True, articles: bool = True) -> list[dict]:
     """Citations with main area, suffix, law name, kind and parsed paths.
 
-    Kinds: ``dict`` with a known law name behind it, ``internal`` with none, ``ignore`` if the own document has no
-    heading of the cited kind, so that an internal citation can't be meant. The law's citekey goes in front of the
-    paths of both of the former.
+    Kinds: ``dict`` with a known law name behind it, ``sgb`` with a book of the social code, ``unknown`` with the name of a
+    law that isn't known, ``internal`` with none, ``ignore`` if the own document has no heading of the cited kind, so
+    that an internal citation can't be meant. The law's citekey goes in front of the paths of dict, sgb and internal.
     """
     out = []
     for m in MAIN.finditer(text or ""):
         suffix = _SUFFIX.match(text, m.end())
         law = laws.at(text, suffix.end()) if suffix else None
         kind, end, key = "internal", m.end(), own_law
+        book = _SGB.match(text, suffix.end()) if suffix and not law else None
+        other = _UNKNOWN.match(text, suffix.end()) if suffix and suffix[0].strip() and not law and not book else None
         if law:
             kind, end, key = "dict", law[0], law[1]
+        elif book:
+            number = book["number"]
+            place = BOOKS.index(book["book"].lower()) + 1 if book["book"] else _ROMAN.index(number) + 1 if number in _ROMAN else int(number)
+            kind, end, key = "sgb", book.end(), f"SGB-{place}"
+        elif other:
+            kind, end, key = "unknown", other.end(), None
         elif not (paragraphs if m[0].startswith("§") else articles):
             kind, key = "ignore", None
         paths = simple(parse_main(m[0]))
-        if kind != "ignore" and key:
+        if kind not in ("ignore", "unknown") and key:
             paths = [[key, *p] for p in paths]
-        out.append({"start": m.start(), "end": end, "main": m[0], "suffix": text[m.end() : suffix.end()] if law else "", "lawname": text[suffix.end() : end] if law else "", "law_type": kind, "parsed": paths})
+        named = kind in ("dict", "sgb", "unknown")
+        out.append({"start": m.start(), "end": end, "main": m[0], "suffix": text[m.end() : suffix.end()] if named else "", "lawname": text[suffix.end() : end] if named else "", "law_type": kind, "parsed": paths})
     return out
 
 
@@ -113,7 +187,7 @@ _AREA = "array<struct<start:int,end:int,main:string,suffix:string,lawname:string
 def find_citations(df: DataFrame, names: dict[str, str], text: str = "text", own_law: Column | None = None, paragraphs: Column | None = None, articles: Column | None = None) -> DataFrame:
     """One row per citation with all columns of ``df``. ``names`` maps stemmed law names to citekeys, a dictionary of
     laws in force, bounded by the number of laws. Null texts have none."""
-    shared = df.sparkSession.sparkContext.broadcast(names)
+    shared = df.sparkSession.sparkContext.broadcast(checked(names))
 
     @F.pandas_udf(_AREA)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -125,6 +199,34 @@ def find_citations(df: DataFrame, names: dict[str, str], text: str = "text", own
     return df.select("*", F.posexplode(run(F.col(f"`{text}`"), *given)).alias("ref_pos", "_ref")).select(*(F.col(f"`{c}`") for c in df.columns), "ref_pos", "_ref.*")
 
 
+def checked(names: dict[str, str]) -> dict[str, str]:
+    """The names, if they are few enough to be sent to all workers."""
+    if sum(len(k) + len(v or "") for k, v in names.items()) > MAX_NAMES:
+        raise ValueError(f"names of laws have more than {MAX_NAMES} characters")
+    return names
+
+
+def find_mentions(df: DataFrame, names: dict[str, str], text: str = "text") -> DataFrame:
+    """One row per law that a text names without citing a part of it: all columns of ``df``, ``ref_pos, start, end, lawname, citekey``.
+
+    Names inside of citations are theirs. Null texts name none.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(checked(names))
+
+    @F.pandas_udf("array<struct<start:int,end:int,lawname:string,citekey:string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        laws = LawNames(shared.value)
+        for texts in batches:
+            out = []
+            for t in texts:
+                cited = [(a["start"], a["end"]) for a in areas(t, laws, None)]
+                free = [x for x in laws.within(t or "") if not any(x[0] < e and s < x[1] for s, e in cited)]
+                out.append([{"start": s, "end": e, "lawname": t[s:e], "citekey": key} for s, e, key in free])
+            yield pd.Series(out, dtype="object")
+
+    return df.select("*", F.posexplode(run(F.col(f"`{text}`"))).alias("ref_pos", "_ref")).select(*(F.col(f"`{c}`") for c in df.columns), "ref_pos", "_ref.*")
+
+
 def section_path(text: Column) -> Column:
     """The first path that a section's name such as ``§ 12 Abs. 1`` is; empty without one."""
 

@@ -26,7 +26,7 @@ def parents_by_level(df: DataFrame, group: str, pos: str, level: str, key: str)
     Rows without a level have no parent and are none. Null groups are one group; an empty table gives no rows.
     """
     names = df.columns
-    schema = T.StructType([*df.schema, T.StructField("_part", T.IntegerType()), T.StructField("parent_key", df.schema[key].dataType), T.StructField("_state", T.IntegerType())])
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), T.StructField("_part", T.IntegerType()), T.StructField("parent_key", df.schema[key].dataType), T.StructField("_state", T.IntegerType())])
     at_group, at_level, at_key = (names.index(c) for c in (group, level, key))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

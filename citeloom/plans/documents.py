@@ -511,6 +511,29 @@ def german_citation_kinds(spark, sf_dir):
     return found.select("k", "law_type", F.explode("parsed").alias("p")).select("k", "law_type", F.array_join("p", "/").alias("path"))
 
 
+_KINDS = [("dict", "L1/{}/2"), ("sgb", "SGB-5/{}"), ("sgb", "SGB-12/{}"), ("internal", "OWN/{}/1"), ("ignore", "{}"), ("unknown", "{}"), ("dict", "GG/{}")]
+
+
+@query(f"SELECT o_orderkey AS k, {[k for k, _ in _KINDS]}[1 + o_orderkey % 7] AS law_type, replace({[p for _, p in _KINDS]}[1 + o_orderkey % 7], '{{}}', CAST(1 + o_custkey AS VARCHAR)) AS path FROM orders")
+def german_law_kinds(spark, sf_dir):
+    """What stands behind a citation: a known law, a book of the social code, nothing, or a law that nobody knows."""
+    behind = ["' Abs. 2 des Auftragsgesetzes'", "' SGB V'", "' des Zwölften Buches Sozialgesetzbuch'", "' Abs. 1 gilt'", "' hier'", "' des Fantasiegesetzes'", "' des Grundgesetzes'"]
+    main = F.when(F.col("o_orderkey") % 7 == 4, "siehe Art. ").otherwise("nach § ")
+    text = F.concat(main, (1 + F.col("o_custkey")).cast("string"), F.expr(f"element_at(array({', '.join(behind)}), cast(o_orderkey % 7 + 1 as int))"))
+    found = german.find_citations(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), text.alias("text")), {german.stem("Auftragsgesetz"): "L1"}, own_law=F.lit("OWN"), articles=F.lit(False))
+    return found.select("k", "law_type", F.explode("parsed").alias("p")).select("k", "law_type", F.array_join("p", "/").alias("path"))
+
+
+@query("SELECT o_orderkey AS k, u.n AS n, u.law AS law FROM (SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [{'n': 0, 'law': 'L2'}, {'n': 1, 'law': 'GG'}] ELSE [{'n': 0, 'law': 'L1'}] END) AS u FROM orders)")
+def german_law_mentions(spark, sf_dir):
+    """Laws that are named alone: the longest name counts, those of citations don't."""
+    even = F.lit("Das Gesetz über Aufträge der Länder und das Grundgesetz sowie § 3 des Auftragsgesetzes")
+    text = F.when(F.col("o_orderkey") % 2 == 0, even).otherwise("wie im Auftragsgesetz und Gesetz über Aufträge")
+    names = {german.stem("Auftragsgesetz"): "L1", german.stem("Gesetz über Aufträge der Länder"): "L2", german.stem("über Aufträge der Länder"): "L3"}
+    found = german.find_mentions(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), text.alias("text")), names)
+    return found.select("k", F.col("ref_pos").alias("n"), F.col("citekey").alias("law"))
+
+
 @query("SELECT o_orderkey AS k, 'LAW' || o_custkey AS law FROM orders WHERE o_orderkey % 4 IN (0, 1, 2) AND o_orderkey % 5 > 0")
 def administrative_references(spark, sf_dir):
     """References of a law's entry to the laws that empower it, by type and name."""

@@ -463,5 +463,12 @@ def align_snapshots(spark, sf_dir):
     return alignment.align(*sides(spark, sf_dir, prepared=True))
 
 
+@query(f"""{_ALIGNED.replace("SELECT key1, key2, stage FROM m", "")}, g AS (SELECT coalesce(stage, 'all') AS stage, count(*) AS n FROM m GROUP BY GROUPING SETS ((stage), ())) SELECT stage, n, n / (SELECT count(*) FROM u) AS share FROM g""")
+def alignment_progress(spark, sf_dir):
+    """How far each stage of the alignment came."""
+    one, two = sides(spark, sf_dir, prepared=True)
+    return alignment.progress(lineage.materialize(alignment.align(one, two)), one, two)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_longest_prefix(spark, sf_dir)

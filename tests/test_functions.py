@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -103,3 +104,35 @@ def test_text_columns(spark):
     ).first()
     assert row.asDict() == {"n": "a b c", "s": "12a", "l": "Gesetz", "d": ["42_7_a", "42_7_a_1"], "k": ["alpha-lower-double-bracket", "roman-lower-double-bracket"], "t": "numeric-3", "r": "cfr7_1.2a", "o": "0 0 12a", "e": True, "c": "text of it"}
     assert [tx.roman(i) for i in (4, 8, 19, 34)] == ["iv", "viii", "xix", "xxxiv"]
+
+
+def test_law_names_by_automaton():
+    rnd = random.Random(3)
+    words = ["gesetz", "über", "die", "der", "ordnung", "länder", "bund"]
+    names = {german.stem(" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4)))): f"L{i}" for i in range(25)}
+    laws = german.LawNames(names)
+    for _ in range(300):
+        text = " ".join(rnd.choice([*words, "x", "Gesetzes", "§ 3,"]) for _ in range(rnd.randint(0, 14)))
+        tokens = list(re.finditer(r"[\w\-]+", text))
+        every = [(a.start(), -b.end(), laws.names[german.stem(text[a.start() : b.end()])]) for i, a in enumerate(tokens) for b in tokens[i:] if german.stem(text[a.start() : b.end()]) in laws.names]
+        want = []
+        for start, end, key in sorted(every):
+            if not want or start >= want[-1][1]:
+                want.append((start, -end, key))
+        assert laws.within(text) == want
+        for t in tokens:
+            here = [(-e, k) for s, e, k in sorted(every) if s == t.start()]
+            assert laws.at(text, t.start()) == (here[0] if here else None)
+
+
+def test_kinds_of_laws_behind_citations():
+    laws = german.LawNames({german.stem("Auftragsgesetz"): "L1"})
+    kinds = lambda text, **k: [(a["law_type"], a["lawname"], a["parsed"]) for a in german.areas(text, laws, "OWN", **k)]
+    assert kinds("§ 3 SGB XII und") == [("sgb", "SGB XII", [["SGB-12", "3"]])]
+    assert kinds("§ 3 des Fünften Buches (Sozialgesetzbuch)") == [("sgb", "Fünften Buches (Sozialgesetzbuch)", [["SGB-5", "3"]])]
+    assert kinds("§ 3 des Fantasiegesetzes") == [("unknown", "Fantasiegesetzes", [["3"]])]
+    assert kinds("Art. 1 des Grundgesetzes") == [("dict", "Grundgesetzes", [["GG", "1"]])]
+    assert kinds("§ 3 gilt") == [("internal", "", [["OWN", "3"]])]
+    assert kinds("§ 3 gilt", paragraphs=False) == [("ignore", "", [["3"]])]
+    with pytest.raises(ValueError, match="characters"):
+        german.checked({"x" * (german.MAX_NAMES + 1): "L"})

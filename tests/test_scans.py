@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeloom.operators import graph, ordered, temporal
 
@@ -53,6 +54,7 @@ def test_parents_by_level_of_long_groups(spark, levels):
         level = min(max(level + rnd.choice([-3, -1, 0, 1, 1, 1]), 0), levels - 1)
         rows.append((rnd.choice(["long"] * 9 + ["b", None]), i, None if rnd.random() < 0.02 else level, f"k{i}"))
     df = spark.createDataFrame(rows, "g string, pos int, level int, key string").repartition(4)
+    df = spark.createDataFrame(df.rdd, T.StructType([T.StructField(f.name, f.dataType, f.name in ("g", "level")) for f in df.schema]))
     found = {r["key"]: r["parent_key"] for r in ordered.parents_by_level(df, "g", "pos", "level", "key").collect()}
     assert found == parents(rows)
     assert ordered.parents_by_level(df.where("false"), "g", "pos", "level", "key").collect() == []
