@@ -21,7 +21,7 @@ def parents_by_level(df: DataFrame, group: str, pos: str, level: str, key: str)
     """``parent_key``: the last earlier row of the group with a smaller level; any number of levels, groups of any length.
 
     Rows are sorted by ranges of group and place, so a long group lies in many parts. A part keeps the rows that are still
-    open, one a level at most, on a stack, and gives back what is on it for each group's end. These ends, a few rows a
+    open, one a level at most, on a stack, and gives back what is on it at its end. These ends, a row a level and
     part, are put together in the order of parts; what a part lacks it takes from the stack of the parts before it.
     Rows without a level have no parent and are none. Null groups are one group; an empty table gives no rows.
     """
@@ -30,7 +30,7 @@ def parents_by_level(df: DataFrame, group: str, pos: str, level: str, key: str)
     at_group, at_level, at_key = (names.index(c) for c in (group, level, key))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, current, stack, kinds = TaskContext.get().partitionId(), _NONE, [], None
+        part, current, stack, kinds, first = TaskContext.get().partitionId(), _NONE, [], None, True
 
         def ends() -> pa.RecordBatch:
             held = {at_group: [current] * len(stack), at_level: [s[0] for s in stack], at_key: [s[1] for s in stack]}
@@ -42,8 +42,7 @@ def parents_by_level(df: DataFrame, group: str, pos: str, level: str, key: str)
             parents, states = [], []
             for g, v, k in zip(*(batch.column(i).to_pylist() for i in (at_group, at_level, at_key)), strict=True):
                 if g != current or current is _NONE:
-                    if stack:
-                        yield ends()
+                    first = current is _NONE
                     current, stack = g, []
                 if v is None:
                     parents.append(None)
@@ -52,11 +51,12 @@ def parents_by_level(df: DataFrame, group: str, pos: str, level: str, key: str)
                 while stack and stack[-1][0] >= v:
                     stack.pop()
                 parents.append(stack[-1][1] if stack else None)
-                states.append(0 if stack else 1)
+                # only a part's first group can go on from the part before
+                states.append(1 if first and not stack else 0)
                 stack.append((v, k))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(parents), pa.int32()), pa.array(parents, kinds[at_key]), pa.array(states, pa.int32())], names=schema.names)
         if stack:
-            yield ends()
+            yield ends()  # of the part's last group; those before it are complete
 
     held = materialize(df.orderBy(group, pos).mapInArrow(nearest, schema))
     g, v, k = (df.schema[c].dataType for c in (group, level, key))
