@@ -21,7 +21,7 @@ def parents_by_level(df: DataFrame, group: str, pos: str, level: str, key: str)
     """``parent_key``: the last earlier row of the group with a smaller level; any number of levels, groups of any length.
 
     Rows are sorted by ranges of group and place, so a long group lies in many parts. A part keeps the rows that are still
-    open, one a level at most, on a stack, and gives back what is on it at its end. These ends, a row a level and
+    open, one a level at most, on a stack, and gives back what is on it where its first and its last group end. These ends, a row a level and
     part, are put together in the order of parts; what a part lacks it takes from the stack of the parts before it.
     Rows without a level have no parent and are none. Null groups are one group; an empty table gives no rows.
     """
@@ -42,6 +42,8 @@ def parents_by_level(df: DataFrame, group: str, pos: str, level: str, key: str)
             parents, states = [], []
             for g, v, k in zip(*(batch.column(i).to_pylist() for i in (at_group, at_level, at_key)), strict=True):
                 if g != current or current is _NONE:
+                    if first and stack:
+                        yield ends()
                     first = current is _NONE
                     current, stack = g, []
                 if v is None:
@@ -56,7 +58,7 @@ def parents_by_level(df: DataFrame, group: str, pos: str, level: str, key: str)
                 stack.append((v, k))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(parents), pa.int32()), pa.array(parents, kinds[at_key]), pa.array(states, pa.int32())], names=schema.names)
         if stack:
-            yield ends()  # of the part's last group; those before it are complete
+            yield ends()  # of the part's last group; those between it and the first one lie in this part as a whole
 
     held = materialize(df.orderBy(group, pos).mapInArrow(nearest, schema))
     g, v, k = (df.schema[c].dataType for c in (group, level, key))

@@ -46,13 +46,26 @@ def parents(rows):
     return out
 
 
+def test_parents_by_level_across_parts(spark):
+    # groups of some hundred rows, so that many begin in one part and end in the next
+    rnd = random.Random(12)
+    rows = [(f"g{i // 150:02d}", i, rnd.choice([1, 2, 3, 4]) if i % 150 else 0, f"k{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, pos int, level int, key string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small parts are put together
+    try:
+        found = {r["key"]: r["parent_key"] for r in ordered.parents_by_level(df, "g", "pos", "level", "key").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert found == parents(rows)
+
+
 @pytest.mark.parametrize("levels", [1, 4, 200])
 def test_parents_by_level_of_long_groups(spark, levels):
     rnd = random.Random(levels)
     rows, level = [], 0
     for i in range(3000):
         level = min(max(level + rnd.choice([-3, -1, 0, 1, 1, 1]), 0), levels - 1)
-        rows.append((rnd.choice(["long"] * 9 + ["b", None]), i, None if rnd.random() < 0.02 else level, f"k{i}"))
+        rows.append((rnd.choice(["long"] * 9 + ["b", "z", "z", None]), i, None if rnd.random() < 0.02 else level, f"k{i}"))
     df = spark.createDataFrame(rows, "g string, pos int, level int, key string").repartition(4)
     df = spark.createDataFrame(df.rdd, T.StructType([T.StructField(f.name, f.dataType, f.name in ("g", "level")) for f in df.schema]))
     found = {r["key"]: r["parent_key"] for r in ordered.parents_by_level(df, "g", "pos", "level", "key").collect()}
