@@ -7,8 +7,12 @@ subtrees; the least density on the path from ``body`` to the best subtree is the
 Elements that hold no article by their kind (menus, forms, adverts, ...) are left out of the tree before that; a form
 stays if it holds an article, or the only paragraphs of a page. Names in
 classes and ids leave out no headings and paragraphs, and within an article only containers; whole names of menus,
-adverts, notices and comments do. Ambiguous names (search, related, ...) count outside of articles only: what has one
-doesn't join the best subtree, and stays in it if it is as dense as the threshold.
+adverts, notices, sign-ups, sharing and comments do. Ambiguous names (search, related, ...) leave nothing out by
+themselves: what has one doesn't join the best subtree, and stays in it if it is as dense as the threshold, within an
+article too. A ``header`` within an article stays if it holds a heading, which is the article's title.
+
+Time grows with the length of a page, however it is nested or broken off: open elements are found by their names, and
+the quotes of a page are paired once.
 """
 
 from __future__ import annotations
@@ -16,12 +20,16 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.common import map_texts
+
 # HTML's void, raw-text and block elements, and the kinds that aren't article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
@@ -39,22 +47,95 @@ OUTSIDE = frozenset("header button dialog".split())
 KEPT = frozenset("body html article main h1 h2 h3 h4 h5 h6 p".split())
 #: What a class or id can leave out within an article.
 CONTAINERS = frozenset("div section ul ol dl table center details fieldset ins".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that may name what isn't article text, as parts of a name and outside of an article only.
 PART = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|adbox|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disqus|feedback|footer|footnav|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|overlay|pager|pagination|popup|promo|promotion|recommended|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|tags|toolbar|topbar|widget|widgets)(?:$|[\s_\d-])",
     re.I,
 )
-#: Names of menus, adverts, notices and comments; the whole name must fit.
+#: Names of menus, adverts, notices, sign-ups, sharing and comments; the whole name must fit.
 WHOLE = re.compile(
     r"(?:ads?|adv|adverts?|advertisements?|adbox|adsense|sponsored|navbar|nav|menu|breadcrumbs?|footnav|pager|pagination|sidebar|comments?|commentlist)(?:[_-](?:area|banner|bar|block|bottom|box|container|footer|inline|left|list|main|right|section|slot|top|unit|wrap|wrapper|\d+))*"
-    r"|(?:comment|disqus)[_-](?:area|form|list|section|thread)|(?:cookies?|gdpr|consent)[_-](?:banner|bar|box|consent|message|notice|overlay|popup)",
+    r"|(?:comment|disqus)[_-](?:area|form|list|section|thread)|(?:cookies?|gdpr|consent)[_-](?:banner|bar|box|consent|message|notice|overlay|popup)"
+    r"|(?:site[_-]?)?notices?(?:[_-](?:bar|box))?|(?:newsletter|subscribe|subscription)(?:[_-](?:bar|block|box|form|signup|sign-up|widget))?|sign-?up(?:[_-](?:box|form))?"
+    r"|(?:social[_-])?(?:share|sharing)(?:[_-](?:bar|box|buttons?|icons?|links?|tools?|widget))?|social[_-](?:bar|buttons?|icons?|links?|media)|(?:related|recommended)[_-](?:articles?|links?|posts?|stories)",
     re.I,
 )
+#: Ids of sections of reader comments; other ids of a section are places of its heading.
+THREAD = re.compile(r"comments|comments?[_-](?:area|form|list|section|thread)|commentlist|disqus[_-]thread", re.I)
 
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
+_PART = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
+_START = re.compile(r"<(?P<close>/?)[A-Za-z]")
+_NAME_END = re.compile(r"[\s/>]|\Z")
+
+
+class _Ends:
+    """Where a page's tags end, if the quotes in them are paired from their start on: made once, asked by position."""
+
+    def __init__(self, page: str):
+        marks = [(m.start(), m[0]) for m in re.finditer("[\"'>]", page)]
+        self.at, self.page, self.name = [p for p, _ in marks], page, -1
+        self.end: list[int | None] = [None] * (len(marks) + 1)
+        later = {}
+        for i in range(len(marks) - 1, -1, -1):
+            place, mark = marks[i]
+            if mark == ">":
+                self.end[i] = place
+            elif mark in later:
+                self.end[i] = self.end[later[mark] + 1]
+            later[mark] = i
+
+    def of(self, pos: int) -> tuple[int, int | None]:
+        """Where the name that starts at ``pos`` ends, and where its tag does. Positions are asked in order."""
+        if self.name < pos:
+            self.name = _NAME_END.search(self.page, pos).start()
+        return self.name, self.end[bisect_left(self.at, self.name)]
+
+
+class _Stack:
+    """The open elements, with the places of every name, those that bound others, and forms that are left out so far."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.bounds, self.articles, self.forms = [root], defaultdict(list), [], 0, []
+
+    def push(self, node: Node) -> None:
+        place = len(self.nodes)
+        self.nodes.append(node)
+        self.places[node.tag].append(place)
+        if node.tag in SCOPE:
+            self.bounds.append(place)
+        if node.tag in ("article", "main"):
+            self.articles += 1
+        elif node.tag == "form":
+            self.forms.append(node)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if node.tag in SCOPE:
+                self.bounds.pop()
+            if node.tag in ("article", "main"):
+                self.articles -= 1
+            elif self.forms and self.forms[-1] is node:
+                self.forms.pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost element of these names, 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def bound(self) -> int:
+        return self.bounds[-1] if self.bounds else 0
+
+    def free_forms(self) -> None:
+        for node in self.forms:
+            node.skip = False
+        self.forms.clear()
+
+
 class Node:
     __slots__ = ("tag", "parent", "items", "skip", "maybe", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
@@ -69,8 +150,8 @@ class Node:
 
 def _left_out(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
     """Whether an element goes, and whether it may go by an ambiguous name, which its density decides."""
-    if tag in SKIP or (tag in OUTSIDE and not inside_article):
-        return True, False
+    if tag in SKIP or (tag in OUTSIDE and not inside_article) or tag == "header":
+        return True, False  # a header within an article comes back with a heading in it
     if tag in ("body", "html", "article", "main") or not attrs.strip():
         return tag == "dialog", False
     maybe, opened = False, tag != "dialog"
@@ -83,10 +164,11 @@ def _left_out(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
             return True, False
         if name not in ("class", "id") or tag in KEPT:
             continue
-        anchor = name == "id" and tag == "section"  # the place of a heading
-        if (tag in CONTAINERS or not inside_article) and not anchor and any(WHOLE.fullmatch(x) for x in value.split()):
+        whole = THREAD if name == "id" and tag == "section" else WHOLE
+        named = tag in CONTAINERS or not inside_article
+        if named and any(whole.fullmatch(x) for x in value.split()):
             return True, False
-        maybe = maybe or not inside_article and bool(PART.search(value))
+        maybe = maybe or named and whole is WHOLE and bool(PART.search(value))
     return not opened, maybe
 
 
@@ -96,48 +178,47 @@ def parse(page: str, forms: bool = False) -> Node:
     Forms are left out unless one holds an ``article`` or ``main``, or ``forms`` is set.
     """
     root = Node("#root", None, False)
-    stack, pos, size, articles = [root], 0, len(page), 0
-
-    def pop_to(index: int) -> None:
-        nonlocal articles
-        articles -= sum(n.tag in ("article", "main") for n in stack[index:])
-        del stack[index:]
-
+    stack, pos, size, ends = _Stack(root), 0, len(page), None
     while pos < size:
-        m = _PART.match(page, pos)
-        pos, tag = m.end(), m["tag"]
+        if ends is None:
+            m = _PART.match(page, pos)
+            close, tag, attrs, stop = m["close"], m["tag"], m["attrs"], m.end()
+            if tag is None and _START.match(page, pos):  # a tag that doesn't end, from here on ends are looked up
+                ends = _Ends(page)
+        elif m := _START.match(page, pos):
+            close, (name, end) = m["close"], ends.of(m.end() - 1)
+            if end is not None:
+                tag, attrs, stop = page[m.end() - 1 : name], page[name:end], end + 1
+            else:
+                tag, stop = None, (page.find(">", pos) + 1 or size) if close else pos + 1
+        else:
+            m = _PART.match(page, pos)
+            tag, stop = None, m.end()
+        begin, pos = pos, stop
         if tag is None:
-            if page[m.start()] != "<" or m.end() - m.start() == 1:
-                stack[-1].items.append(page[m.start() : pos])
+            if page[begin] != "<" or pos - begin == 1:
+                stack.nodes[-1].items.append(page[begin:pos])
             continue
         tag = tag.lower()
-        if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop_to(i)
-                    break
-                if tag not in BLOCK and stack[i].tag in SCOPE:
-                    break
+        if close:
+            place = stack.last((tag,))
+            if place and (tag in BLOCK or stack.bound() <= place):
+                stack.cut(place)
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    pop_to(i)
-                    break
-                if stack[i].tag in SCOPE:
-                    break
+        if tag in CLOSES_P and (place := stack.last(("p",))) > stack.bound():
+            stack.cut(place)
         if tag in CLOSES:
-            ends, bounds = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    pop_to(i)
-                    if tag != "tr":
-                        break
-                elif stack[i].tag in bounds:
+            inner, outer = CLOSES[tag]
+            while (place := stack.last(inner)) > stack.last(outer):
+                stack.cut(place)
+                if tag != "tr":
                     break
-        node = Node(tag, stack[-1], *_left_out(tag, m["attrs"], articles > 0))
-        stack[-1].items.append(node)
-        if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCK and tag not in RAW:
+        node = Node(tag, stack.nodes[-1], *_left_out(tag, attrs, stack.articles > 0))
+        stack.nodes[-1].items.append(node)
+        if tag in HEADINGS and stack.articles and (place := stack.last(("header",))):
+            header = stack.nodes[place]
+            header.skip = header.skip and place < stack.last(("article", "main"))
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*/?>", re.I).search(page, pos)
@@ -146,10 +227,8 @@ def parse(page: str, forms: bool = False) -> Node:
         if tag == "form" and forms:
             node.skip = False
         elif tag in ("article", "main"):
-            articles += 1
-            for n in stack:
-                n.skip = n.skip and n.tag != "form"
-        stack.append(node)
+            stack.free_forms()
+        stack.push(node)
     return root
 
 
@@ -265,30 +344,29 @@ def extract_text(page: str | None) -> str:
     # siblings along the path that are as dense as the threshold join it, in page order; a marked article ends there
     path = path if core is best and best.tag not in ("article", "main") else [core]
     ahead: list[Node] = []
-    behind: list[Node] = []
+    behind: list[list[Node]] = []
     for node, below in zip(reversed(path), reversed(path[:-1]), strict=False):
         passed, after = False, []
+        behind.append(after)
         for c in node.children():
             if c is below:
                 passed = True
             elif not c.skip and not c.maybe and c.chars and c.density >= least:
                 (after if passed else ahead).append(c)
-        behind = after + behind
-    chosen = [body] if best.total <= 0 else [*ahead, core, *behind]
+    chosen = [body] if best.total <= 0 else [*ahead, core, *(n for after in reversed(behind) for n in after)]
     return "\n".join(_blocks(chosen))
 
 
 def extract_pages(df: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """Add the main text of every page and its length in code points; rows are mapped one by one, nothing is shuffled.
 
-    Null and empty pages give an empty text. Existing columns of the two names are replaced.
+    Null and empty pages give an empty text, repeated rows equal texts, an empty table none. Pages of any length are read
+    whole, in time that grows with the length; they pass to the workers in parts of a bounded number of bytes
+    (``map_texts``), a very long page alone. Existing columns of the two names are replaced, others stay.
     """
 
-    @F.pandas_udf("string")
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(extract_text, na_action=None)
+    def start():
+        return lambda pages: [pa.array([extract_text(p) for p in pages], pa.string())]
 
-    kept = [c for c in df.columns if c not in (text, n_chars)]
-    cols = [F.col(f"`{c}`") for c in kept]
-    out = df.select(*cols, run(F.col(f"`{html}`")).alias(text))
-    return out.withColumn(n_chars, F.length(text).cast("long"))
+    out = map_texts(df, html, f"`{text}` string", start, [c for c in df.columns if c not in (text, n_chars)])
+    return out.withColumn(n_chars, F.length(F.col(f"`{text}`")).cast("long"))

@@ -1,6 +1,7 @@
 """Row-wise operators against brute force, exact round trips and held-out accuracy."""
 
 import math
+import time
 import random
 import struct
 import zlib
@@ -66,6 +67,50 @@ def test_html_deep_and_long():
     assert html_extract.extract_text("<body><article>" + "<p>w w</p>" * 20_000).count("\n") == 19_999
 
 
+@pytest.mark.parametrize(
+    "piece, other",
+    [("<b>", "</i>"), ('<a "x', ""), ("<b>", "<p>x</p>"), ("<b>", "<article>"), ("<form>", "<article></article>"), ("<i><div><b>", "</i>"), ("<tr>", "<td>"), ("<a", "'"), ("<div>x", ""), ("</b '", '<i "')],
+)
+def test_html_time_grows_with_the_length(piece, other):
+    """Twelve times the page takes far less than its square: once unclosed elements and quotes made it quadratic."""
+
+    def took(n):
+        page = piece * n + other * n
+        best = math.inf
+        for _ in range(3):
+            began = time.process_time()
+            html_extract.extract_text(page)
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert took(12_000) < 40 * took(1_000) + 0.1
+
+
+def test_html_unclosed_quotes():
+    """A tag whose quotes or end are missing is text; tags after it are read as tags wherever their own quotes end."""
+    assert html_extract.extract_text("<p>a</p><b \"<p>c</p><p title='>'>d</p>") == 'a\n<b "\nc\nd'
+    assert html_extract.extract_text("<p>a<i 'b<i \"c") == "a<i 'b<i \"c"
+
+
+def test_html_junk_within_an_article():
+    """Reader comments, notices, sign-ups and sharing go from an article; headers too, if they don't hold its heading."""
+    long = "Long text of an article that goes on and on, and has no links at all."
+    junk = [f"<section id=comments><h2>Comments</h2><p>{long}</p></section>", "<div class=notice>n</div>", "<div class='newsletter-signup'>s</div>", "<div class=share>s</div>", "<header>by me</header>", "<div class='related-posts'>r</div>"]
+    page = f"<body><article><header><h1>Title</h1></header><p>{long}</p>{''.join(junk)}<section id='notices'><p>{long}</p></section></article></body>"
+    assert html_extract.extract_text(page) == "\n".join(["Title", long, long])
+
+
+def test_html_ambiguous_names_within_an_article(monkeypatch):
+    """They go if they are less dense than the threshold; the same box full of text stays."""
+    long = "Long text of an article that goes on and on, and has no links at all. " * 3
+    box = lambda inner: f"<body><article><p>{long}</p><p>{long}</p><div class='promo x1'>{inner}</div></article></body>"
+    thin = "".join(f"<i>w{i}</i>" for i in range(30))
+    assert html_extract.extract_text(box(thin)) == "\n".join([long.strip()] * 2)
+    assert html_extract.extract_text(box(f"<p>{long}</p>")) == "\n".join([long.strip()] * 3)
+    monkeypatch.setattr(html_extract, "composite_density", lambda *counts: 1.0)
+    assert "w7" in html_extract.extract_text(box(thin))
+
+
 PARTS = "<h1 class='entry-header'>Title</h1><p class='skip-first'>First words here.</p><section id='search-algorithms'><h2 id='comments'>Comments in code</h2><p>They say why.</p></section><figure><table><tr><td>cell</td></tr></table><figcaption>A caption</figcaption></figure><h2><button>Folded</button></h2><object>fallback</object>"
 WHOLE = "Title\nFirst words here.\nComments in code\nThey say why.\ncell\nA caption\nFolded\nfallback"
 JUNK = "<div class='ad'>buy</div><ul class='nav-menu menu'><li>m</ul><div id='comments'>me too</div><div class='cookie-notice'>ok</div><dialog>closed</dialog>"
