@@ -12,7 +12,7 @@ from citeloom.functions import citations, german
 from citeloom.functions import text as tx
 from citeloom.operators import graph, lookup
 from citeloom.operators.lineage import materialize, new_path
-from citeloom.plans import statutes
+from citeloom.plans import statutes, volumes
 from citeloom.plans.base import query, table
 from citeloom.sources import files, formats, tree
 
@@ -60,13 +60,15 @@ def regulation_nodes(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_REGULATION}, a AS (SELECT d, level, key, texts, type, CASE WHEN type IN ('seqitem') THEN (SELECT '(a) (1) First ' || b || '. (i) One. (ii) Two. (2) Second. (b) Third. Flush.' FROM base WHERE base.d = nodes.d AND nodes.citekey = 'cfr' || s || '_' || s || '.' || k) END AS whole FROM nodes)
-SELECT key, CAST(length(whole) AS BIGINT) AS chars_n, CAST(length(replace(whole, ' ', '')) AS BIGINT) AS chars_nowhites, CAST(len(string_split(whole, ' ')) AS BIGINT) AS tokens_n, CAST(len(list_distinct(string_split(whole, ' '))) AS BIGINT) AS tokens_unique, '' AS own FROM a WHERE type = 'seqitem'
-UNION ALL SELECT key, CAST(length('(1) ' || x) AS BIGINT), 0, 0, 0, '1|3' FROM (SELECT key, '' AS x FROM a WHERE false)"""
+    f"""WITH RECURSIVE {_REGULATION}, up AS (SELECT key AS node, key AS above FROM nodes UNION ALL SELECT node, n.parent_key FROM up JOIN nodes n ON n.key = above WHERE n.parent_key <> ''),
+below AS (SELECT above AS key, texts FROM up JOIN nodes ON key = node WHERE texts <> ''), words AS (SELECT key, count(DISTINCT w) AS n FROM (SELECT key, unnest(string_split(texts, ' ')) AS w FROM below) GROUP BY 1),
+sums AS (SELECT key, sum(length(texts)) + count(*) - 1 AS c, sum(length(replace(texts, ' ', ''))) AS b, sum(len(string_split(texts, ' '))) AS t FROM below GROUP BY 1)
+SELECT n.key, CAST(coalesce(c, 0) AS BIGINT) AS chars_n, CAST(coalesce(b, 0) AS BIGINT) AS chars_nowhites, CAST(coalesce(t, 0) AS BIGINT) AS tokens_n, CAST(coalesce(w.n, 0) AS BIGINT) AS tokens_unique,
+  CASE WHEN n.texts <> '' AND n.key IN (SELECT parent_key FROM nodes) THEN CAST(len(string_split(n.texts, ' ')) AS VARCHAR) ELSE '' END AS own FROM nodes n LEFT JOIN sums s ON s.key = n.key LEFT JOIN words w ON w.key = n.key"""
 )
 def subtree_statistics(spark, sf_dir):
-    """Characters and tokens of whole units."""
-    stats = tree.with_statistics(regulation_nodes_of(spark, sf_dir)).where("type = 'seqitem'")
+    """Characters and tokens of what every node holds."""
+    stats = tree.with_statistics(regulation_nodes_of(spark, sf_dir))
     return stats.select("key", "chars_n", "chars_nowhites", "tokens_n", "tokens_unique", F.coalesce(F.array_join(F.col("texts_tokens_n").cast("array<string>"), "|"), F.lit("")).alias("own"))
 
 
@@ -125,7 +127,7 @@ UNION ALL SELECT 'cfr' || s || 'v' || v || '_2000_' || printf('%06d', i), 'cfr'
 )
 def merged_volumes(spark, sf_dir):
     """The volumes of a title as one document: what a volume goes on with joins the unit before it, at every depth."""
-    return shown(statutes.merged_volumes(tree.shred(volume_files(spark, sf_dir), formats.regulation)))
+    return shown(volumes.merged_volumes(tree.shred(volume_files(spark, sf_dir), formats.regulation)))
 
 
 # -- statutes of the code -------------------------------------------------------------------------------------------

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +10,6 @@ from citeloom.functions import text as tx
 from citeloom.operators import graph, lookup, ordered
 from citeloom.operators.lineage import materialize
 from citeloom.sources import tree
-from citeloom.sources.tree import Item
 
 #: Dates and names of a dictionary of laws that a broadcast may hold.
 MAX_DATES, MAX_NAMES = 400, 200_000
@@ -58,65 +54,6 @@ def alignment_index(nodes: DataFrame) -> DataFrame:
     return placed.select((F.col("pos") - 1).alias("pos"), "key", "citekey", "text")
 
 
-def merged_volumes(nodes: DataFrame) -> DataFrame:
-    """Nodes of the volumes of regulations as one document per title and year, with keys counted anew in every volume.
-
-    The first unit of a volume goes into the unit before it if their headings begin with the same two words, and so do
-    the ones after it as long as each can. A title is one group, which its size bounds. Files that could not be parsed
-    stay as rows with their errors; volumes out of order are an error.
-    """
-    name = lambda i: F.regexp_extract("doc_id", r"^cfr(\d+)v(\d+)_(\d+)$", i).cast("int")
-    volumes = nodes.where("error is null").withColumns({"_title": name(1), "_volume": name(2), "_year": name(3)})
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        title, year = int(group["_title"].iloc[0]), int(group["_year"].iloc[0])
-        root = Item("document", f"Title {title}", attrs={"document_type": "regulation", "title": str(title), "year": str(year)})
-        volume: dict[int, int] = {}
-        for number, part in group.sort_values(["_volume", "pos"]).groupby("_volume"):
-            for _, top in tree.trees(part.to_dict("records")):
-                volume.update((id(x), int(number)) for x in top.walk())
-                root.parts += top.parts
-        _continue(root, volume)
-        counters: Counter = Counter()
-        seen: list[int] = []
-
-        def key(item: Item) -> str:
-            if item is root:
-                return f"cfr{title}v0_{year}_000001"
-            number = volume[id(item)]
-            if item.kind == "item":
-                seen.append(number)
-            counters[number] += 1
-            return f"cfr{title}v{number}_{year}_{counters[number]:06d}"
-
-        out = tree.rows(root, f"cfr{title}_{year}", "", key_of=key)
-        if seen != sorted(seen):
-            raise ValueError(f"volumes of title {title} are out of order")
-        return pd.DataFrame(out, columns=[c.split()[0] for c in tree.NODE_SCHEMA.split(", ")])
-
-    merged = volumes.groupBy("_title", "_year").applyInPandas(merge, tree.NODE_SCHEMA)
-    return merged.unionByName(nodes.where("error is not null"))
-
-
-def _continue(root: Item, volume: dict[int, int]) -> None:
-    """Put the units that a volume begins with into the ones before them that they go on with."""
-    start = lambda x: " ".join(x.heading.split(" ")[:2]).lower().strip()
-    current, beginning = None, False
-    for item in [x for x in root.walk() if x.kind == "item"]:
-        if volume[id(item)] != current:
-            current, beginning = volume[id(item)], True
-        if not beginning:
-            continue
-        parent = next(x for x in root.walk() if any(p is item for p in x.parts))
-        i = next(i for i, p in enumerate(parent.parts) if p is item)
-        before = parent.parts[i - 1] if i and isinstance(parent.parts[i - 1], Item) else None
-        if before is not None and item.heading and start(before) == start(item):
-            before.parts += item.parts
-            del parent.parts[i]
-        else:
-            beginning = False
-
-
 def law_names(nodes: DataFrame) -> DataFrame:
     """``(name, citekey, doc_id)``: stemmed headings and abbreviations of documents."""
     a = F.col("attributes")

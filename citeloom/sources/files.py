@@ -64,36 +64,44 @@ def write_log(lines: DataFrame, column: str, path: str) -> None:
 STYLESHEET = '<?xml version="1.0" encoding="utf-8"?><?xml-stylesheet href="../../xml-styles.css"?>'
 
 
-def xml_documents(nodes: DataFrame, head: str = "") -> DataFrame:
-    """``(doc_id, xml)``: the structural XML of every document, with all attributes and texts at their places among the children.
+def xml_events(nodes: DataFrame, head: str = "") -> DataFrame:
+    """``(doc_id, place, xml)``: opening tags with all attributes, texts, and closing tags, which ``place`` puts in order within a document.
 
-    A document's nodes are brought together, which its size bounds.
+    Every node makes its own events, as paths order them: its opening tag is at its path, its texts are at their
+    places below it, and its closing tag is behind all of them. Nothing is shuffled or brought together.
     """
-    from xml.sax.saxutils import escape, quoteattr
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        children: dict[str, list] = {}
-        for r in rows.to_dict("records"):
-            children.setdefault(r["parent_key"] or "", []).append(r)
+    for_text = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
+    for_value = (*for_text, ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;"))
+
+    def escaped(value: Column, marks: tuple) -> Column:
+        for mark, name in marks:
+            value = F.replace(value, F.lit(mark), F.lit(name))
+        return value
+
+    given = F.coalesce(F.col("attributes"), F.create_map().cast("map<string,string>"))
+    own = {"key": F.col("key"), "level": F.col("level").cast("string"), "heading": F.col("heading"), "citekey": F.col("citekey"), "citekey_detailed": F.array_join("citekey_detailed", ",")}
+    first = F.array(*(F.struct(F.lit(k).alias("key"), F.coalesce(given[k], v).alias("value")) for k, v in own.items()))
+    others = F.map_entries(F.map_filter(given, lambda k, _: ~k.isin(*own)))
+    shown = F.filter(F.concat(first, others), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    attributes = F.array_join(F.transform(shown, lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), escaped(e["value"], for_value), F.lit('"'))), "")
+    event = lambda place, xml: F.struct(place.alias("place"), xml.alias("xml"))
+    start = F.when(F.size("path") == 0, F.lit(head)).otherwise("")
+    opened = event(F.col("path"), F.concat(start, F.lit("<"), "type", attributes, F.lit(">")))
+    closed = event(F.array_append("path", F.lit(2**31 - 1)), F.concat(F.lit("</"), "type", F.lit(">")))
+    texts = F.zip_with("text_places", "texts", lambda i, t: event(F.array_append(F.col("path"), i), F.concat(F.lit("<text>"), escaped(t, for_text), F.lit("</text>"))))
+    return nodes.where("error is null").select("doc_id", F.inline(F.concat(F.array(opened, closed), texts)))
 
-        def write(r: dict) -> str:
-            own = {"key": r["key"], "level": str(r["level"]), "heading": r["heading"], "citekey": r["citekey"], "citekey_detailed": ",".join(r["citekey_detailed"])}
-            head = " ".join(f"{k}={quoteattr(v)}" for k, v in (own | dict(r["attributes"] or {})).items() if v)
-            texts = dict(zip(r["text_places"], r["texts"], strict=True))
-            below = iter(children.get(r["key"], []))
-            inner = [f"<text>{escape(texts[i])}</text>" if i in texts else write(next(below)) for i in range(int(r["n_children"]))]
-            return f"<{r['type']} {head}>{''.join(inner)}</{r['type']}>"
 
-        return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "xml": [head + "".join(write(r) for r in children.get("", []))]})
-
-    good = nodes.where("error is null").select("doc_id", "pos", "key", "parent_key", "level", "type", "citekey", "citekey_detailed", "heading", "attributes", "texts", "text_places", "n_children")
-    return good.groupBy("doc_id").applyInPandas(build, "doc_id string, xml string")
+def xml_documents(nodes: DataFrame, head: str = "") -> DataFrame:
+    """``(doc_id, xml)``: the structural XML of every document as one string, which its size bounds; ``write_xml`` needs no such string."""
+    ordered = F.array_sort(F.collect_list(F.struct("place", "xml")))
+    return xml_events(nodes, head).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda e: e["xml"]), "").alias("xml"))
 
 
 def write_xml(nodes: DataFrame, path: str) -> None:
-    """One file of structural XML per document, below ``doc_id=…``."""
-    xml_documents(nodes, STYLESHEET).select("doc_id", F.col("xml").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+    """One file of structural XML per document, below ``doc_id=…``: its events with spaces between them, sorted with spilling and written one by one."""
+    events = xml_events(nodes, STYLESHEET).repartition("doc_id").sortWithinPartitions("doc_id", "place")
+    events.select("doc_id", F.col("xml").alias("value")).write.mode("overwrite").option("lineSep", " ").partitionBy("doc_id").text(path)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:

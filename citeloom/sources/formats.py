@@ -322,6 +322,7 @@ def _detail(item: Item, above: str) -> None:
 # -- regulations ----------------------------------------------------------------------------------------------------
 
 # Tags of regulation files.
+CONTENTS_ONLY = {"TOC", "LRH", "RRH"}
 CONTAINERS = ("TITLE", "SUBTITLE", "CHAPTER", "SUBCHAPTER", "SUBCHAP", "PART", "SUBPART", "SUBJGRP")
 OPENING, CONTINUING, GATHERED = ("P", "HD", "WIDE", "TEAR"), ("FP", "LDRWK", "BOXTXT"), ("EXTRACT", "EXAMPLE", "GPOTABLE", "TSECT", "WBOXTXT")
 PASSED = "SECTNO SUBJECT PRTPAGE CITA FTNT GPH EDNOTE RESERVED NOTE EFFDNOT EAR APPRO STARS MATH LRH RRH CONTENTS SUBTITLE CTRHD WEDNOTE CROSSREF WEFFDNO TEFFDNO EXT-XREF EFFDNOTP PARAUTH WEFFDNOP EXHIBIT SECAUTH AUTH LHD1".split()
@@ -438,12 +439,29 @@ def _regulation_section(section: ET.Element, title: str) -> Item:
     return item
 
 
-def _regulation_heading(e: ET.Element) -> str:
-    found = e.find("HD")
-    if found is not None:
-        return squeeze(found.text) or e.tag
-    toc = [squeeze(h.text) for h in e.findall("TOC/TOCHD/HD")]
-    return " ".join(toc) or squeeze(e.findtext("RESERVED")) or e.tag
+def _written_heading(e: ET.Element) -> str | None:
+    """The heading that a container has itself, in its table of contents or as a reserved place; None if it has no place for one."""
+    if (found := e.find("HD")) is not None:
+        return squeeze(found.text)
+    if toc := e.findall("TOC/TOCHD/HD"):
+        return squeeze(" ".join(squeeze(h.text) for h in toc))
+    found = e.find("RESERVED")
+    return None if found is None else squeeze(found.text)
+
+
+def _regulation_heading(e: ET.Element, around: ET.Element, volume_heading: str, first: bool) -> str:
+    """A container's heading, else its tag. A chapter without one may stand behind a chapter that is its table of contents; the first one of a volume has the volume's."""
+    found = _written_heading(e)
+    if found is None and e.tag == "CHAPTER":
+        chapters = list(around.iter("CHAPTER"))
+        at = next((i for i, c in enumerate(chapters) if c is e), 0)
+        tags = {c.tag for c in chapters[at - 1]} if at else set()
+        if "TOC" in tags and tags <= CONTENTS_ONLY:
+            found = _written_heading(chapters[at - 1])
+            found = volume_heading if found is None else found
+        elif first:
+            found = volume_heading
+    return found or e.tag
 
 
 def regulation(path: str, data: bytes) -> list[tuple[Item, str, str, int]]:
@@ -453,8 +471,15 @@ def regulation(path: str, data: bytes) -> list[tuple[Item, str, str, int]]:
         raise ValueError("no volume in the file's name")
     year, title, volume = m.groups()
 
-    def build(e: ET.Element, top: bool) -> Item:
-        item = Item("document" if top else "item", _regulation_heading(e), attrs={"document_type": "regulation"} if top else {})
+    root = ET.fromstring(data)
+    contents = [*root.findall("TOC/TITLENO/CHAPTI/SUBJECT")] or [*root.findall("FMTR/TOC/TITLENO/CHAPTI/SUBJECT")]
+    volume_heading = next((t for x in contents if (t := squeeze(x.text)).lower().startswith("chap")), "")
+    first = True
+
+    def build(e: ET.Element, top: bool, above: tuple[ET.Element, ...] = (root,)) -> Item:
+        nonlocal first
+        item = Item("document" if top else "item", _regulation_heading(e, above[-2:][0], volume_heading, first), attrs={"document_type": "regulation"} if top else {})
+        first = first and e.tag != "CHAPTER"
         note = e.find("AUTH/P")
         if note is not None and (text := "".join(note.itertext()).strip()):
             item.attrs["auth_text"] = text
@@ -462,12 +487,11 @@ def regulation(path: str, data: bytes) -> list[tuple[Item, str, str, int]]:
             if [x.tag for x in c] == ["TOC"]:
                 continue
             if c.tag in CONTAINERS:
-                item.parts.append(build(c, False))
+                item.parts.append(build(c, False, (*above, e)))
             elif c.tag == "SECTION":
                 item.parts.append(_regulation_section(c, title))
         return item
 
-    root = ET.fromstring(data)
     start = root if root.tag == "TITLE" else root.find(".//TITLE")
     key = f"cfr{title}v{volume}_{year}"
     return [(build(root if start is None else start, True), key, key, 1)]

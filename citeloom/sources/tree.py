@@ -1,8 +1,10 @@
 """From nested documents to one flat table of nodes.
 
 A format is a function from the bytes of a file to trees of ``Item``; everything else is shared: keys in document
-order, parents, levels, subtree texts. The functions run in ``mapInPandas``, one row per file, and files are never
-gathered. Statistics are columns that the JVM computes from the texts.
+order, parents, levels, paths. The functions run in ``mapInPandas``, one row per file, and files are never
+gathered. A node has its own texts only. Its ``path`` holds its place among the parts of its parent, after the places of
+its ancestors; so paths sort nodes and texts as the document does, and the nodes below one are those whose paths begin
+with its own. Statistics of what is below a node are sums over such beginnings, which the JVM computes.
 """
 
 from __future__ import annotations
@@ -11,14 +13,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from citeloom.functions import text as tx
 
 NODE_SCHEMA = (
     "doc_id string, pos int, key string, parent_key string, level int, type string, citekey string, heading string, attributes map<string,string>, "
-    "seqitem_key string, seqitem_citekey string, subtree_text string, texts array<string>, text_places array<int>, n_children int, citekey_detailed array<string>, error string"
+    "seqitem_key string, seqitem_citekey string, path array<int>, texts array<string>, text_places array<int>, n_children int, citekey_detailed array<string>, error string"
 )
 
 
@@ -56,18 +59,19 @@ class Item:
             yield from p.walk()
 
 
-def rows(root: Item, doc_id: str, prefix: str, first: int = 1, key_of: Callable[[Item], str] | None = None) -> list[tuple]:
-    """Node rows in document order; keys are ``{prefix}_{counter}`` with six digits unless ``key_of`` makes them."""
+def rows(root: Item, doc_id: str, prefix: str, first: int = 1) -> list[tuple]:
+    """Node rows in document order; keys are ``{prefix}_{counter}`` with six digits."""
     out: list[tuple] = []
 
-    def visit(item: Item, parent: str, level: int, seqitem: tuple[str | None, str | None]) -> None:
-        key = key_of(item) if key_of else f"{prefix}_{first + len(out):06d}"
+    def visit(item: Item, parent: str, path: list[int], seqitem: tuple[str | None, str | None]) -> None:
+        key = f"{prefix}_{first + len(out):06d}"
         own = (key, item.citekey or None) if item.kind == "seqitem" else seqitem
-        out.append((doc_id, len(out), key, parent, level, item.kind, item.citekey, item.heading, item.attrs, *own, " ".join(item.all_texts()), item.texts(), [i for i, p in enumerate(item.parts) if isinstance(p, str)], len(item.parts), item.detailed, None))
-        for child in item.items():
-            visit(child, key, level + 1, own)
+        out.append((doc_id, len(out), key, parent, len(path), item.kind, item.citekey, item.heading, item.attrs, *own, path, item.texts(), [i for i, p in enumerate(item.parts) if isinstance(p, str)], len(item.parts), item.detailed, None))
+        for place, child in enumerate(item.parts):
+            if isinstance(child, Item):
+                visit(child, key, [*path, place], own)
 
-    visit(root, "", 0, (None, None))
+    visit(root, "", [], (None, None))
     return out
 
 
@@ -99,30 +103,43 @@ def shred(files: DataFrame, parse: Parser, path: str = "path", content: str = "c
     return files.select(F.col(path).cast("string").alias("p"), F.col(content).alias("c")).mapInPandas(run, NODE_SCHEMA)
 
 
-def trees(found: list[dict]) -> list[tuple[dict, Item]]:
-    """The trees that rows of nodes in document order make: every root's row with its tree."""
-    items, waiting, roots = {}, {}, []
-    for r in found:
-        item = Item(r["type"], r["heading"], r["citekey"], dict(r["attributes"] or {}), [None] * int(r["n_children"]), list(r["citekey_detailed"]))
-        for place, text in zip(r["text_places"], r["texts"], strict=True):
-            item.parts[int(place)] = text
-        items[r["key"]], waiting[r["key"]] = item, iter([i for i, p in enumerate(item.parts) if p is None])
-        if r["parent_key"]:
-            items[r["parent_key"]].parts[next(waiting[r["parent_key"]])] = item
-        else:
-            roots.append((r, item))
-    return roots
+def beginnings(path: Column) -> Column:
+    """A path and those of all ancestors, the root's empty one first."""
+    return F.transform(F.sequence(F.lit(0), F.size(path)), lambda n: F.slice(path, 1, n))
+
+
+def common_beginning(one: Column, other: Column) -> Column:
+    """The path of the innermost node that holds both."""
+    equal = F.zip_with(one, other, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    first = F.array_position(equal, F.lit(False)).cast("int")
+    return F.when(first == 0, one).otherwise(F.slice(one, 1, F.greatest(first - 1, F.lit(0))))
 
 
 def with_statistics(nodes: DataFrame) -> DataFrame:
-    """Characters and tokens of every node's subtree, and of its own texts where it holds texts beside other parts."""
+    """Characters and tokens of what a node holds at any depth, joined by spaces, and of its own texts where it holds texts beside other parts.
+
+    A node's own counts are added to all its ancestors', which is combined before the shuffle. A token counts once a node:
+    every occurrence counts, less one at the innermost node that holds it and the last equal token before it, for this
+    one and its ancestors. So no text is stored or shuffled once a level. Document ids are unique in ``nodes``. A node without
+    any text has zeros, a row with an error nulls.
+    """
+    total = lambda f: F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + f(t))
+    good = nodes.where("error is null").withColumn("_words", F.array_distinct(F.flatten(F.transform("texts", tx.tokens))))
+    own = good.select("doc_id", "path", total(tx.chars_n).alias("_c"), F.size("texts").cast("long").alias("_t"), total(tx.chars_nowhites).alias("_b"), total(tx.tokens_n).alias("_n"), F.size("_words").cast("long").alias("_u"))
+    words = good.select("doc_id", "path", F.explode("_words").alias("_word"))
+    before = F.lag("path").over(Window.partitionBy("doc_id", "_word").orderBy("path"))
+    again = words.withColumn("_before", before).where("_before is not null")
+    none = F.lit(0).cast("long")
+    less = again.select("doc_id", common_beginning(F.col("_before"), F.col("path")).alias("path"), none.alias("_c"), none.alias("_t"), none.alias("_b"), none.alias("_n"), F.lit(-1).cast("long").alias("_u"))
+    spread = own.unionByName(less).select("doc_id", F.explode(beginnings(F.col("path"))).alias("path"), "_c", "_t", "_b", "_n", "_u")
+    sums = spread.groupBy("doc_id", "path").agg(*(F.sum(c).alias(c) for c in ("_c", "_t", "_b", "_n", "_u")))
     mixed = (F.col("n_children") > 1) & (F.size("texts") > 0)
-    return nodes.select(
-        "*",
-        tx.chars_n(F.col("subtree_text")).alias("chars_n"),
-        tx.chars_nowhites(F.col("subtree_text")).alias("chars_nowhites"),
-        tx.tokens_n(F.col("subtree_text")).alias("tokens_n"),
-        tx.tokens_unique(F.col("subtree_text")).alias("tokens_unique"),
+    return nodes.join(sums, ["doc_id", "path"], "left").select(
+        *nodes.columns,
+        (F.col("_c") + F.greatest(F.col("_t") - 1, F.lit(0))).alias("chars_n"),
+        F.col("_b").alias("chars_nowhites"),
+        F.col("_n").alias("tokens_n"),
+        F.col("_u").alias("tokens_unique"),
         F.when(mixed, F.transform("texts", lambda t: tx.tokens_n(t).cast("int"))).alias("texts_tokens_n"),
         F.when(mixed, F.transform("texts", lambda t: tx.chars_nowhites(t).cast("int"))).alias("texts_chars_n"),
     )
