@@ -14,7 +14,7 @@ from citeloom.operators import graph, lookup
 from citeloom.operators.lineage import materialize, new_path
 from citeloom.plans import statutes, volumes
 from citeloom.plans.base import query, table
-from citeloom.sources import files, formats, tree
+from citeloom.sources import archives, files, formats, tree
 
 
 def bundle(rows: DataFrame, by: str, order: list[str], piece: str, head: str, tail: str, path: str) -> DataFrame:
@@ -199,6 +199,32 @@ def structural_round_trip(spark, sf_dir):
     return shown(tree.shred(again, formats.structural))
 
 
+@query(f"WITH {_CODE_NODES} SELECT {_SHOWN.replace('error', chr(39) * 2 + ' AS error')} FROM nodes")
+def scanned_files(spark, sf_dir):
+    """Structural XML written as one file per document, found by a scan of the folder, and read again."""
+    path = new_path(spark)
+    files.write_xml(code_nodes_of(spark, sf_dir), path)
+    return shown(tree.shred(files.scan(spark, path, ".txt"), formats.structural))
+
+
+@query(
+    f"""WITH {_REGULATION} SELECT row_number() OVER (ORDER BY n.d, n.key) - 1 AS pos, n.key || '_0' AS key, coalesce(u.citekey, '') AS citekey, lower(n.texts) AS text
+FROM nodes n LEFT JOIN nodes u ON u.key = n.unit WHERE n.texts <> ''"""
+)
+def alignment_index(spark, sf_dir):
+    """The texts of a snapshot in the order of files and documents, numbered over the whole snapshot."""
+    return statutes.alignment_index(regulation_nodes_of(spark, sf_dir))
+
+
+@query("SELECT p_partkey || '.xml' AS name, '<p>' || p_name || '</p>' AS content FROM part")
+def archived_files(spark, sf_dir):
+    """Members written to zip archives by many tasks, and read from them by as many as their bytes ask for."""
+    path = new_path(spark)
+    p = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".xml")).alias("path"), F.encode(F.concat(F.lit("<p>"), "p_name", F.lit("</p>")), "utf-8").alias("content"))
+    archives.write_zip(p, path)
+    return archives.read_zip(spark, path, ".xml").select(F.element_at(F.split("path", "!"), -1).alias("name"), F.decode("content", "utf-8").alias("content"))
+
+
 @query("SELECT DISTINCT '/in/' || (n_regionkey + 1) || '0_2010.htm' AS path, 'ValueError: class ''unheard-of'' of <p>' AS error FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def quarantined_files(spark, sf_dir):
     """A file with an unknown class gives one row that says so."""
