@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,24 +15,19 @@ def watch(spark: SparkSession, path: str, suffix: str = ".xml", per_trigger: int
     return reader.option("pathGlobFilter", f"*{suffix}").option("maxFilesPerTrigger", per_trigger).load(path)
 
 
-def run_step(files: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
-    """Applies ``step`` to every batch of new files and adds what isn't there yet; stops when nothing new is left.
+def run_step(files: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, item: Column | None = None, within: str | None = None) -> StreamingQuery:
+    """Writes ``step`` of every new item to Parquet below ``out``, once; stops when nothing new is left.
 
-    A batch that is run again after a failure adds nothing twice, since keys that are in the output are passed over.
+    An item is a file of one name, wherever it lies, or what ``item`` makes of the columns of ``files``. The names of
+    items that were done are keys of the state store, of which a batch asks for its own only, and the sink's log
+    takes a batch once, also if it is run again after a failure; so nothing that was written before is read. Of items
+    of one name within a batch one is taken. With ``within`` a name is forgotten that long after the newest
+    ``modificationTime``, which bounds the state; without it, names are kept for ever. Rows with a null path are one item.
     """
-
-    def add(batch: DataFrame, _: int) -> None:
-        new = step(batch)
-        try:
-            done = batch.sparkSession.read.parquet(out).select(key).distinct()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            new = new.join(done, key, "left_anti")
-        new.write.mode("append").parquet(out)
-
-    return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    named = files.withColumn("_item", F.element_at(F.split("path", "/"), -1) if item is None else item)
+    new = named.dropDuplicates(["_item"]) if within is None else named.withWatermark("modificationTime", within).dropDuplicatesWithinWatermark(["_item"])
+    written = step(new.drop("_item")).writeStream.format("parquet").outputMode("append")
+    return written.option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def count_by_window(events: DataFrame, at: str, width: str, late: str, *by: str) -> DataFrame:
