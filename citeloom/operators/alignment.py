@@ -85,17 +85,38 @@ def by_citekey_and_text(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def _containing(one: DataFrame, two: DataFrame, own1: DataFrame, own2: DataFrame, min_length: int) -> DataFrame:
-    """``by_containment`` for the rows ``own(key, sha)`` of snapshots of clipped texts. Equal texts are one, with their number as weight."""
-    rep1, rep2 = materialize(containment.classes(own1)), materialize(containment.classes(own2))
-    there = containment.found_in(containment.asking(one, rep1, min_length), rep2, two, min_length).select(F.col("needle").alias("key1"), F.col("haystack").alias("key2"))
-    back = containment.found_in(containment.asking(two, rep2, min_length), rep1, one, min_length).select(F.col("haystack").alias("key1"), F.col("needle").alias("key2"))
-    links = materialize(there.unionByName(back).distinct())
+    """``by_containment`` for the rows ``own(key, sha)`` of snapshots of clipped texts. Equal texts are one, with their number as weight.
+
+    Only needles that lie in one text can be aligned, so others stop at two. What else lies in the ends of the pairs that
+    are left is looked up for these ends only, by all needles.
+    """
+    reps = [materialize(containment.classes(own)) for own in (own1, own2)]
+    asks = [materialize(containment.asking(df, rep, min_length)) for df, rep in zip((one, two), reps, strict=True)]
+    posts = [containment.filed(ask, rep, df, min_length) for ask, rep, df in zip(asks[::-1], reps, (one, two), strict=True)]
+
+    def inside(i: int) -> DataFrame:
+        """Needles of side ``i`` that are one text each, and how many texts of the other side hold them."""
+        alone = asks[i].join(reps[i].where("n = 1").select(F.col("key").alias("needle")), "needle", "left_semi")
+        return materialize(containment.counted_in(alone, reps[1 - i], (one, two)[1 - i], posts[1 - i]))
+
+    named = (("key1", "key2"), ("key2", "key1"))
+    pair = lambda df, i: df.select(F.col("needle").alias(named[i][0]), F.col("haystack").alias(named[i][1])).select("key1", "key2")
+    counted = [inside(0), inside(1)]
+    once = materialize(pair(counted[0].where("n = 1"), 0).unionByName(pair(counted[1].where("n = 1"), 1)).distinct())
+    links = once
+    for i, key in enumerate(("key2", "key1")):
+        ends = materialize(once.select(F.col(key).alias("haystack")).distinct())
+        held = materialize(fetched(posts[1 - i], ends, "haystack").select(*posts[1 - i].columns))
+        kept = materialize(reps[1 - i].join(ends.select(F.col("haystack").alias("key")), "key", "left_semi"))
+        links = links.unionByName(pair(containment.found_in(asks[i], kept, (one, two)[1 - i], min_length, held), i))
     # an end's partners are all members of the classes that it is linked with
-    n1, n2 = rep1.select(F.col("key").alias("key1"), F.col("n").alias("n1")), rep2.select(F.col("key").alias("key2"), F.col("n").alias("n2"))
-    weighed = links.join(n1, "key1").join(n2, "key2")
-    once1 = weighed.groupBy("key1").agg(F.sum("n2").alias("n")).where("n = 1").select("key1")
-    once2 = weighed.groupBy("key2").agg(F.sum("n1").alias("n")).where("n = 1").select("key2")
-    return weighed.where("n1 = 1 and n2 = 1").join(once1, "key1", "left_semi").join(once2, "key2", "left_semi").select("key1", "key2", F.lit("containment").alias("stage"))
+    n1, n2 = (rep.select(F.col("key").alias(k), F.col("n").alias(n)) for rep, k, n in zip(reps, ("key1", "key2"), ("n1", "n2"), strict=True))
+    weighed = materialize(links.distinct().join(n1, "key1").join(n2, "key2"))
+    out = once
+    for i, (key, n) in enumerate((("key1", "n2"), ("key2", "n1"))):
+        one_partner = weighed.groupBy(key).agg(F.sum(n).alias("n")).where("n = 1").select(key)
+        out = out.join(one_partner, key, "left_semi").join(counted[i].where("n > 1").select(F.col("needle").alias(key)), key, "left_anti")
+    return out.select("key1", "key2", F.lit("containment").alias("stage"))
 
 
 def _clipped(df: DataFrame) -> DataFrame:

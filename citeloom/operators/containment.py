@@ -130,22 +130,24 @@ def asking(texts: DataFrame, keys: DataFrame, min_length: int) -> DataFrame:
     return materialize(mapped_of(texts, keys, "key", lambda df: needles_of(df, min_length), "needle"), TEXTS)
 
 
-def found_in(needles: DataFrame, haystacks: DataFrame, texts: DataFrame, min_length: int) -> DataFrame:
-    """``(needle, haystack)`` for rows of ``needles_of``: the keys among ``haystacks(key, sha)`` whose ``texts(key, text)`` hold the needle.
+def filed(needles: DataFrame, haystacks: DataFrame, texts: DataFrame, min_length: int) -> DataFrame:
+    """The written postings of the keys among ``haystacks(key)`` that the blocks of ``needles`` can ask for."""
+    bits = key_filter(needles.select(F.explode(F.array("first", "last")).alias("block")), "block")
+    return materialize(mapped_of(texts, haystacks, "key", lambda df: postings_of(df, bits, min_length), "haystack"), TEXTS)
 
-    Keys are unique and not null; ``needles`` and ``haystacks`` are written already. Texts move only for places that both
-    blocks left, those of haystacks.
-    """
-    asked = needles.select(F.explode(F.array("first", "last")).alias("block"))
-    bits = key_filter(asked, "block")
-    postings = materialize(mapped_of(texts, haystacks, "key", lambda df: postings_of(df, bits, min_length), "haystack"), TEXTS)
+
+def asked_blocks(needles: DataFrame, postings: DataFrame) -> DataFrame:
+    """``(needle, block, own_at, other, other_at, bytes, sha)``: the rarer of a needle's two blocks, which asks; both must be filed somewhere."""
     frequency = postings.groupBy("block").agg(F.count(F.lit(1)).alias("df"))
     ways = needles.select("needle", F.explode(F.array(*(F.struct(F.col(a).alias("block"), F.col(f"{a}_at").alias("at"), F.col(b).alias("other"), F.col(f"{b}_at").alias("other_at")) for a, b in (("first", "last"), ("last", "first"))))).alias("w"))
     ways = ways.select("needle", "w.*").join(frequency, "block")
-    # both blocks must be filed somewhere; the rarer one asks
     rarer = ways.groupBy("needle").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("df", "block", "at", "other", "other_at")).alias("w")).where("n = 2").select("needle", "w.block", F.col("w.at").alias("own_at"), "w.other", "w.other_at")
-    rarer = rarer.join(needles.select("needle", "bytes", "sha"), "needle")
-    spots = rarer.join(postings, "block").withColumn("shift", F.col("at") - F.col("own_at")).where("shift >= 0 and rest >= bytes - own_at")
+    return rarer.join(needles.select("needle", "bytes", "sha"), "needle")
+
+
+def _held(asked: DataFrame, tried: DataFrame, postings: DataFrame, haystacks: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(needle, haystack)`` where one of the postings ``tried`` of a needle's asking block is the place of the whole needle."""
+    spots = asked.join(tried, "block").withColumn("shift", F.col("at") - F.col("own_at")).where("shift >= 0 and rest >= bytes - own_at")
     ends = postings.select("haystack", F.col("block").alias("other"), F.col("at").alias("other_there"))
     both = spots.withColumn("other_there", F.col("other_at") + F.col("shift")).join(ends, ["haystack", "other", "other_there"], "left_semi")
     places = both.select("needle", F.col("haystack").alias("key"), "shift", "bytes", F.col("sha").alias("needle_sha")).distinct()
@@ -159,6 +161,34 @@ def found_in(needles: DataFrame, haystacks: DataFrame, texts: DataFrame, min_len
     return places.where(equal).select("needle", F.col("key").alias("haystack")).unionByName(held.select("needle", F.col("key").alias("haystack"))).distinct()
 
 
+def found_in(needles: DataFrame, haystacks: DataFrame, texts: DataFrame, min_length: int, postings: DataFrame | None = None) -> DataFrame:
+    """``(needle, haystack)`` for rows of ``needles_of``: the keys among ``haystacks(key, sha)`` whose ``texts(key, text)`` hold the needle.
+
+    Keys are unique and not null; ``needles`` and ``haystacks`` are written already, and so are ``postings`` of these
+    haystacks, if given. Texts move only for places that both blocks left, those of haystacks.
+    """
+    postings = filed(needles, haystacks, texts, min_length) if postings is None else postings
+    return _held(asked_blocks(needles, postings), postings, postings, haystacks, texts)
+
+
+def counted_in(needles: DataFrame, haystacks: DataFrame, texts: DataFrame, postings: DataFrame) -> DataFrame:
+    """``(needle, haystack, n)``, one row for every needle that any haystack holds: the least one known, and their weights ``n`` of ``haystacks(key, sha, n)``.
+
+    ``n`` is exact if it is 1 and may be too small from 2 on: the least and the largest place of a needle's block are
+    looked at first, and needles with a weight of two there need no other place. So a text inside of all members of a
+    group of copies costs two looks and not one a member; needles that these leave open look at all places.
+    """
+    asked = materialize(asked_blocks(needles, postings))
+    spot = F.struct("haystack", "at", "rest")
+    few = postings.groupBy("block").agg(F.min(spot).alias("least"), F.max(spot).alias("most"))
+    few = few.select("block", F.explode(F.array_distinct(F.array("least", "most"))).alias("s")).select("block", "s.*")
+    weights = haystacks.select(F.col("key").alias("haystack"), "n")
+    weighed = lambda found: found.join(weights, "haystack").groupBy("needle").agg(F.min("haystack").alias("haystack"), F.sum("n").alias("n"))
+    several = materialize(weighed(_held(asked, few, postings, haystacks, texts)).where("n > 1"))
+    open_ = asked.join(several.select("needle"), "needle", "left_anti")
+    return several.unionByName(weighed(_held(open_, postings, postings, haystacks, texts)))
+
+
 def digested(texts: DataFrame) -> DataFrame:
     """``(key, sha)`` of texts, by which equal ones are known without moving them."""
     return texts.select("key", F.unhex(F.sha2("text", 256)).alias("sha"))

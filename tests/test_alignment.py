@@ -54,6 +54,37 @@ def test_contained_with_fixed_ends_and_empty(spark):
     assert pairs(containment.contained(n.where("false"), h, 1)) == pairs(containment.contained(n, h.where("false"), 1)) == []
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_containment_of_ends_with_one_partner(spark, seed):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7)))
+    part = lambda n: " ".join(word() for _ in range(n))
+    shared, body = part(12), part(40)
+    copies = [body.replace(w, w + "x", 1) for w in rnd.sample(body.split(), 12)]
+    one = [f"{i} {t}" for i, t in enumerate([shared, shared + " end", *copies, *(part(20) for _ in range(25))])]
+    two = [f"§ {t}" for t in [*(f"{part(3)} {shared} {c}" for c in copies), *(t.split(" ", 1)[1].rsplit(" ", 1)[0] for t in one[8:]), *(f"{t.split(' ', 1)[1]} more" for t in one[20:30]), shared]]
+    two += rnd.sample(two, 4)
+    clip = lambda t: t.split(" ", 1)[1]
+    holds = lambda a, b: len(a) >= 50 and a in b
+    links = [(i, j) for i, a in enumerate(map(clip, one)) for j, b in enumerate(map(clip, two)) if holds(a, b) or holds(b, a)]
+    lone = lambda k: {x for x in (p[k] for p in links) if sum(p[k] == x for p in links) == 1}
+    want = sorted((f"a{i}", f"b{j}") for i, j in links if i in lone(0) and j in lone(1))
+    found = sorted((r["key1"], r["key2"]) for r in alignment.by_containment(frame(spark, one, "a"), frame(spark, two, "b")).collect())
+    assert found == want and len(want) > 5 and len(links) > 3 * len(want)
+
+
+def test_needles_inside_of_many_copies_stop_at_two(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    needle = " ".join(word() for _ in range(20))
+    texts = [f"{word()} {needle} {' '.join(word() for _ in range(5))}" for _ in range(400)]
+    needles, hay = frame(spark, [needle, texts[3][:120]], "n"), frame(spark, texts, "h")
+    haystacks = containment.materialize(containment.classes(containment.digested(hay)))
+    asked = containment.asking(needles, containment.digested(needles), 50)
+    found = {r["needle"]: (r["haystack"], r["n"]) for r in containment.counted_in(asked, haystacks, hay, containment.filed(asked, haystacks, hay, 50)).collect()}
+    assert found["n0"][1] == 2 and found["n1"] == ("h3", 1)
+
+
 def test_joins_beyond_the_bound_are_the_same(spark, monkeypatch):
     rnd = random.Random(6)
     hay = ["".join(rnd.choice("abcdefgh ") for _ in range(200)) for _ in range(80)]
