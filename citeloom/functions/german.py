@@ -6,8 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Units of German statutes with the ways they are written, in the order in which they nest.
 UNITS = {
@@ -72,6 +74,8 @@ _UNKNOWN = re.compile(r"(?:[A-ZÄÖÜ][\w\-]*\s+){0,3}?[A-ZÄÖÜ]?[\w\-]*(?:ges
 #: Characters of names that are sent to the workers at most.
 MAX_NAMES = 32_000_000
 _WORD = re.compile(r"[\w\-]+")
+#: Texts of a group that one worker reads with the names of the group.
+TILE_TEXTS = 20_000
 
 
 class LawNames:
@@ -199,6 +203,49 @@ def find_citations(df: DataFrame, names: dict[str, str], text: str = "text", own
     return df.select("*", F.posexplode(run(F.col(f"`{text}`"), *given)).alias("ref_pos", "_ref")).select(*(F.col(f"`{c}`") for c in df.columns), "ref_pos", "_ref.*")
 
 
+def find_citations_by(df: DataFrame, names: DataFrame, group: str, text: str = "text", tile_texts: int = TILE_TEXTS) -> DataFrame:
+    """One row per citation with all columns of the written ``df``: those of a ``group`` by its own ``names(group, name, citekey)``.
+
+    Of several citekeys of a name the largest counts. Neither dates nor names are limited and none is broadcast: a group's
+    texts are dealt into tiles of about ``tile_texts``, so that a large group goes over many tasks; its names go once to
+    every tile, come first there by the sort and become its automaton. Citations without a name are ignored. Null texts
+    have none, nor has a null group; groups without texts cost nothing, those without names know the custom ones only.
+    """
+    own = ["ref_pos", "start", "end", "main", "suffix", "lawname", "law_type", "parsed"]
+    kept = [c for c in df.columns if c not in own]
+    tiles = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count(F.lit(1)) / tile_texts).alias("_n"))
+    row = F.struct(*(F.col(f"`{c}`") for c in kept))
+    # drawn on the written rows, so that a task that runs again deals them alike
+    drawn = df.select(F.col(group).alias("_g"), F.rand(1).alias("_at"), F.lit(None).cast("string").alias("_name"), F.lit(None).cast("string").alias("_key"), F.col(f"`{text}`").alias("_text"), row.alias("_row"))
+    texts = drawn.join(tiles, "_g").select("_g", F.floor(F.col("_at") * F.col("_n")).alias("_tile"), "_name", "_key", "_text", "_row")
+    known = names.where("name <> '' and citekey is not null").groupBy(F.col(group).alias("_g"), F.col("name").alias("_name")).agg(F.max("citekey").alias("_key")).join(tiles, "_g")
+    known = known.select("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_tile"), "_name", "_key")
+    rows = known.unionByName(texts, allowMissingColumns=True).select(*texts.columns).repartition("_g", "_tile").sortWithinPartitions("_g", "_tile", F.col("_name").isNull())
+    area = df.select(F.lit(None).cast(_AREA).alias("a")).schema["a"].dataType.elementType
+    schema = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("ref_pos", T.IntegerType()), *area.fields])
+    ref = pa.struct([("start", pa.int32()), ("end", pa.int32()), *((c, pa.string()) for c in own[3:7]), ("parsed", pa.list_(pa.list_(pa.string())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, given, laws = None, {}, None
+        for batch in batches:
+            at, pos, refs = [], [], []
+            for i, (g, tile, name, key, t) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True)):
+                if group != (g, tile):
+                    group, given, laws = (g, tile), {}, None
+                if name is not None:
+                    given[name] = key
+                    continue
+                laws = laws or LawNames(given)
+                found = areas(t, laws, None, False, False)
+                at += [i] * len(found)
+                pos += range(len(found))
+                refs += found
+            cited = pa.array(refs, ref)
+            yield pa.RecordBatch.from_arrays([batch.column(5).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), *cited.flatten()], names=["_row", "ref_pos", *own[1:]])
+
+    return rows.mapInArrow(run, schema).select("_row.*", *own)
+
+
 def checked(names: dict[str, str]) -> dict[str, str]:
     """The names, if they are few enough to be sent to all workers."""
     if sum(len(k) + len(v or "") for k, v in names.items()) > MAX_NAMES:

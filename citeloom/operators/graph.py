@@ -65,6 +65,19 @@ def without_kind(nodes: DataFrame, edges: DataFrame, kind: str = "subseqitem") -
     return nodes.where(F.col("type").isNull() | (F.col("type") != kind)), kept
 
 
+def quotient(edges: DataFrame, units: DataFrame) -> DataFrame:
+    """``edges(u, v, edge_type)`` between units: an end that ``units(key, unit)`` has moves to its unit, another one stays.
+
+    Edges that so come to lie within one unit go; loops of a node that is no part of a unit, and repeats, stay. Keys of
+    ``units`` are unique; rows with a null key or unit move nothing.
+    """
+    of = lambda c: units.where("key is not null and unit is not null").select(F.col("key").alias(c), F.col("unit").alias(f"_{c}"))
+    moved = edges.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    u, v = F.coalesce("_u", "u"), F.coalesce("_v", "v")
+    inner = (F.col("_u").isNotNull() | F.col("_v").isNotNull()) & (u == v)
+    return moved.where(~F.coalesce(inner, F.lit(False))).select(u.alias("u"), v.alias("v"), "edge_type")
+
+
 def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("u").alias("key")).distinct(), "key", "left_anti")
 

@@ -298,6 +298,28 @@ def german_network(spark, sf_dir):
     return statutes.german_references(german_nodes_of(spark, sf_dir), {})
 
 
+_TYPES = ["Ermächtigung", "Rechtsgrundlage", "Durchführungsvorschrift", "Sonderregelung"]
+
+
+@query(
+    f"""WITH c AS (SELECT c_custkey AS k, coalesce(lead(c_custkey) OVER (ORDER BY c_custkey), (SELECT min(c_custkey) FROM customer)) AS t FROM customer)
+SELECT 'BJNR' || k || '_V-' || k || '_99991231_000001' AS u, 'BJNR' || t || '_V-' || t || '_99991231_' || CASE WHEN k % 3 = 0 THEN '000002' ELSE '000001' END AS v, 'authority' AS edge_type FROM c WHERE k % 4 <> 3 AND k % 5 <> 0"""
+)
+def german_authority_edges(spark, sf_dir):
+    """Regulations and the laws, or sections of laws, that their entries name as what empowers them; one file a customer."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    given = c.select("k", F.expr("concat('/in/BJNR', k, '_20000101_99991231.xml')").alias("path"))
+    xml = "concat('<dokumente builddate=\"1\"><norm><metadaten><jurabk>V ', k, '</jurabk><langue>Verordnung ', k, '</langue><ausfertigung-datum>x</ausfertigung-datum></metadaten><textdaten/></norm><norm><metadaten><enbez>§ ', k, '</enbez></metadaten><textdaten><text><Content><P>Es gilt.</P></Content></text></textdaten></norm></dokumente>')"
+    nodes = materialize(tree.shred(given.select("path", F.expr(xml).cast("binary").alias("content")), lambda path, data: formats.german_statute(path, formats.simplified(data))))
+    # every law names the next one by number, the last one the first
+    last, first = c.agg(F.max("k"), F.min("k")).first()
+    after = c.withColumn("t", F.when(F.col("k") == last, first).otherwise(F.col("k") + 1))
+    types = ", ".join(f"'{t}'" for t in _TYPES)
+    entry = f"to_json(array(struct(element_at(array({types}), cast(k % 4 + 1 as int)) as typ, if(k % 3 = 0, concat('§ ', t), null) as enbez, concat(if(k % 5 = 0, 'Keine ', ''), 'Verordnung ', t) as normabk)))"
+    entries = after.select(F.expr("concat('BJNR', k, '_V-', k, '_99991231_000001')").alias("key"), F.expr(entry).alias("entries"))
+    return statutes.german_authorities(nodes, entries)
+
+
 # -- decisions -------------------------------------------------------------------------------------------------------
 
 

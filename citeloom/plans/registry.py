@@ -382,6 +382,21 @@ def without_subunits(spark, sf_dir):
     return graph.without_kind(nodes, graph.containment_edges(nodes))[1]
 
 
+@query(
+    f"""WITH {_GEO}, refs AS (SELECT 'c' || o_custkey AS u, 's' || l_suppkey AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION ALL SELECT 'c' || o_custkey, 'n' || c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey),
+units AS (SELECT key, parent_key AS unit FROM nodes WHERE type = 'subseqitem')
+SELECT coalesce(x.unit, u) AS u, v, count(*) AS weight FROM refs LEFT JOIN units x ON x.key = u WHERE coalesce(x.unit, u) <> v GROUP BY ALL"""
+)
+def quotient_graph(spark, sf_dir):
+    """References of parts counted for the units that hold them; those to the own unit go."""
+    nodes, o = geography(spark, sf_dir), table(spark, sf_dir, "orders")
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    to_suppliers = o.join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey")).select(name("c", "o_custkey").alias("u"), name("s", "l_suppkey").alias("v"))
+    to_nations = o.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select(name("c", "o_custkey").alias("u"), name("n", "c_nationkey").alias("v"))
+    edges = graph.typed_edges(to_suppliers.unionByName(to_nations), "u", "v", "reference")
+    return graph.weighted(graph.quotient(edges, nodes.where("type = 'subseqitem'").select("key", F.col("parent_key").alias("unit"))))
+
+
 @query(f"WITH {_GEO} SELECT key, type FROM nodes WHERE key NOT IN (SELECT parent_key FROM nodes)")
 def leaf_nodes(spark, sf_dir):
     nodes = geography(spark, sf_dir)

@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import citations, german
 from citeloom.functions import text as tx
-from citeloom.operators import graph, lookup, ordered
+from citeloom.operators import graph, lookup, ordered, temporal
 from citeloom.operators.lineage import materialize
 from citeloom.sources import tree
 
-#: Dates and names of a dictionary of laws that a broadcast may hold.
-MAX_DATES, MAX_NAMES = 400, 200_000
-
 
 def references(nodes: DataFrame, code: bool | None = None) -> DataFrame:
     """One row per path that a text cites: ``ref_id, seqitem_key, node_key, path``. The own code is that of the document's key."""
@@ -54,11 +51,16 @@ def alignment_index(nodes: DataFrame) -> DataFrame:
     return placed.select((F.col("pos") - 1).alias("pos"), "key", "citekey", "text")
 
 
+def law_titles(nodes: DataFrame) -> DataFrame:
+    """``(name, citekey, doc_id)``: headings and abbreviations of documents as they are."""
+    a = F.col("attributes")
+    named = nodes.where("level = 0").select("doc_id", F.explode(F.array(F.col("heading"), a["heading_short"], a["abbr_1"], a["abbr_2"])).alias("name"), tx.key_prefix(a["abbr_1"]).alias("citekey"))
+    return named.where("name is not null and name <> ''").select("name", "citekey", "doc_id")
+
+
 def law_names(nodes: DataFrame) -> DataFrame:
     """``(name, citekey, doc_id)``: stemmed headings and abbreviations of documents."""
-    a = F.col("attributes")
-    named = nodes.where("level = 0").select("doc_id", F.explode(F.array(F.col("heading"), a["heading_short"], a["abbr_1"], a["abbr_2"])).alias("n"), tx.key_prefix(a["abbr_1"]).alias("citekey"))
-    return named.where("n is not null and n <> ''").select(tx.law_name_stem(F.col("n")).alias("name"), "citekey", "doc_id").distinct()
+    return law_titles(nodes).select(tx.law_name_stem(F.col("name")).alias("name"), "citekey", "doc_id").distinct()
 
 
 def heading_kinds(nodes: DataFrame) -> DataFrame:
@@ -81,28 +83,21 @@ def german_references(nodes: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def decision_citations(nodes: DataFrame, names: DataFrame) -> DataFrame:
-    """Citations of decisions: ``key, part`` (text or norm) and the columns of ``german.find_citations``.
+    """Citations of decisions: ``key, part`` (text or norm) and the columns of ``german.find_citations_by``.
 
     ``names(since, name, citekey)`` are stemmed names of laws from a date on; each decision takes those of the latest date
     at or before its own. Citations without a law's name are ignored, as a decision has no sections of its own. A decision
-    before the first date is an error. Dates are few, so there is one pass for each.
+    before the first date, or without a date, is an error. All dates go in one pass over the texts.
     """
-    dates = sorted(r[0] for r in names.select("since").distinct().limit(MAX_DATES + 1).collect())
-    if len(dates) > MAX_DATES:
-        raise ValueError(f"more than {MAX_DATES} dates of names")
     day = nodes.where("level = 0").select("doc_id", tx.compact_date(F.col("attributes")["datum"]).alias("day"))
     texts = nodes.where("error is null").select("doc_id", "key", F.lit("text").alias("part"), F.explode("texts").alias("text"))
     norms = nodes.where("level = 0").select("doc_id", "key", F.lit("norm").alias("part"), F.col("attributes")["norm"].alias("text")).where("text is not null")
-    latest = F.array_max(F.filter(F.array(*(F.lit(d) for d in dates)), lambda d: d <= F.col("day")))
-    dated = materialize(texts.unionByName(norms).join(day.withColumn("since", F.coalesce(latest, F.raise_error(F.concat(F.lit("no names of laws at "), F.col("day"))))), "doc_id"))
-    out = None
-    for d in dates:
-        known = {r["name"]: r["citekey"] for r in lookup.last_wins(names.where(F.col("since") == d), "name", "citekey", ["citekey"]).limit(MAX_NAMES + 1).collect()}
-        if len(known) > MAX_NAMES:
-            raise ValueError(f"more than {MAX_NAMES} names of laws")
-        found = german.find_citations(dated.where(F.col("since") == d), known, paragraphs=F.lit(False), articles=F.lit(False))
-        out = found if out is None else out.unionByName(found)
-    return out
+    # different days and dates only
+    every = F.lit(0).alias("all")
+    latest = temporal.as_of(day.select(every, "day").distinct(), names.select(every, "since").distinct(), "all", "day", "since", ["since"])
+    since = F.coalesce(F.col("since"), F.raise_error(F.concat(F.lit("no names of laws at "), F.coalesce("day", F.lit("no date")))))
+    dated = day.join(latest.select(F.col("day").alias("_day"), "since"), F.col("day").eqNullSafe(F.col("_day"))).select("doc_id", "day", since.alias("since"))
+    return german.find_citations_by(materialize(texts.unionByName(norms).join(dated, "doc_id")), names, "since")
 
 
 # Types of entries that name the laws which empower another.
@@ -118,3 +113,17 @@ def entry_references(laws: DataFrame, key: str, entries: str, names: DataFrame)
     wanted = spread.where(F.col("e.typ").isin(EMPOWERING) & F.col("e.normabk").isNotNull()).select(key, tx.law_name_stem(F.col("e.normabk")).alias("stem"), german.section_path(F.col("e.enbez")).alias("section"))
     known = lookup.last_wins(names.select(tx.law_name_stem(F.col("name")).alias("stem"), "citekey"), "stem", "citekey", ["citekey"])
     return wanted.join(known, "stem").select(key, F.concat(F.array("citekey"), "section").alias("path")).distinct()
+
+
+def german_authorities(nodes: DataFrame, entries: DataFrame) -> DataFrame:
+    """Authority edges of German regulations: ``entries(key, entries)`` of their root nodes, the JSON that ``entry_references`` takes.
+
+    A law that is named alone stands for its root node, a section of it for its unit; names and sections that no
+    document of the snapshot has give no edge. Names are the headings and abbreviations of the snapshot; where several
+    laws have one, the largest citekey counts, and of several documents of a citekey the last one.
+    """
+    refs = entry_references(entries, "key", "entries", law_titles(nodes)).select(F.col("key").alias("node_key"), "path")
+    roots = nodes.where("level = 0").select("doc_id", "key", tx.key_prefix(F.col("attributes")["abbr_1"]).alias("citekey"))
+    known = lookup.first_wins(tree.lookup_rows(nodes), "citekey", "key", ["doc_id", "pos"])
+    found = lookup.resolve_authority(refs, known, lookup.last_wins(roots, "citekey", "key", ["doc_id"]), "path", ["node_key"])
+    return graph.typed_edges(found, "node_key", "key", "authority")

@@ -136,3 +136,23 @@ def test_kinds_of_laws_behind_citations():
     assert kinds("§ 3 gilt", paragraphs=False) == [("ignore", "", [["3"]])]
     with pytest.raises(ValueError, match="characters"):
         german.checked({"x" * (german.MAX_NAMES + 1): "L"})
+
+
+def test_citations_by_dated_names_beside_loops(spark):
+    rnd = random.Random(11)
+    laws = [f"Gesetz {w}" for w in ("Eins", "Zwei", "Drei und Vier", "Drei")]
+    names = {f"{d:08d}": {german.stem(x): f"L{d}_{i}" for i, x in enumerate(laws) if rnd.random() < 0.7} for d in range(600)}
+    days = sorted(names)
+    names[days[3]].setdefault("gesetz zwei", "A")
+    texts = [(i, days[3] if i % 3 == 0 else rnd.choice([*days, "none"]), rnd.choice([None, "", *(f"nach § {i} Abs. 2 des {x} und Art. 3 gilt § 4 SGB V" for x in laws)]), i % 2 == 0) for i in range(900)]
+    want = []
+    for i, day, text, _ in texts:
+        found = german.areas(text, german.LawNames(names.get(day, {})), None, False, False)
+        want += [(i, n, f["start"], f["end"], f["law_type"], f["parsed"]) for n, f in enumerate(found)]
+    df = spark.createDataFrame(texts, "k long, since string, text string, start boolean")
+    given = spark.createDataFrame([(d, n, c) for d, x in names.items() for n, c in x.items()] + [(days[3], "gesetz zwei", "A"), (days[3], "", "B"), (None, "x", "C")], "since string, name string, citekey string")
+    found = german.find_citations_by(df, given, "since", tile_texts=50)
+    rows = sorted((r["k"], r["ref_pos"], r["start"], r["end"], r["law_type"], r["parsed"]) for r in found.collect())
+    assert rows == sorted(want) and len(rows) > 800
+    assert german.find_citations_by(df.where("false"), given, "since").count() == 0
+    assert german.find_citations_by(df, given.where("false"), "since", tile_texts=50).where("law_type = 'dict'").count() == 0

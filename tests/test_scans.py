@@ -95,3 +95,11 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1040)] + [(5000, 5000)]
     found = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert found == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(1000, 1040), 1000)}
+
+
+def test_quotient_moves_ends_to_units(spark):
+    edges = spark.createDataFrame([("a1", "b1", "r"), ("a1", "b1", "r"), ("a1", "a2", "r"), ("a1", "A", "r"), ("x", "x", "r"), ("x", "b2", "r"), (None, "b1", "r"), ("y", None, "r")], "u string, v string, edge_type string")
+    units = spark.createDataFrame([("a1", "A"), ("a2", "A"), ("b1", "B"), ("b2", "B"), ("y", None), (None, "Z")], "key string, unit string")
+    found = sorted(map(tuple, graph.quotient(edges, units).select("u", "v").collect()), key=repr)
+    assert found == sorted([("A", "B"), ("A", "B"), ("x", "x"), ("x", "B"), (None, "B"), ("y", None)], key=repr)
+    assert graph.quotient(edges.where("false"), units).count() == 0 and graph.quotient(edges, units.where("false")).count() == 8
