@@ -73,18 +73,6 @@ def test_containment_of_ends_with_one_partner(spark, seed):
     assert found == want and len(want) > 5 and len(links) > 3 * len(want)
 
 
-def test_needles_inside_of_many_copies_stop_at_two(spark):
-    rnd = random.Random(8)
-    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
-    needle = " ".join(word() for _ in range(20))
-    texts = [f"{word()} {needle} {' '.join(word() for _ in range(5))}" for _ in range(400)]
-    needles, hay = frame(spark, [needle, texts[3][:120]], "n"), frame(spark, texts, "h")
-    haystacks = containment.materialize(containment.classes(containment.digested(hay)))
-    asked = containment.asking(needles, containment.digested(needles), 50)
-    found = {r["needle"]: (r["haystack"], r["n"]) for r in containment.counted_in(asked, haystacks, hay, containment.filed(asked, haystacks, hay, 50)).collect()}
-    assert found["n0"][1] == 2 and found["n1"] == ("h3", 1)
-
-
 def test_joins_beyond_the_bound_are_the_same(spark, monkeypatch):
     rnd = random.Random(6)
     hay = ["".join(rnd.choice("abcdefgh ") for _ in range(200)) for _ in range(80)]
