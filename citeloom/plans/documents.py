@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import citations, german
 from citeloom.functions import text as tx
 from citeloom.operators import graph, lookup
-from citeloom.operators.lineage import materialize, new_path
+from citeloom.operators.lineage import dealt, materialize, new_path
 from citeloom.plans import statutes, volumes
 from citeloom.plans.base import query, table
 from citeloom.sources import archives, files, formats, tree
@@ -220,7 +220,7 @@ def alignment_index(spark, sf_dir):
 def archived_files(spark, sf_dir):
     """Members written to zip archives by many tasks, and read from them by as many as their bytes ask for."""
     path = new_path(spark)
-    p = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".xml")).alias("path"), F.encode(F.concat(F.lit("<p>"), "p_name", F.lit("</p>")), "utf-8").alias("content"))
+    p = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".xml")).alias("path"), F.encode(F.concat(F.lit("<p>"), "p_name", F.lit("</p>")), "utf-8").alias("content"))
     archives.write_zip(p, path)
     return archives.read_zip(spark, path, ".xml").select(F.element_at(F.split("path", "!"), -1).alias("name"), F.decode("content", "utf-8").alias("content"))
 

@@ -21,6 +21,26 @@ def test_many_members_are_many_tasks(spark, tmp_path):
     assert register.rdd.getNumPartitions() > 1_000
 
 
+def test_a_task_reads_its_own_entries(spark, tmp_path):
+    """What a task reads of a directory doesn't grow with the archive, and the sink's archives need no steps over their entries."""
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i in range(5_000):
+            z.writestr(f"{i}", "x" * (i % 7))
+        z.comment = b"PK at the end"
+    whole = (tmp_path / "a.zip").read_bytes()
+    (tmp_path / "b.zip").write_bytes(b"bytes before" + whole)  # as of archives that unpack themselves
+    held = archives._Members({"path": str(tmp_path)})
+    runs = held.runs(held.archives())
+    assert len(runs) == 10 and max(r.size for r in runs) < 60_000
+    assert {(p.split("!")[0][-5], int(p.split("!")[1]), len(x)) for r in runs for p, x in held.members(r)} == {(a, i, i % 7) for a in "ab" for i in range(5_000)}
+
+    path = str(tmp_path / "out")
+    archives.write_zip(spark.range(2_500).selectExpr("concat(id, '.xml') AS path", "encode('text', 'utf-8') AS content").coalesce(1), path)
+    written = archives._Members({"path": path})
+    assert sorted(r.members for r in written.runs(written.archives())) == [500, 1_000, 1_000]
+    assert archives.read_zip(spark, path).select("path").distinct().count() == 2_500
+
+
 def test_odd_archives(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert archives.read_zip(spark, str(tmp_path / "none")).count() == 0
