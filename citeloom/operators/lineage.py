@@ -61,9 +61,9 @@ def prepared(df: DataFrame) -> DataFrame:
     return materialize(df.repartition(cores) if df.rdd.getNumPartitions() < cores else df)
 
 
-def dealt(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` over four tasks a core by the hash of columns, ahead of work in Python: small rows that cost much lie in few parts of their file."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
+def dealt(df: DataFrame, *by: str, tasks: int = 4) -> DataFrame:
+    """``df`` over so many tasks a core by the hash of columns, ahead of work in Python: small rows that cost much lie in few parts of their file."""
+    return df.repartition(tasks * df.sparkSession.sparkContext.defaultParallelism, *by)
 
 
 @contextlib.contextmanager

@@ -21,7 +21,8 @@ def bundle(rows: DataFrame, by: str, order: list[str], piece: str, head: str, ta
     """One file per ``by`` of pieces in order; ``head``, ``piece``, ``tail`` and ``path`` are SQL expressions. Files are as large as a group."""
     made = rows.select(F.col(by), F.struct(*order).alias("o"), F.expr(piece).alias("x"), F.expr(head).alias("h"), F.expr(tail).alias("t"), F.expr(path).alias("path"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "x"))), lambda s: s["x"]), "")
-    return made.groupBy("path").agg(F.first("h").alias("h"), body.alias("b"), F.first("t").alias("t")).select("path", F.concat("h", "b", "t").cast("binary").alias("content"))
+    # many tasks, as a few files are dealt unevenly and are read where they are made
+    return dealt(made, "path", tasks=8).groupBy("path").agg(F.first("h").alias("h"), body.alias("b"), F.first("t").alias("t")).select("path", F.concat("h", "b", "t").cast("binary").alias("content"))
 
 
 def shown(nodes: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ UNION ALL SELECT d || '_' || printf('%06d', 3 + 8 * r + i), d || '_' || printf('
 
 
 def regulation_nodes_of(spark, sf_dir):
-    return materialize(tree.shred(regulation_files(spark, sf_dir), formats.regulation))
+    return materialize(tree.shred(regulation_files(spark, sf_dir), formats.volume))
 
 
 @query(f"WITH {_REGULATION} SELECT key, parent_key, level, type, citekey, heading, unit, texts, '' AS detailed, '' AS error FROM nodes")
@@ -127,7 +128,7 @@ UNION ALL SELECT 'cfr' || s || 'v' || v || '_2000_' || printf('%06d', i), 'cfr'
 )
 def merged_volumes(spark, sf_dir):
     """The volumes of a title as one document: what a volume goes on with joins the unit before it, at every depth."""
-    return shown(volumes.merged_volumes(tree.shred(volume_files(spark, sf_dir), formats.regulation)))
+    return shown(volumes.merged_volumes(tree.shred(volume_files(spark, sf_dir), formats.volume)))
 
 
 # -- statutes of the code -------------------------------------------------------------------------------------------
@@ -308,7 +309,7 @@ SELECT 'BJNR' || k || '_V-' || k || '_99991231_000001' AS u, 'BJNR' || t || '_V-
 def german_authority_edges(spark, sf_dir):
     """Regulations and the laws, or sections of laws, that their entries name as what empowers them; one file a customer."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    given = c.select("k", F.expr("concat('/in/BJNR', k, '_20000101_99991231.xml')").alias("path"))
+    given = dealt(c, "k").select("k", F.expr("concat('/in/BJNR', k, '_20000101_99991231.xml')").alias("path"))
     xml = "concat('<dokumente builddate=\"1\"><norm><metadaten><jurabk>V ', k, '</jurabk><langue>Verordnung ', k, '</langue><ausfertigung-datum>x</ausfertigung-datum></metadaten><textdaten/></norm><norm><metadaten><enbez>§ ', k, '</enbez></metadaten><textdaten><text><Content><P>Es gilt.</P></Content></text></textdaten></norm></dokumente>')"
     nodes = materialize(tree.shred(given.select("path", F.expr(xml).cast("binary").alias("content")), lambda path, data: formats.german_statute(path, formats.simplified(data))))
     # every law names the next one by number, the last one the first
@@ -324,7 +325,7 @@ def german_authority_edges(spark, sf_dir):
 
 
 def decision_files(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    c = dealt(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n")), "k")
     xml = "concat('<dokument><gertyp>BGH</gertyp><entsch-datum>20', lpad(cast(n as string), 2, '0'), '0131</entsch-datum><aktenzeichen>I ZR ', k, '/20</aktenzeichen><doktyp>Urteil</doktyp><norm>§ ', k, ' Testgesetz</norm><tenor><dl><dt/><dd><p>Die Klage ist erledigt.</p></dd></dl></tenor>', "
     xml += "'<gruende><dl><dt>1</dt><dd><p style=\"margin-left:1\">A. Zum Recht ', n, '</p></dd></dl><dl><dt>2</dt><dd><p>Nach § ', k, ' Testgesetz gilt das.</p></dd></dl><dl><dt/><dd><p style=\"margin-left:1\">geht weiter</p></dd></dl><dl><dt>3</dt><dd/></dl></gruende></dokument>')"
     return c.select(F.expr("concat('/in/K', k, '.xml')").alias("path"), F.encode(F.expr(xml), "utf-8").alias("content"))

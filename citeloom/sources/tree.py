@@ -9,7 +9,10 @@ with its own. Statistics of what is below a node are sums over such beginnings,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+import pickle
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -37,9 +40,14 @@ class Item:
     heading: str = ""
     citekey: str = ""
     attrs: dict[str, str] = field(default_factory=dict)
-    parts: list = field(default_factory=list)
+    parts: Iterable = field(default_factory=list)
     detailed: list[str] = field(default_factory=list)
 
+    def read(self) -> Item:
+        """The same with all parts, where a parser reads them when they are asked for."""
+        self.parts = [p.read() if isinstance(p, Item) else p for p in self.parts]
+        return self
+
     def items(self) -> Iterator[Item]:
         return (p for p in self.parts if isinstance(p, Item))
 
@@ -59,20 +67,53 @@ class Item:
             yield from p.walk()
 
 
-def rows(root: Item, doc_id: str, prefix: str, first: int = 1) -> list[tuple]:
-    """Node rows in document order; keys are ``{prefix}_{counter}`` with six digits."""
-    out: list[tuple] = []
+def rows(root: Item, doc_id: str, prefix: str, first: int = 1) -> Iterator[tuple]:
+    """Node rows, a node's after those below it; keys are ``{prefix}_{counter}`` with six digits in document order.
+
+    Parts are asked for one after the other, and what is above a node is read from it after its last part only. So a
+    parser may give parts that it reads when they are asked for.
+    """
+    count = 0
 
-    def visit(item: Item, parent: str, path: list[int], seqitem: tuple[str | None, str | None]) -> None:
-        key = f"{prefix}_{first + len(out):06d}"
+    def visit(item: Item, parent: str, path: list[int], seqitem: tuple[str | None, str | None]) -> Iterator[tuple]:
+        nonlocal count
+        pos, key = count, f"{prefix}_{first + count:06d}"
+        count += 1
         own = (key, item.citekey or None) if item.kind == "seqitem" else seqitem
-        out.append((doc_id, len(out), key, parent, len(path), item.kind, item.citekey, item.heading, item.attrs, *own, path, item.texts(), [i for i, p in enumerate(item.parts) if isinstance(p, str)], len(item.parts), item.detailed, None))
-        for place, child in enumerate(item.parts):
-            if isinstance(child, Item):
-                visit(child, key, [*path, place], own)
+        texts, places, n = [], [], 0
+        for part in item.parts:
+            if isinstance(part, Item):
+                yield from visit(part, key, [*path, n], own)
+            else:
+                texts.append(part)
+                places.append(n)
+            n += 1
+        yield (doc_id, pos, key, parent, len(path), item.kind, item.citekey, item.heading, item.attrs, *own, path, texts, places, n, item.detailed, None)
+
+    return visit(root, "", [], (None, None))
+
+
+def _waiting(found: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows in lists, once the last one is known to be good; more than one list waits in a temporary file."""
+    chunk = list(itertools.islice(found, ROWS))
+    if len(chunk) < ROWS:
+        return iter([chunk])
+    file, lists = tempfile.TemporaryFile(), 0
+    try:
+        while chunk:
+            pickle.dump(chunk, file)
+            lists, chunk = lists + 1, list(itertools.islice(found, ROWS))
+    except BaseException:
+        file.close()
+        raise
+
+    def back() -> Iterator[list[tuple]]:
+        with file:
+            file.seek(0)
+            for _ in range(lists):
+                yield pickle.load(file)
 
-    visit(root, "", [], (None, None))
-    return out
+    return back()
 
 
 Parser = Callable[[str, bytes], list[tuple[Item, str, str, int]]]
@@ -91,12 +132,14 @@ def shred(files: DataFrame, parse: Parser, path: str = "path", content: str = "c
             held: list[tuple] = []
             for name, data in zip(batch["p"], batch["c"], strict=True):
                 try:
-                    held += [r for item, doc_id, prefix, first in parse(name or "", bytes(data)) for r in rows(item, doc_id, prefix, first)]
+                    found = _waiting(r for tree in parse(name or "", bytes(data)) for r in rows(*tree))
                 except Exception as e:  # quarantined below, with the reason
-                    held.append((name, 0, *[None] * 14, f"{type(e).__name__}: {e}"))
-                if len(held) >= ROWS:  # small files share a frame, a large one has its own
-                    yield pd.DataFrame(held, columns=names)
-                    held = []
+                    found = iter([[(name, 0, *[None] * 14, f"{type(e).__name__}: {e}")]])
+                for chunk in found:
+                    held += chunk
+                    if len(held) >= ROWS:  # small files share a frame, a large one has several
+                        yield pd.DataFrame(held, columns=names)
+                        held = []
             if held:
                 yield pd.DataFrame(held, columns=names)
 

@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+
 import pytest
 
 from citeloom.operators import graph
@@ -127,3 +128,29 @@ def test_simplified():
     page = "<dokumente builddate='1'><norm><metadaten><titel>Law *)</titel><fundstelle>x</fundstelle></metadaten><textdaten><text><Content><P>one<BR/>two <FnR ID='1'/>three</P><TOC><a>x</a><b>y</b></TOC></Content></text><Footnotes>f</Footnotes></textdaten></norm></dokumente>"
     out = formats.simplified(page.encode()).decode()
     assert out == "<dokumente><norm><metadaten><titel>Law</titel></metadaten><textdaten><text><Content><P>one two three</P><TOC>x y</TOC></Content></text></textdaten></norm></dokumente>"
+
+
+def test_a_volume_is_never_held_whole():
+    """The memory of a volume's nodes doesn't grow with it, and one that can't be parsed at its end gives no nodes."""
+    import tracemalloc
+
+    section = "<SECTION><SECTNO>§ 1.1</SECTNO><SUBJECT>Scope</SUBJECT><P>(a) First.</P><P>(b) Second.</P></SECTION>"
+    path = "/d/CFR-2000-title7-vol1.xml"
+    page = lambda n, end="": f"<CFRDOC><TITLE><CHAPTER>{section * n}{end}<HD>Last</HD></CHAPTER></TITLE></CFRDOC>".encode()
+
+    def peak(n):
+        data = page(n)
+        tracemalloc.start()
+        count = sum(len(chunk) for chunk in tree._waiting(r for found in formats.volume(path, data) for r in tree.rows(*found)))
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert count == 2 + 3 * n
+        return most
+
+    assert peak(12_000) < 1.5 * peak(3_000)
+    (root, *_), *_ = formats.regulation(path, page(2))
+    whole = sorted(tree.rows(root, "d", "k"), key=lambda r: r[1])
+    (lazy, *_), *_ = formats.volume(path, page(2))
+    assert sorted(tree.rows(lazy, "d", "k"), key=lambda r: r[1]) == whole and [r[7] for r in whole][:2] == ["TITLE", "Last"]
+    with pytest.raises(ValueError, match="tag BAD"):
+        tree._waiting(r for found in formats.volume(path, page(3_000, "<SECTION><BAD/></SECTION>")) for r in tree.rows(*found))
