@@ -156,3 +156,13 @@ def test_citations_by_dated_names_beside_loops(spark):
     assert rows == sorted(want) and len(rows) > 800
     assert german.find_citations_by(df.where("false"), given, "since").count() == 0
     assert german.find_citations_by(df, given.where("false"), "since", tile_texts=50).where("law_type = 'dict'").count() == 0
+
+
+def test_areas_without_of_and_texts_without_title(spark):
+    """Areas are parsed alike with and without a trailing place; a text whose title is null has citations without paths, as before."""
+    assert citations.parse_area("5 U.S.C. 3(a), 4-7 and following", "block", 9) == [["5", "3", "a"], ["5", "4"], ["5", "7"]]
+    assert citations.parse_area("sections 3 and 4", "inline", 9) == [["9", "3"], ["9", "4"]]
+    assert citations.parse_area("sections 3 and 4 of title 8", "inline", 9) == [["8", "3"], ["8", "4"]]
+    rows = spark.createDataFrame([("section 3 Of this title", 7), ("section 3", None), (None, 1)], "text string, own int")
+    found = citations.find_citations(rows, title=rows["own"]).collect()
+    assert sorted((r["text"], r["ref_pos"], r["area"], r["parsed"]) for r in found) == [("section 3", 0, "section 3", []), ("section 3 Of this title", 0, "section 3 Of this title", [["7", "3"]])]
