@@ -1,7 +1,6 @@
 import io
 import zipfile
 
-
 import pytest
 
 from citeloom.operators import graph
@@ -154,3 +153,11 @@ def test_a_volume_is_never_held_whole():
     assert sorted(tree.rows(lazy, "d", "k"), key=lambda r: r[1]) == whole and [r[7] for r in whole][:2] == ["TITLE", "Last"]
     with pytest.raises(ValueError, match="tag BAD"):
         tree._waiting(r for found in formats.volume(path, page(3_000, "<SECTION><BAD/></SECTION>")) for r in tree.rows(*found))
+
+
+def test_small_rows_that_cost_much_are_dealt(spark, sf):
+    """One small file of a table makes work for all cores: documents are made and read over several tasks a core."""
+    from citeloom.plans import documents
+
+    assert documents.decision_files(spark, sf).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert documents.regulation_files(spark, sf).rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
