@@ -4,8 +4,9 @@ A set is a sorted array of 48-bit shingle hashes. Equal sets fall into one class
 Candidates share a shingle of their prefixes (AllPairs: with any one order of all shingles, two sets of the wanted
 similarity share one of their first ``n - ceil(t n) + 1``); the order puts shingles that many documents have last.
 Where many classes share a shingle, they are dealt into tiles: blocks of classes, ordered by size so that a band of
-sizes meets only those bands that the threshold allows. Every set has a bitmap of its hashed shingles; the bits in
-which two bitmaps differ bound the overlap from above (Sandes et al. 2020), and only pairs that pass are compared
+sizes meets only those bands that the threshold allows. Every set has a bitmap whose bits say whether an odd number of
+its shingles falls there (odd sketches, Mitzenmacher et al. 2014); a shingle that only one of two sets has changes one
+bit, so the bits in which two bitmaps differ bound the overlap from above, and only pairs that pass are compared
 exactly, by intersecting the sorted arrays.
 
 Groups need no more links than connect them. So before tiles are made, rounds of stars compare the classes under a
@@ -109,20 +110,19 @@ def least_overlap(a, b, percent: int = PERCENT):
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """A bit for every shingle, in four times as many bits as shingles, rounded up to a power of two."""
-    bits = max(64, 1 << int(4 * len(h) - 1).bit_length())
-    out = np.zeros(bits, dtype=np.uint8)
-    out[(h >> np.uint64(16) & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").tobytes()
+    """Whether an odd number of shingles falls on a bit, in as many bits as shingles, rounded up to a power of two."""
+    bits = max(64, 1 << int(len(h) - 1).bit_length())
+    counts = np.bincount((h >> np.uint64(16) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def folded(bitmaps: list[bytes]) -> np.ndarray:
-    """Bitmaps as rows of words, all folded to the length of the shortest by joining their halves."""
+    """Bitmaps as rows of words, all folded to the length of the shortest by adding their halves without carry."""
     short = min(map(len, bitmaps))
     out = np.empty((len(bitmaps), short // 8), dtype=np.uint64)
     for i, b in enumerate(bitmaps):
         words = np.frombuffer(b, dtype=np.uint64)
-        out[i] = np.bitwise_or.reduce(words.reshape(-1, short // 8), axis=0)
+        out[i] = np.bitwise_xor.reduce(words.reshape(-1, short // 8), axis=0)
     return out
 
 
@@ -221,9 +221,9 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         return pd.Series([one(*row) for row in zip(na.tolist(), nb.tolist(), x, y, strict=True)], dtype=bool)
 
     pairs = common.materialize(pairs)
-    wanted = common.with_filter(classes.select("id", "n", "bits"), pairs.select(F.explode(F.array("a", "b")).alias("id")), "_may", ["id"]).where("_may")
-    left = wanted.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    right = wanted.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    # each side moves the bitmaps of its own ends only: those of stars' centres are few
+    wanted = lambda end: common.with_filter(classes.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"x{end}")), pairs.select(end), "_may", [end]).where("_may").drop("_may")
+    left, right = wanted("a").hint("merge"), wanted("b").hint("merge")
     return common.materialize(pairs.join(left, "a").join(right, "b").where(may("na", "nb", "xa", "xb")).select("a", "b").distinct(), TEXT_ROWS)
 
 
@@ -298,9 +298,11 @@ def _groups(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     sets = _sets(docs, key, text)
     full = sets.where("n > 0")
     classes = _classes(sets, _common_shingles(sets), percent)
-    tokens = classes.select(F.explode("prefix").alias("token"), "id")
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    shared = _different_groups(tokens.join(often, "token"))  # classes that share a prefix shingle with another one
+    tokens = classes.select(F.explode("prefix").alias("token"), "id", "n")
+    # shingles of one class stay where they are, but for a few that the filter passes
+    often = common.materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"))
+    sifted = common.with_filter(tokens, often, "_may", ["token"]).where("_may").drop("_may")
+    shared = _different_groups(sifted.join(often.hint("merge"), "token"))  # classes that share a prefix shingle with another one
     comps = _components(sets, classes, shared, percent)
     members = classes.select("n", "k1", "k2", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("component_id"))
     joined = full.select("doc", "n", "k1", "k2").join(members, ["n", "k1", "k2"], "left").select("doc", "n", "component_id")
@@ -308,18 +310,36 @@ def _groups(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     return joined.unionByName(alone).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _near(a, b, percent: int):
+    """Whether two sizes allow the wanted similarity."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    return F.greatest(a, b) * percent <= F.least(a, b) * 100
+
+
+def _with_partner(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows(token, id, n, c, comp)`` without those whose shingle no class of another group and a near size has.
+
+    Rows of more than ``CROWD`` to a shingle stay as they are, so what is gathered by a shingle is bounded.
+    """
+    few = F.col("c") <= CROWD
+    held = rows.where(few).groupBy("token").agg(F.collect_list(F.struct("id", "n", "c", "comp")).alias("m"))
+    kept = F.filter("m", lambda x: F.exists("m", lambda y: (x["comp"] != y["comp"]) & _near(x["n"], y["n"], percent)))
+    return common.materialize(rows.where(~few).select("token", "id", "n", "c", "comp").unionByName(held.select("token", F.inline(kept))))
+
+
 def _different_groups(rows: DataFrame) -> DataFrame:
-    """``rows(token, id)`` of one token for every different set of ids, with its size ``c``: alike classes share many shingles, and one says it all.
+    """``rows(token, id, n)`` of one token for every different set of ids, with its size ``c``: alike classes share many shingles, and one says it all.
 
     Sets are named by their size and two hashes that are combined without order, so no set is ever gathered.
     """
     rows = common.materialize(rows)
     named = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x2"))
-    return common.materialize(rows.join(named.groupBy("c", "x1", "x2").agg(F.min("token").alias("token")).select("token", "c"), "token"))
+    kept = common.materialize(named.groupBy("c", "x1", "x2").agg(F.min("token").alias("token")).select("token", "c"))
+    return common.materialize(common.with_filter(rows, kept, "_may", ["token"]).where("_may").drop("_may").join(kept.hint("merge"), "token"))
 
 
 def _components(sets: DataFrame, classes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """``(node, component)`` of all classes that link with another class; ``shared`` has ``token, id, c``."""
+    """``(node, component)`` of all classes that link with another class; ``shared`` has ``token, id, n, c``."""
     left, comps = shared.withColumn("comp", F.col("id")), None
     crowded = left.where(F.col("c") > CROWD)
     before = None
@@ -330,11 +350,12 @@ def _components(sets: DataFrame, classes: DataFrame, shared: DataFrame, percent:
         before = now
         # the smallest key first, from which copies are often made, then others
         order = F.col("id") if r == 0 else F.xxhash64(F.lit(r), "id")
-        centre = crowded.groupBy("token").agg(F.min_by(F.struct("id", "comp"), order).alias("c")).select("token", F.col("c.id").alias("pid"), F.col("c.comp").alias("pc"))
-        pairs = crowded.join(centre, "token").where(F.col("comp") != F.col("pc")).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
+        centre = crowded.groupBy("token").agg(F.min_by(F.struct("id", "comp", "n"), order).alias("c")).select("token", F.col("c.id").alias("pid"), F.col("c.comp").alias("pc"), F.col("c.n").alias("pn"))
+        pairs = crowded.join(centre, "token").where(F.col("comp") != F.col("pc")).where(_near("n", "pn", percent)).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
         comps = _joined(comps, _verified(_possible(pairs, classes, percent), sets, percent))
         left = _open(left.drop("comp"), comps)
         crowded = left.where(F.col("c") > CROWD)
+    left = _with_partner(left, percent)
     blocks = F.ceil(F.col("c") / BLOCK)
     dealt = left.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     # shingles of one block are packed with others that have the same smallest class, some thousands of rows to a tile, so
@@ -356,8 +377,8 @@ def _components(sets: DataFrame, classes: DataFrame, shared: DataFrame, percent:
 
 
 def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """``rows(token, id, c)`` with their groups, of the shingles whose classes aren't all in one group yet."""
-    named = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "c", F.coalesce("component", "id").alias("comp"))
+    """``rows(token, id, n, c)`` with their groups, of the shingles whose classes aren't all in one group yet."""
+    named = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "c", F.coalesce("component", "id").alias("comp"))
     split = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     return common.materialize(named.join(split, "token"))
 

@@ -253,3 +253,21 @@ def test_line_dedup_beside_any_columns(spark):
     df = spark.createDataFrame([(1, run, "x", 1, "h"), (2, "own\n" + run, "y", 2, "d")], "doc_id long, text string, runs string, begin int, h string")
     rows = sorted(tuple(r) for r in linededup.dedup_lines(df).collect())
     assert rows == [(1, run, "x", 1, "h", 8, 0), (2, "own", "y", 2, "d", 9, 8)]
+
+
+def test_what_moves_for_a_pair_is_bounded(spark):
+    """Bitmaps take two bits a shingle at most and still rule out what is far apart; rows without a partner of a near size don't reach a tile."""
+    rng = np.random.default_rng(5)
+    h = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64) & ngramjoin._HIGH)
+    for n, m, both in ((1000, 1000, 1000), (1000, 900, 880), (1000, 1200, 0), (1000, 1000, 700), (1100, 900, 100), (70, 60, 55), (5, 6, 5)):
+        a, b = np.sort(h[:n]), np.sort(h[n - both : n - both + m])
+        maps = [ngramjoin.bitmap(a), ngramjoin.bitmap(b)]
+        assert all(8 * len(x) <= max(64, 2 * k) for x, k in zip(maps, (n, m), strict=True))
+        bits = ngramjoin.folded(maps)
+        bound = (n + m - int(np.bitwise_count(bits[0] ^ bits[1]).sum())) // 2
+        assert bound >= both
+        if n > 500 and both < 0.75 * n:
+            assert bound < ngramjoin.least_overlap(n, m)
+    rows = [(1, 1, 100, 3, 1), (1, 2, 124, 3, 2), (1, 3, 200, 3, 3), (2, 1, 100, 2, 1), (2, 4, 100, 2, 1), (3, 5, 10, 99, 5), (4, 6, 10, 2, 6), (4, 7, 13, 2, 7)]
+    kept = ngramjoin._with_partner(spark.createDataFrame(rows, "token long, id long, n long, c long, comp long"), 80)
+    assert sorted(map(tuple, kept.select("token", "id").collect())) == [(1, 1), (1, 2), (3, 5)]
