@@ -128,7 +128,8 @@ UNION ALL SELECT 'cfr' || s || 'v' || v || '_2000_' || printf('%06d', i), 'cfr'
 )
 def merged_volumes(spark, sf_dir):
     """The volumes of a title as one document: what a volume goes on with joins the unit before it, at every depth."""
-    return shown(volumes.merged_volumes(tree.shred(volume_files(spark, sf_dir), formats.volume)))
+    # written once, as merging reads them many times
+    return shown(volumes.merged_volumes(materialize(tree.shred(volume_files(spark, sf_dir), formats.volume))))
 
 
 # -- statutes of the code -------------------------------------------------------------------------------------------

@@ -164,3 +164,21 @@ def test_headings_of_chapters():
     assert headings(f"{volume_toc}<TITLE>{bare}{bare}</TITLE>") == ["Chapter III", "CHAPTER"]
     assert headings(f"{volume_toc}<TITLE><CHAPTER><HD>Own</HD>{section}</CHAPTER>{bare}</TITLE>") == ["Own", "CHAPTER"]
     assert headings(f"<TITLE><CHAPTER><RESERVED>Chapter V [Reserved]</RESERVED>{section}</CHAPTER></TITLE>") == ["Chapter V [Reserved]"]
+
+
+def test_volumes_are_parsed_once(spark, sf, tmp_path, monkeypatch):
+    import os
+    import uuid
+
+    from citeloom.plans import documents
+
+    folder, parse = str(tmp_path), documents.formats.volume
+
+    def noted(path, data):
+        open(os.path.join(folder, f"{os.path.basename(path)}-{uuid.uuid4().hex}"), "w").close()
+        return parse(path, data)
+
+    monkeypatch.setattr(documents.formats, "volume", noted)
+    assert documents.merged_volumes(spark, sf).count()
+    names = [name.rsplit("-", 1)[0] for name in os.listdir(folder)]
+    assert names and len(names) == len(set(names))
