@@ -271,7 +271,7 @@ UNION ALL SELECT u.d || '_' || printf('%06d', u.pos + i), u.d || '_' || printf('
 
 
 def german_nodes_of(spark, sf_dir):
-    return materialize(tree.shred(german_files(spark, sf_dir), lambda path, data: formats.german_statute(path, formats.simplified(data))))
+    return materialize(tree.shred(german_files(spark, sf_dir), lambda path, data: formats.german_statute(path, formats.simplified_tree(data))))
 
 
 @query(f"WITH {_GERMAN_NODES} SELECT key, parent_key, level, type, citekey, heading, unit, texts, '' AS detailed, '' AS error FROM nodes")
@@ -312,10 +312,10 @@ def german_authority_edges(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     given = dealt(c, "k").select("k", F.expr("concat('/in/BJNR', k, '_20000101_99991231.xml')").alias("path"))
     xml = "concat('<dokumente builddate=\"1\"><norm><metadaten><jurabk>V ', k, '</jurabk><langue>Verordnung ', k, '</langue><ausfertigung-datum>x</ausfertigung-datum></metadaten><textdaten/></norm><norm><metadaten><enbez>§ ', k, '</enbez></metadaten><textdaten><text><Content><P>Es gilt.</P></Content></text></textdaten></norm></dokumente>')"
-    nodes = materialize(tree.shred(given.select("path", F.expr(xml).cast("binary").alias("content")), lambda path, data: formats.german_statute(path, formats.simplified(data))))
+    nodes = materialize(tree.shred(given.select("path", F.expr(xml).cast("binary").alias("content")), lambda path, data: formats.german_statute(path, formats.simplified_tree(data))))
     # every law names the next one by number, the last one the first
     last, first = c.agg(F.max("k"), F.min("k")).first()
-    after = c.withColumn("t", F.when(F.col("k") == last, first).otherwise(F.col("k") + 1))
+    after = dealt(c, "k").withColumn("t", F.when(F.col("k") == last, first).otherwise(F.col("k") + 1))
     types = ", ".join(f"'{t}'" for t in _TYPES)
     entry = f"to_json(array(struct(element_at(array({types}), cast(k % 4 + 1 as int)) as typ, if(k % 3 = 0, concat('§ ', t), null) as enbez, concat(if(k % 5 = 0, 'Keine ', ''), 'Verordnung ', t) as normabk)))"
     entries = after.select(F.expr("concat('BJNR', k, '_V-', k, '_99991231_000001')").alias("key"), F.expr(entry).alias("entries"))

@@ -112,7 +112,8 @@ def entry_references(laws: DataFrame, key: str, entries: str, names: DataFrame)
     spread = laws.select(key, F.explode(F.from_json(entries, "array<struct<typ:string,enbez:string,normabk:string>>")).alias("e"))
     wanted = spread.where(F.col("e.typ").isin(EMPOWERING) & F.col("e.normabk").isNotNull()).select(key, tx.law_name_stem(F.col("e.normabk")).alias("stem"), german.section_path(F.col("e.enbez")).alias("section"))
     known = lookup.last_wins(names.select(tx.law_name_stem(F.col("name")).alias("stem"), "citekey"), "stem", "citekey", ["citekey"])
-    return wanted.join(known, "stem").select(key, F.concat(F.array("citekey"), "section").alias("path")).distinct()
+    # entries are small as stored and many times that as rows, so their size is no reason to broadcast them
+    return known.join(wanted.hint("shuffle_merge"), "stem").select(key, F.concat(F.array("citekey"), "section").alias("path")).distinct()
 
 
 def german_authorities(nodes: DataFrame, entries: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """From nested documents to one flat table of nodes.
 
 A format is a function from the bytes of a file to trees of ``Item``; everything else is shared: keys in document
-order, parents, levels, paths. The functions run in ``mapInPandas``, one row per file, and files are never
+order, parents, levels, paths. The functions run in ``mapInArrow``, one row per file, and files are never
 gathered. A node has its own texts only. Its ``path`` holds its place among the parts of its parent, after the places of
 its ancestors; so paths sort nodes and texts as the document does, and the nodes below one are those whose paths begin
 with its own. Statistics of what is below a node are sums over such beginnings, which the JVM computes.
@@ -15,7 +15,7 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +28,10 @@ NODE_SCHEMA = (
 )
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "map<string,string>": pa.map_(pa.string(), pa.string()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+_NAMES = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
+_TYPES = [_ARROW[c.split()[1]] for c in NODE_SCHEMA.split(", ")]
+_MAP = _NAMES.index("attributes")
 #: Rows of nodes that are given back at once.
 ROWS = 2_000
 
@@ -116,6 +120,13 @@ def _waiting(found: Iterator[tuple]) -> Iterator[list[tuple]]:
     return back()
 
 
+def _batch(held: list[tuple]) -> pa.RecordBatch:
+    """Node rows as Arrow, column by column."""
+    columns = list(zip(*held, strict=True))
+    columns[_MAP] = [m if m is None else list(m.items()) for m in columns[_MAP]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
+
+
 Parser = Callable[[str, bytes], list[tuple[Item, str, str, int]]]
 
 
@@ -126,24 +137,24 @@ def shred(files: DataFrame, parse: Parser, path: str = "path", content: str = "c
     silently and one bad file fails no job.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple] = []
-            for name, data in zip(batch["p"], batch["c"], strict=True):
+            for name, data in zip(*batch.columns, strict=True):
+                name, data = name.as_py(), data.as_py()
                 try:
                     found = _waiting(r for tree in parse(name or "", bytes(data)) for r in rows(*tree))
                 except Exception as e:  # quarantined below, with the reason
                     found = iter([[(name, 0, *[None] * 14, f"{type(e).__name__}: {e}")]])
                 for chunk in found:
                     held += chunk
-                    if len(held) >= ROWS:  # small files share a frame, a large one has several
-                        yield pd.DataFrame(held, columns=names)
+                    if len(held) >= ROWS:  # small files share a batch, a large one has several
+                        yield _batch(held)
                         held = []
             if held:
-                yield pd.DataFrame(held, columns=names)
+                yield _batch(held)
 
-    return files.select(F.col(path).cast("string").alias("p"), F.col(content).alias("c")).mapInPandas(run, NODE_SCHEMA)
+    return files.select(F.col(path).cast("string").alias("p"), F.col(content).alias("c")).mapInArrow(run, NODE_SCHEMA)
 
 
 def beginnings(path: Column) -> Column:

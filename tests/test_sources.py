@@ -2,6 +2,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from citeloom.operators import graph
 from citeloom.plans import statutes
@@ -161,3 +162,27 @@ def test_small_rows_that_cost_much_are_dealt(spark, sf):
 
     assert documents.decision_files(spark, sf).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert documents.regulation_files(spark, sf).rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
+
+
+def test_the_simplified_tree_is_what_is_read_back():
+    """A German statute is parsed once: the tree is the one that the simplified bytes give, returns that references stand for included."""
+    import xml.etree.ElementTree as ET
+
+    p = "<P>one&#13;two<BR/>three &amp; <b a='x&#10;y'>four</b></P>"
+    for text in ("a", "a&#13;&#10;b", "ä &lt;"):
+        page = f"<dokumente><norm><metadaten><jurabk>{text}</jurabk><enbez>(XXXX)</enbez></metadaten><textdaten><text><Content>{p}<DL><DT>1</DT><DD>{text}</DD></DL></Content></text></textdaten></norm></dokumente>".encode()
+        assert ET.tostring(formats.simplified_tree(page)) == ET.tostring(ET.fromstring(formats.simplified(page)))
+        assert [list(tree.rows(*t)) for t in formats.german_statute("/d/BJNR1_a_b.xml", formats.simplified_tree(page))] == [list(tree.rows(*t)) for t in formats.german_statute("/d/BJNR1_a_b.xml", formats.simplified(page))]
+
+
+def test_entries_of_laws_are_not_broadcast(spark, sf):
+    """Entries are made from a number a row, so they look small and grow with the laws; both sides are shuffled, and entries are parsed over several tasks."""
+    from citeloom.plans import documents, statutes
+
+    few = spark.range(3).select(F.concat(F.lit("k"), "id").alias("key"), F.to_json(F.array(F.struct(F.lit("Rechtsgrundlage").alias("typ"), F.concat(F.lit("§ "), "id").alias("enbez"), F.lit("Gesetz").alias("normabk")))).alias("entries"))
+    names = spark.createDataFrame([("Gesetz", "G")], "name string, citekey string")
+    found = statutes.entry_references(few, "key", "entries", names)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert sorted(tuple(r["path"]) for r in found.collect()) == [("G", "0"), ("G", "1"), ("G", "2")]
+    assert documents.german_authority_edges(spark, sf).count() > 0
