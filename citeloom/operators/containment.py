@@ -3,8 +3,9 @@
 Of every window of consecutive grams of a text those with the smallest hash are marked. Marks between a text's first
 and last one depend on the text in between only, so where a text lies in another one, its marks follow each other there
 at the same distances. A needle asks with two blocks of marks that start and end it and together cover it: each is the
-largest power of two that its marks hold. Haystacks file their blocks of all these lengths, after a filter of the
-needles' blocks, so that hardly more than true finds are moved. A needle goes by the rarer one of its two blocks; the
+largest power of two that its marks hold. Blocks of one or two marks are short, so what a needle has before its first and
+behind its last mark goes into their hashes too, in steps of a gram: no window begins there, so it is less than a window.
+Haystacks file their blocks of all these lengths, the short ones with every number of steps, after a filter of the needles' blocks, so that hardly more than true finds are moved. A needle goes by the rarer one of its two blocks; the
 other must be filed at the right distance; then a checksum of the place decides. Texts of needles are never moved.
 """
 
@@ -23,6 +24,8 @@ from citeloom.operators.lineage import materialize
 
 #: Bytes of a gram if texts are long enough for it; factors that mix hashes.
 GRAM, _A, _B, _C = 8, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+#: Marks of the blocks whose hashes have grams around them: fewer than so many grams of random text are no rarity.
+AROUND = 2
 #: Rows that are given back at once, texts that pass to Python at once.
 ROWS, TEXTS = 50_000, 500
 
@@ -49,6 +52,12 @@ def shape(min_bytes: int) -> tuple[int, int]:
 
 def marks(text: bytes, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """``(places, hashes)`` of the grams that are the least of a window; equal ones of a window are marked all."""
+    places, h = _marked(text, gram, window)
+    return places, h[places]
+
+
+def _marked(text: bytes, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of marks, and the hashes of all grams."""
     n = len(text) - gram + 1
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -59,7 +68,7 @@ def marks(text: bytes, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     least = np.zeros(n + window - 1, dtype=np.uint64)
     least[window - 1 : n] = _extreme(h, window, np.minimum)
     places = np.flatnonzero(_extreme(least, window, np.maximum) == h)
-    return places, h[places]
+    return places, h
 
 
 def blocks(places: np.ndarray, hashes: np.ndarray) -> Iterator[np.ndarray]:
@@ -71,6 +80,39 @@ def blocks(places: np.ndarray, hashes: np.ndarray) -> Iterator[np.ndarray]:
         block, step = _mixed(block[: len(gaps)] * _C + block[step : step + len(gaps)] + gaps), 2 * step
 
 
+def _around(block: np.ndarray, edge: np.ndarray, h: np.ndarray, gram: int, window: int, side: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(which, hashes)`` of the blocks with one, two ... grams more that end (``side`` -1) or begin (1) at their edges, as far as the text has them."""
+    which, key = np.arange(len(block)), block
+    for step in range(1, (window - 1) // gram + 1 if gram == GRAM else 1):
+        at = edge[which] + gram * (-step if side < 0 else step - 1)
+        held = (at >= 0) & (at < len(h))
+        which, key = which[held], _mixed(key[held] * (_C if side < 0 else _A) + h[at[held]])
+        yield which, key
+
+
+def filed(places: np.ndarray, h: np.ndarray, gram: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(hashes, begins)`` by which a haystack is found: of all blocks, and of short ones with what is before or behind them."""
+    for level, block in enumerate(blocks(places, h[places])):
+        begin, marked = places[: len(block)], 1 << level
+        yield block, begin
+        if marked <= AROUND:
+            for edge, side in ((begin, -1), (places[marked - 1 :] + gram, 1)):
+                for which, key in _around(block, edge, h, gram, window, side):
+                    yield key, begin[which]
+
+
+def asked(places: np.ndarray, h: np.ndarray, gram: int, window: int) -> tuple[int, int, int, int]:
+    """``(first, first_at, last, last_at)``: hashes of a needle's two blocks, short ones with all that it has before and behind them, and where these begin."""
+    *_, block = blocks(places, h[places])
+    marked = len(places) - len(block) + 1
+    ends = [block[:1], block[-1:]]
+    if marked <= AROUND:
+        for i, (edge, side) in enumerate(((places[:1], -1), (places[-1:] + gram, 1))):
+            for which, key in _around(ends[i], edge, h, gram, window, side):
+                ends[i] = key if len(which) else ends[i]
+    return int(ends[0].view(np.int64)[0]), int(places[0]), int(ends[1].view(np.int64)[0]), int(places[len(block) - 1])
+
+
 _NEEDLE = "needle string, bytes long, sha binary, first long, first_at long, last long, last_at long"
 
 
@@ -82,10 +124,7 @@ def needles_of(texts: DataFrame, min_length: int) -> DataFrame:
         for batch in batches:
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                places, hashes = marks(text, gram, window)
-                *_, block = blocks(places, hashes)
-                last_at = places[len(block) - 1]
-                out.append((key, len(text), hashlib.sha256(text).digest(), int(block[0].view(np.int64)), int(places[0]), int(block[-1].view(np.int64)), int(last_at)))
+                out.append((key, len(text), hashlib.sha256(text).digest(), *asked(*_marked(text, gram, window), gram, window)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
             types = (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_NEEDLE.replace(",", "").split()[::2])
@@ -104,11 +143,10 @@ def postings_of(texts: DataFrame, bits: np.ndarray, min_length: int) -> DataFram
         made = lambda: pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (ends, found, at))], names=["haystack", "rest", "block", "at"])
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                places, hashes = marks(text, gram, window)
-                levels = list(blocks(places, hashes))
+                levels = list(filed(*_marked(text, gram, window), gram, window))
                 if not levels:
                     continue
-                block, begin = np.concatenate(levels), np.concatenate([places[: len(x)] for x in levels])
+                block, begin = (np.concatenate(x) for x in zip(*levels, strict=True))
                 hit = np.flatnonzero(passes(held.value, block))
                 keys += [key] * len(hit)
                 ends.append(len(text) - begin[hit])

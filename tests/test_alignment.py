@@ -163,3 +163,23 @@ def test_progress_of_an_alignment(spark):
     df = lambda n: spark.range(n).select(F.col("id").alias("pos"), F.concat(F.lit("l_"), F.col("id")).alias("key"))
     mapping = spark.createDataFrame([("l_0", "l_0", "text"), ("l_1", "l_1", "text"), ("l_2", "l_2", "citekey")], alignment.MAPPING)
     assert sorted(map(tuple, alignment.progress(mapping, df(6), df(9)).collect())) == [("all", 3, 0.5), ("citekey", 1, 1 / 6), ("text", 2, 2 / 6)]
+
+
+def test_short_needles_ask_for_true_finds_only(spark):
+    """A gram that many texts share brings no needle to all of them: what is around it is asked for too."""
+    rnd = random.Random(8)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    gram, window = containment.shape(50)
+    made = [noise(rnd.randint(50, 70)) for _ in range(400)]
+    needles = [t for t in made if len(containment.marks(t.encode(), gram, window)[0]) == 1][:40]
+    place = lambda t: int(containment.marks(t.encode(), gram, window)[0][0])
+    hay = [noise(42) + t[place(t) : place(t) + gram] + noise(42) for t in needles for _ in range(30)]
+    hay += [noise(rnd.randint(0, 60)) + t + noise(rnd.randint(0, 60)) for t in needles] + needles
+    n, h = frame(spark, needles, "n"), frame(spark, hay, "h")
+    asking = containment.materialize(containment.needles_of(n, 50))
+    bits = joins.key_filter(asking.select(F.explode(F.array("first", "last")).alias("block")), "block")
+    postings = containment.postings_of(h, bits, 50)
+    found = postings.join(asking, postings["block"] == asking["first"]).select("needle", "haystack").distinct().count()
+    assert found < 3 * len(needles)  # a gram alone finds some thirty a needle
+    want = sorted((f"n{i}", f"h{j}") for i, t in enumerate(needles) for j, x in enumerate(hay) if t in x)
+    assert pairs(containment.contained(n, h)) == want and len(needles) == 40 and len(want) == 80
