@@ -90,30 +90,38 @@ def _around(block: np.ndarray, edge: np.ndarray, h: np.ndarray, gram: int, windo
         yield which, key
 
 
-def filed(places: np.ndarray, h: np.ndarray, gram: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(hashes, begins)`` by which a haystack is found: of all blocks, and of short ones with what is before or behind them."""
+def _bare(block: np.ndarray) -> np.ndarray:
+    """The hashes by which the filter knows short blocks without what is around them."""
+    return _mixed(block ^ _B)
+
+
+def filed(places: np.ndarray, h: np.ndarray, gram: int, window: int, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(hashes, begins)`` by which a haystack is found: of all blocks, and of short ones that needles have, with what is before or behind them."""
     for level, block in enumerate(blocks(places, h[places])):
         begin, marked = places[: len(block)], 1 << level
-        yield block, begin
         if marked <= AROUND:
-            for edge, side in ((begin, -1), (places[marked - 1 :] + gram, 1)):
+            own = np.flatnonzero(passes(bits, _bare(block)))
+            block, begin, end = block[own], begin[own], places[own + marked - 1] + gram
+            for edge, side in ((begin, -1), (end, 1)):
                 for which, key in _around(block, edge, h, gram, window, side):
                     yield key, begin[which]
+        yield block, begin
 
 
-def asked(places: np.ndarray, h: np.ndarray, gram: int, window: int) -> tuple[int, int, int, int]:
-    """``(first, first_at, last, last_at)``: hashes of a needle's two blocks, short ones with all that it has before and behind them, and where these begin."""
+def asked(places: np.ndarray, h: np.ndarray, gram: int, window: int) -> tuple[int, int, int, int, int | None, int | None]:
+    """``(first, first_at, last, last_at)``: hashes of a needle's two blocks, short ones with all that it has before and behind them, and where these begin; what ``_bare`` gives for short ones."""
     *_, block = blocks(places, h[places])
     marked = len(places) - len(block) + 1
-    ends = [block[:1], block[-1:]]
+    ends, bare = [block[:1], block[-1:]], [None, None]
     if marked <= AROUND:
+        bare = [int(_bare(b).view(np.int64)[0]) for b in ends]
         for i, (edge, side) in enumerate(((places[:1], -1), (places[-1:] + gram, 1))):
             for which, key in _around(ends[i], edge, h, gram, window, side):
                 ends[i] = key if len(which) else ends[i]
-    return int(ends[0].view(np.int64)[0]), int(places[0]), int(ends[1].view(np.int64)[0]), int(places[len(block) - 1])
+    return int(ends[0].view(np.int64)[0]), int(places[0]), int(ends[1].view(np.int64)[0]), int(places[len(block) - 1]), *bare
 
 
-_NEEDLE = "needle string, bytes long, sha binary, first long, first_at long, last long, last_at long"
+_NEEDLE = "needle string, bytes long, sha binary, first long, first_at long, last long, last_at long, first_bare long, last_bare long"
 
 
 def needles_of(texts: DataFrame, min_length: int) -> DataFrame:
@@ -125,8 +133,8 @@ def needles_of(texts: DataFrame, min_length: int) -> DataFrame:
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 out.append((key, len(text), hashlib.sha256(text).digest(), *asked(*_marked(text, gram, window), gram, window)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            types = (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            columns = list(zip(*out, strict=True)) if out else [[]] * 9
+            types = (pa.string(), pa.int64(), pa.binary(), *[pa.int64()] * 6)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_NEEDLE.replace(",", "").split()[::2])
 
     long = texts.where(F.length("text") >= max(min_length, 1)).select("key", F.col("text").cast("binary").alias("text"))
@@ -143,7 +151,7 @@ def postings_of(texts: DataFrame, bits: np.ndarray, min_length: int) -> DataFram
         made = lambda: pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (ends, found, at))], names=["haystack", "rest", "block", "at"])
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                levels = list(filed(*_marked(text, gram, window), gram, window))
+                levels = list(filed(*_marked(text, gram, window), gram, window, held.value))
                 if not levels:
                     continue
                 block, begin = (np.concatenate(x) for x in zip(*levels, strict=True))
@@ -163,6 +171,11 @@ def postings_of(texts: DataFrame, bits: np.ndarray, min_length: int) -> DataFram
     return texts.mapInArrow(run, "haystack string, rest long, block long, at long")
 
 
+def known_by(needles: DataFrame) -> DataFrame:
+    """``(block)``: the hashes of the filter for rows of ``needles_of``."""
+    return needles.select(F.explode(F.array_compact(F.array("first", "last", "first_bare", "last_bare"))).alias("block"))
+
+
 def asking(texts: DataFrame, keys: DataFrame, min_length: int) -> DataFrame:
     """The rows of ``needles_of`` for the texts of ``keys``, written."""
     return materialize(mapped_of(texts, keys, "key", lambda df: needles_of(df, min_length), "needle"), TEXTS)
@@ -174,8 +187,7 @@ def found_in(needles: DataFrame, haystacks: DataFrame, texts: DataFrame, min_len
     Keys are unique and not null; ``needles`` and ``haystacks`` are written already. Texts move only for places that both
     blocks left, those of haystacks.
     """
-    asked = needles.select(F.explode(F.array("first", "last")).alias("block"))
-    bits = key_filter(asked, "block")
+    bits = key_filter(known_by(needles), "block")
     postings = materialize(mapped_of(texts, haystacks, "key", lambda df: postings_of(df, bits, min_length), "haystack"), TEXTS)
     frequency = postings.groupBy("block").agg(F.count(F.lit(1)).alias("df"))
     ways = needles.select("needle", F.explode(F.array(*(F.struct(F.col(a).alias("block"), F.col(f"{a}_at").alias("at"), F.col(b).alias("other"), F.col(f"{b}_at").alias("other_at")) for a, b in (("first", "last"), ("last", "first"))))).alias("w"))

@@ -177,7 +177,7 @@ def test_short_needles_ask_for_true_finds_only(spark):
     hay += [noise(rnd.randint(0, 60)) + t + noise(rnd.randint(0, 60)) for t in needles] + needles
     n, h = frame(spark, needles, "n"), frame(spark, hay, "h")
     asking = containment.materialize(containment.needles_of(n, 50))
-    bits = joins.key_filter(asking.select(F.explode(F.array("first", "last")).alias("block")), "block")
+    bits = joins.key_filter(containment.known_by(asking), "block")
     postings = containment.postings_of(h, bits, 50)
     found = postings.join(asking, postings["block"] == asking["first"]).select("needle", "haystack").distinct().count()
     assert found < 3 * len(needles)  # a gram alone finds some thirty a needle
