@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.operators.joins import few_bytes, fetched
+from citeloom.operators.lineage import materialize
+
 # Units of German statutes with the ways they are written, in the order in which they nest.
 UNITS = {
     "§": ("§§", "§"),
@@ -206,20 +209,21 @@ def find_citations(df: DataFrame, names: dict[str, str], text: str = "text", own
 def find_citations_by(df: DataFrame, names: DataFrame, group: str, text: str = "text", tile_texts: int = TILE_TEXTS) -> DataFrame:
     """One row per citation with all columns of the written ``df``: those of a ``group`` by its own ``names(group, name, citekey)``.
 
-    Of several citekeys of a name the largest counts. Neither dates nor names are limited and none is broadcast: a group's
+    Of several citekeys of a name the largest counts. Neither dates nor names are limited and none is broadcast, only the groups' numbers of tiles are if they are few: a group's
     texts are dealt into tiles of about ``tile_texts``, so that a large group goes over many tasks; its names go once to
     every tile, come first there by the sort and become its automaton. Citations without a name are ignored. Null texts
     have none, nor has a null group; groups without texts cost nothing, those without names know the custom ones only.
     """
     own = ["ref_pos", "start", "end", "main", "suffix", "lawname", "law_type", "parsed"]
     kept = [c for c in df.columns if c not in own]
-    tiles = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count(F.lit(1)) / tile_texts).alias("_n"))
+    tiles = materialize(df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count(F.lit(1)) / tile_texts).alias("_n")))
+    few = few_bytes(tiles)  # then texts move by group and tile only, never all of a group to one task
     row = F.struct(*(F.col(f"`{c}`") for c in kept))
     # drawn on the written rows, so that a task that runs again deals them alike
     drawn = df.select(F.col(group).alias("_g"), F.rand(1).alias("_at"), F.lit(None).cast("string").alias("_name"), F.lit(None).cast("string").alias("_key"), F.col(f"`{text}`").alias("_text"), row.alias("_row"))
-    texts = drawn.join(tiles, "_g").select("_g", F.floor(F.col("_at") * F.col("_n")).alias("_tile"), "_name", "_key", "_text", "_row")
-    known = names.where("name <> '' and citekey is not null").groupBy(F.col(group).alias("_g"), F.col("name").alias("_name")).agg(F.max("citekey").alias("_key")).join(tiles, "_g")
-    known = known.select("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_tile"), "_name", "_key")
+    texts = fetched(drawn, tiles, "_g", few).select("_g", F.floor(F.col("_at") * F.col("_n")).alias("_tile"), "_name", "_key", "_text", "_row")
+    known = names.where("name <> '' and citekey is not null").groupBy(F.col(group).alias("_g"), F.col("name").alias("_name")).agg(F.max("citekey").alias("_key"))
+    known = fetched(known, tiles, "_g", few).select("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_tile"), "_name", "_key")
     rows = known.unionByName(texts, allowMissingColumns=True).select(*texts.columns).repartition("_g", "_tile").sortWithinPartitions("_g", "_tile", F.col("_name").isNull())
     area = df.select(F.lit(None).cast(_AREA).alias("a")).schema["a"].dataType.elementType
     schema = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("ref_pos", T.IntegerType()), *area.fields])

@@ -158,6 +158,20 @@ def test_citations_by_dated_names_beside_loops(spark):
     assert german.find_citations_by(df, given.where("false"), "since", tile_texts=50).where("law_type = 'dict'").count() == 0
 
 
+def test_texts_of_a_date_are_dealt_before_they_move(spark):
+    """A group's texts go to their tiles at once; the number of tiles comes to them, so no task gets all texts of a date on the way."""
+    df = spark.range(400).selectExpr("id as k", "cast(20000101 + id div 1000 as string) as since", "concat('nach § ', id, ' des Testgesetzes') as text")
+    names = spark.createDataFrame([("20000101", "testgesetz", "L")], "since string, name string, citekey string")
+    name, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(name, "-1")  # as with tables whose size says nothing
+    try:
+        found = german.find_citations_by(df, names, "since", tile_texts=50)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["k"], r["parsed"]) for r in found.collect()) == [(i, [["L", str(i)]]) for i in range(400)]
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_areas_without_of_and_texts_without_title(spark):
     """Areas are parsed alike with and without a trailing place; a text whose title is null has citations without paths, as before."""
     assert citations.parse_area("5 U.S.C. 3(a), 4-7 and following", "block", 9) == [["5", "3", "a"], ["5", "4"], ["5", "7"]]
