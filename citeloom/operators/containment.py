@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from citeloom.operators.lineage import materialize
 GRAM, _A, _B, _C = 8, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 #: Marks of the blocks whose hashes have grams around them: fewer than so many grams of random text are no rarity.
 AROUND = 2
-#: Rows that are given back at once, texts that pass to Python at once.
-ROWS, TEXTS = 50_000, 500
+#: Rows that are given back at once, texts that pass to Python at once, bytes of texts whose blocks are made at once.
+ROWS, TEXTS, PART = 50_000, 500, 200_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -80,13 +81,50 @@ def blocks(places: np.ndarray, hashes: np.ndarray) -> Iterator[np.ndarray]:
         block, step = _mixed(block[: len(gaps)] * _C + block[step : step + len(gaps)] + gaps), 2 * step
 
 
-def _around(block: np.ndarray, edge: np.ndarray, h: np.ndarray, gram: int, window: int, side: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(which, hashes)`` of the blocks with one, two ... grams more that end (``side`` -1) or begin (1) at their edges, as far as the text has them."""
+class Marks(NamedTuple):
+    """Marks of several texts, whose grams stand one behind the other: places there, the text of each mark, hashes of all grams, where a text's begin."""
+
+    places: np.ndarray
+    owner: np.ndarray
+    h: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes], gram: int, window: int) -> Marks:
+        places, h = zip(*(_marked(t, gram, window) for t in texts), strict=True)
+        first = np.cumsum([0, *map(len, h)])
+        counts = list(map(len, places))
+        return cls(np.concatenate(places) + np.repeat(first[:-1], counts), np.repeat(np.arange(len(texts)), counts), np.concatenate(h), first)
+
+    def begins(self, marks: np.ndarray) -> np.ndarray:
+        """Where marks are in their own texts."""
+        return self.places[marks] - self.first[self.owner[marks]]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
+    """Keys and texts of about ``PART`` bytes, so that what is done for many texts at once stays small."""
+    for batch in batches:
+        keys, texts, size = [], [], 0
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys.append(key)
+            texts.append(text)
+            size += len(text)
+            if size >= PART:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+        if keys:
+            yield keys, texts
+
+
+def _around(block: np.ndarray, edge: np.ndarray, owner: np.ndarray, marked: Marks, gram: int, window: int, side: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(which, hashes)`` of the blocks with one, two ... grams more that end (``side`` -1) or begin (1) at their edges, as far as their texts have them."""
     which, key = np.arange(len(block)), block
     for step in range(1, (window - 1) // gram + 1 if gram == GRAM else 1):
         at = edge[which] + gram * (-step if side < 0 else step - 1)
-        held = (at >= 0) & (at < len(h))
-        which, key = which[held], _mixed(key[held] * (_C if side < 0 else _A) + h[at[held]])
+        held = (at >= marked.first[owner[which]]) & (at < marked.first[owner[which] + 1])
+        which, key = which[held], _mixed(key[held] * (_C if side < 0 else _A) + marked.h[at[held]])
+        if not len(which):
+            return
         yield which, key
 
 
@@ -95,30 +133,42 @@ def _bare(block: np.ndarray) -> np.ndarray:
     return _mixed(block ^ _B)
 
 
-def filed(places: np.ndarray, h: np.ndarray, gram: int, window: int, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(hashes, begins)`` by which a haystack is found: of all blocks, and of short ones that needles have, with what is before or behind them."""
-    for level, block in enumerate(blocks(places, h[places])):
-        begin, marked = places[: len(block)], 1 << level
-        if marked <= AROUND:
-            own = np.flatnonzero(passes(bits, _bare(block)))
-            block, begin, end = block[own], begin[own], places[own + marked - 1] + gram
-            for edge, side in ((begin, -1), (end, 1)):
-                for which, key in _around(block, edge, h, gram, window, side):
+def filed(marked: Marks, gram: int, window: int, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(hashes, first marks)`` by which haystacks are found: of all blocks, and of short ones that needles have, with what is before or behind them."""
+    for level, block in enumerate(blocks(marked.places, marked.h[marked.places])):
+        n = 1 << level
+        begin = np.flatnonzero(marked.owner[: len(block)] == marked.owner[n - 1 :])
+        if not len(begin):
+            return
+        block = block[begin]
+        if n <= AROUND:
+            own = passes(bits, _bare(block))
+            block, begin = block[own], begin[own]
+            owner = marked.owner[begin]
+            for edge, side in ((marked.places[begin], -1), (marked.places[begin + n - 1] + gram, 1)):
+                for which, key in _around(block, edge, owner, marked, gram, window, side):
                     yield key, begin[which]
         yield block, begin
 
 
-def asked(places: np.ndarray, h: np.ndarray, gram: int, window: int) -> tuple[int, int, int, int, int | None, int | None]:
-    """``(first, first_at, last, last_at)``: hashes of a needle's two blocks, short ones with all that it has before and behind them, and where these begin; what ``_bare`` gives for short ones."""
-    *_, block = blocks(places, h[places])
-    marked = len(places) - len(block) + 1
-    ends, bare = [block[:1], block[-1:]], [None, None]
-    if marked <= AROUND:
-        bare = [int(_bare(b).view(np.int64)[0]) for b in ends]
-        for i, (edge, side) in enumerate(((places[:1], -1), (places[-1:] + gram, 1))):
-            for which, key in _around(ends[i], edge, h, gram, window, side):
-                ends[i] = key if len(which) else ends[i]
-    return int(ends[0].view(np.int64)[0]), int(places[0]), int(ends[1].view(np.int64)[0]), int(places[len(block) - 1]), *bare
+def asked(marked: Marks, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(ends, at, bare, short)`` by side and needle: hashes of its two blocks, short ones with all that it has before and behind them, and where these begin; what ``_bare`` gives for short ones, and whether they are short."""
+    n = np.bincount(marked.owner, minlength=len(marked.first) - 1)
+    start, top = np.cumsum(n) - n, np.frexp(n)[1] - 1
+    ends, at, bare = (np.zeros((2, len(n)), dtype=t) for t in (np.uint64, np.int64, np.uint64))
+    for level, block in enumerate(blocks(marked.places, marked.h[marked.places])):
+        if level > top.max():
+            break
+        own, width = np.flatnonzero(top == level), 1 << level
+        for i, (mark, side) in enumerate(((start[own], -1), (start[own] + n[own] - width, 1))):
+            key, at[i][own] = block[mark], marked.begins(mark)
+            if width <= AROUND:
+                bare[i][own] = _bare(key)
+                edge = marked.places[mark] if side < 0 else marked.places[mark + width - 1] + gram
+                for which, longer in _around(block[mark], edge, own, marked, gram, window, side):
+                    key[which] = longer
+            ends[i][own] = key
+    return ends.view(np.int64), at, bare.view(np.int64), (1 << np.maximum(top, 0)) <= AROUND
 
 
 _NEEDLE = "needle string, bytes long, sha binary, first long, first_at long, last long, last_at long, first_bare long, last_bare long"
@@ -129,13 +179,11 @@ def needles_of(texts: DataFrame, min_length: int) -> DataFrame:
     gram, window = shape(min_length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out.append((key, len(text), hashlib.sha256(text).digest(), *asked(*_marked(text, gram, window), gram, window)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 9
-            types = (pa.string(), pa.int64(), pa.binary(), *[pa.int64()] * 6)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_NEEDLE.replace(",", "").split()[::2])
+        for keys, held in _parts(batches):
+            ends, at, bare, short = asked(Marks.of(held, gram, window), gram, window)
+            own = [pa.array(keys, pa.string()), pa.array([len(t) for t in held], pa.int64()), pa.array([hashlib.sha256(t).digest() for t in held], pa.binary())]
+            numbers = [ends[0], at[0], ends[1], at[1], *(pa.array(b, mask=~short) for b in bare)]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c) if isinstance(c, np.ndarray) else c for c in numbers)], names=_NEEDLE.replace(",", "").split()[::2])
 
     long = texts.where(F.length("text") >= max(min_length, 1)).select("key", F.col("text").cast("binary").alias("text"))
     return long.mapInArrow(run, _NEEDLE)
@@ -149,21 +197,22 @@ def postings_of(texts: DataFrame, bits: np.ndarray, min_length: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ends, found, at, n = [], [], [], [], 0
         made = lambda: pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (ends, found, at))], names=["haystack", "rest", "block", "at"])
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                levels = list(filed(*_marked(text, gram, window), gram, window, held.value))
-                if not levels:
-                    continue
-                block, begin = (np.concatenate(x) for x in zip(*levels, strict=True))
-                hit = np.flatnonzero(passes(held.value, block))
-                keys += [key] * len(hit)
-                ends.append(len(text) - begin[hit])
-                found.append(block[hit].view(np.int64))
-                at.append(begin[hit])
-                n += len(hit)
-                if n >= ROWS:
-                    yield made()
-                    keys, ends, found, at, n = [], [], [], [], 0
+        for names, texts in _parts(batches):
+            marked = Marks.of(texts, gram, window)
+            levels = list(filed(marked, gram, window, held.value))
+            if not levels:
+                continue
+            block, begin = (np.concatenate(x) for x in zip(*levels, strict=True))
+            hit = np.flatnonzero(passes(held.value, block))
+            owner, start = marked.owner[begin[hit]], marked.begins(begin[hit])
+            keys += [names[i] for i in owner.tolist()]
+            ends.append(np.array([len(t) for t in texts])[owner] - start)
+            found.append(block[hit].view(np.int64))
+            at.append(start)
+            n += len(hit)
+            if n >= ROWS:
+                yield made()
+                keys, ends, found, at, n = [], [], [], [], 0
         if n:
             yield made()
 

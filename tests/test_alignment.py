@@ -4,6 +4,7 @@ import random
 import re
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,25 @@ def test_short_needles_ask_for_true_finds_only(spark):
     assert found < 3 * len(needles)  # a gram alone finds some thirty a needle
     want = sorted((f"n{i}", f"h{j}") for i, t in enumerate(needles) for j, x in enumerate(hay) if t in x)
     assert pairs(containment.contained(n, h)) == want and len(needles) == 40 and len(want) == 80
+
+
+def test_blocks_of_many_texts_are_made_at_once(monkeypatch):
+    """Hashes of blocks are made for all texts of a part together, and are those that every text gives alone."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("ab cdefgh") for _ in range(rnd.randrange(50, 400))).encode() for _ in range(120)]
+    gram, window = containment.shape(50)
+    bits, calls, mixed = np.full(8, 255, dtype=np.uint8), [], containment._mixed
+    monkeypatch.setattr(containment, "_mixed", lambda x: calls.append(1) or mixed(x))
+
+    def made(part):
+        marked = containment.Marks.of(part, gram, window)
+        ends, at, bare, short = containment.asked(marked, gram, window)
+        posted = sorted((int(o), int(k), int(b)) for key, begin in containment.filed(marked, gram, window, bits) for o, k, b in zip(marked.owner[begin], key, marked.begins(begin), strict=True))
+        return [x.T.tolist() for x in (ends, at, np.where(short, bare, 0), short)], posted
+
+    together, n = made(texts), len(calls)
+    alone = [made([t]) for t in texts]
+    assert together[0] == [sum((a[0][i] for a in alone), []) for i in range(4)]
+    assert together[1] == sorted((i, *row[1:]) for i, a in enumerate(alone) for row in a[1])
+    assert any(together[0][3]) and not all(together[0][3])
+    assert n < len(texts) + 100 < (len(calls) - n) / 10
