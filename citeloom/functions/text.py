@@ -36,7 +36,12 @@ def tokens_unique(text: Column) -> Column:
 
 def clip_first_token(text: Column) -> Column:
     """Without the first token and its space; texts without a space stay whole."""
-    return F.regexp_replace(text, r"(?s)\A[^ ]* ", "")
+    return F.substr(text, F.instr(text, " ") + 1)
+
+
+def clip_last_token(text: Column) -> Column:
+    """Without the last token and its space; texts without a space stay whole."""
+    return F.when(F.instr(text, " ") > 0, F.left(text, F.length(text) - F.length(F.substring_index(text, " ", -1)) - 1)).otherwise(text)
 
 
 def heading_start(heading: Column) -> Column:

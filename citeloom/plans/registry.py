@@ -24,7 +24,7 @@ def sides(spark: SparkSession, sf_dir: str, prepared: bool = False) -> tuple[Dat
     ``prepared`` writes the normalised texts first, for what reads them several times."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("citekey"), tx.normalise(F.col("text")).alias("text"))
     d = lineage.prepared(d) if prepared else d
-    later = F.when(F.col("lang") == "en", F.regexp_replace("text", " [^ ]*$", "")).when(F.col("lang") == "fr", F.concat("text", F.lit(" fin"))).when(F.col("lang") == "es", F.concat(F.lit("cambio "), tx.clip_first_token(F.col("text")))).otherwise(F.col("text"))
+    later = F.when(F.col("lang") == "en", tx.clip_last_token(F.col("text"))).when(F.col("lang") == "fr", F.concat("text", F.lit(" fin"))).when(F.col("lang") == "es", F.concat(F.lit("cambio "), tx.clip_first_token(F.col("text")))).otherwise(F.col("text"))
     side = lambda name, text: d.select(F.col("doc_id").alias("pos"), F.concat(F.lit(name), F.col("doc_id").cast("string")).alias("key"), "citekey", text.alias("text"))
     return side("x_", F.col("text")), side("x_", later)
 

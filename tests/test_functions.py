@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from citeloom.functions import citations, german, similarity
 from citeloom.functions import text as tx
@@ -180,3 +181,13 @@ def test_areas_without_of_and_texts_without_title(spark):
     rows = spark.createDataFrame([("section 3 Of this title", 7), ("section 3", None), (None, 1)], "text string, own int")
     found = citations.find_citations(rows, title=rows["own"]).collect()
     assert sorted((r["text"], r["ref_pos"], r["area"], r["parsed"]) for r in found) == [("section 3", 0, "section 3", []), ("section 3 Of this title", 0, "section 3 Of this title", [["7", "3"]])]
+
+
+def test_tokens_are_clipped_without_expressions(spark):
+    """First and last tokens are found by their spaces; patterns took a third of the time of what reads a snapshot again and again."""
+    texts = ["", " ", "a", "a b", " a", "a ", "  ", "a  b", "ä € ß", "\u00df\u20ac \U0001d11e x", "a\nb c\n", "a\u2028b c\u2028", "eins zwei drei", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    clipped = df.select("t", tx.clip_first_token(F.col("t")).alias("first"), tx.clip_last_token(F.col("t")).alias("last"))
+    assert "regexp" not in clipped._jdf.queryExecution().optimizedPlan().toString()
+    for r in clipped.collect():
+        assert (r["first"], r["last"]) == ((None, None) if r["t"] is None else (re.sub(r"(?s)\A[^ ]* ", "", r["t"]), re.sub(r" [^ ]*\Z", "", r["t"])))
